@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dup import near_duplicates
+from .packing import pack
+from .warc import read_archive, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,17 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op3_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archive(write_archive(_table(spark, sf_dir, "pages"))).drop("url", "html")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_warc_roundtrip": op3_warc_roundtrip,
 }
 ORACLES: dict[str, str] = {}

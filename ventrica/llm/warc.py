@@ -114,7 +114,7 @@ def _writer(folder: str):
                     bundle = f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst"
                     store, path = _open(bundle)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)  # else the name would have it compressed again
                 open_.append((record_id, page_id, warc_record(kind, record_id, url, payload, digest, page_id, first)))
                 size += len(open_[-1][2])
                 if size >= FRAME_BYTES:

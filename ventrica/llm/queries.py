@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
+from .embed_dedup import near_duplicate_vectors
 from .near_dup import near_duplicates
 from .packing import pack
 from .warc import read_archive, write_archive
@@ -27,9 +29,21 @@ def op3_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(write_archive(_table(spark, sf_dir, "pages"))).drop("url", "html")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render_chat(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc_roundtrip": op3_warc_roundtrip,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op9_chat_format": op9_chat_format,
+}
+ORACLES: dict[str, str] = {
+    "op9_chat_format": chat.ORACLE,
 }
-ORACLES: dict[str, str] = {}

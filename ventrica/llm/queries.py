@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat
+from .decontaminate import leaked_items
 from .embed_dedup import near_duplicate_vectors
+from .html_text import extract_main_text
+from .language import document_languages
+from .licenses import scan_licenses
 from .near_dup import near_duplicates
 from .packing import pack
+from .quality import quality_sample
 from .warc import read_archive, write_archive
 
 
@@ -29,20 +34,45 @@ def op3_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(write_archive(_table(spark, sf_dir, "pages"))).drop("url", "html")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_chat(_table(spark, sf_dir, "conversations"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc_roundtrip": op3_warc_roundtrip,
+    "op4_license_scan": op4_license_scan,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_quality_resampling": op6_quality_resampling,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
+    "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op9_chat_format": chat.ORACLE,

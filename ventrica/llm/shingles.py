@@ -82,9 +82,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(starts, offsets)
 
 
-def shingle_sets(column, words: int = WORDS) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct shingle hashes; fewer words make one shingle, none an empty set."""
-    empty = np.zeros(0, np.uint64)
+def ordered_shingles(column, words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the hashes of its shingles in order, equal to those of shingle_sets."""
     for _, data, offsets in text_chunks(column):
         hashes, at = word_hashes(data, offsets)
         n = len(hashes) - words + 1
@@ -94,15 +93,20 @@ def shingle_sets(column, words: int = WORDS) -> Iterator[np.ndarray]:
         sums = mix64(sums)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= words:
-                found = np.sort(sums[a : b - words + 1])
-                keep = np.ones(len(found), bool)
-                np.not_equal(found[1:], found[:-1], out=keep[1:])
-                yield found[keep]
+                yield sums[a : b - words + 1]
             elif b > a:
-                part = hashes[a:b]
-                yield mix64(np.array([(part * _PLACE[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
+                yield mix64(np.array([(hashes[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))
             else:
-                yield empty
+                yield np.zeros(0, np.uint64)
+
+
+def shingle_sets(column, words: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct shingle hashes; fewer words make one shingle, none an empty set."""
+    for found in ordered_shingles(column, words):
+        found = np.sort(found)
+        keep = np.ones(len(found), bool)
+        np.not_equal(found[1:], found[:-1], out=keep[1:])
+        yield found[keep]
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:

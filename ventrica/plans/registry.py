@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import gates, meshes, points
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = points.QUERIES | meshes.QUERIES | gates.QUERIES
+ORACLES: dict[str, str] = points.ORACLES | meshes.ORACLES | gates.ORACLES

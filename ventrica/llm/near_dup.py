@@ -6,11 +6,11 @@ So all K coordinates of a shingle are one contiguous slice of pi. Bands of ROWS
 coordinates are bucket keys. Candidates are verified on the full shingle sets.
 
 Scale. Documents with the same shingle set are one class from the start (a digest and a
-partial minimum), so copies are never paired. In a bucket each member is compared with
-one hub only, which is linear in the bucket; after the verified links are contracted to
-components, only pairs of a bucket that lie in different components are looked at, and a
-512-bit sketch in the join condition drops those far below the threshold before they
-become rows. Chance to miss a link of similarity 0.75 by banding: (1-0.75^6)^64 < 4e-6.
+partial minimum), so copies are never paired. A bucket pairs each member with one hub only,
+which is linear in the bucket; of these pairs each class first verifies the one with the
+nearest sketch. After the verified links are contracted to components, only pairs of a
+bucket that lie in different components are looked at, and a 384-bit sketch in the join
+condition drops those far below the threshold before they become rows. Chance to miss a link of similarity 0.75 by banding: (1-0.75^6)^64 < 4e-6.
 """
 
 from __future__ import annotations
@@ -69,24 +69,18 @@ def sketch(sig: np.ndarray) -> np.ndarray:
 
 def _profile(batches):
     for batch in batches:
-        sizes, d0, d1 = [], [], []
+        sizes, d0, d1, keys, sketches = [], [], [], [], []
         for s in shingle_sets(batch.column("text")):
             sizes.append(len(s))
             d0.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             d1.append(int((mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64())], ["doc_id", "n_shingles", "d0", "d1"])
-
-
-def _signed(batches):
-    for batch in batches:
-        keys, sketches, sizes = [], [], []
-        for s in shingle_sets(batch.column("text")):
-            sig = signature(s)
-            keys.append(band_keys(sig))
-            sketches.append(sketch(sig))
-            sizes.append(len(s))
-        lists = lambda rows, n: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), lists(keys, BANDS), lists(sketches, SKETCH_LONGS)], ["doc_id", "n", "keys", "sketch"])
+            if len(s):
+                sig = signature(s)
+                keys.append(band_keys(sig))
+                sketches.append(sketch(sig))
+        ends = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) > 0)]).astype(np.int32)
+        lists = lambda rows, n: pa.ListArray.from_arrays(pa.array(ends * np.int32(n)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), lists(keys, BANDS), lists(sketches, SKETCH_LONGS)], ["doc_id", "n_shingles", "d0", "d1", "keys", "sketch"])
 
 
 def _links(batches):
@@ -99,17 +93,23 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(keep, pa.int64())), batch.column("v").take(pa.array(keep, pa.int64()))], ["u", "v"])
 
 
+def _differ(x: str, y: str):
+    """Column: the bits in which the sketches of two classes differ."""
+    return sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+
+
 def _similar(x: str, y: str):
     """Column: the sizes and sketches of two classes allow the threshold."""
     size = (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * LEAST_PERCENT) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * LEAST_PERCENT)
-    differ = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
-    return size & (differ <= SKETCH_MISMATCHES)
+    return size & (_differ(x, y) <= SKETCH_MISMATCHES)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """Of candidate pairs (u, v), those whose full shingle sets reach the threshold."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    texts = base.join(wanted, "doc_id", "left_semi")
     named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_links, "u long, v long")
+    return pairs.select("u", "v").join(named("u"), "u").join(named("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_links, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,38 +121,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not read. Empty input gives no rows.
     """
     base = id_and_text(docs, id_col, text_col)
-    profile = materialize(base.mapInArrow(_profile, "doc_id long, n_shingles long, d0 long, d1 long"), "profile")
-    classes = profile.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
+    profile = materialize(base.mapInArrow(_profile, "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>, sketch array<long>"), "profile")
+    sized = profile.where("n_shingles > 0").select("doc_id", "n_shingles", "d0", "d1")
+    classes = sized.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
     members = materialize(
-        profile.where("n_shingles > 0").join(classes, ["d0", "d1"]).select("doc_id", "n_shingles", "rep").unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "members"
+        sized.join(classes, ["d0", "d1"]).select("doc_id", "n_shingles", "rep").unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "members"
     )
     reps = members.where("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    rep_texts = base.join(reps, "doc_id", "left_semi")
-    signed = materialize(rep_texts.mapInArrow(_signed, "doc_id long, n long, keys array<long>, sketch array<long>"), "signed")
+    signed = profile.where("n_shingles > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "d0", "d1"])
+    signed = materialize(signed.select("doc_id", F.col("n_shingles").alias("n"), "keys", "sketch"), "signed")
 
-    rows = signed.select("doc_id", F.explode("keys").alias("key")).distinct()
-    # hubs: the member first in one fixed pseudo-random order, the same in all bands, so hubs recur
-    order = F.struct(F.xxhash64("doc_id").alias("o"), F.col("doc_id").alias("d"))
-    buckets = rows.groupBy("key").agg(F.min(order)["d"].alias("hub"), F.count("*").alias("size")).where("size > 1")
+    rows = signed.select("doc_id", F.explode("keys").alias("key"))
+    # hubs: the smallest id, in all bands, so hubs recur
+    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     buckets = materialize(rows.join(buckets, "key"), "buckets")
 
     facts = signed.select("doc_id", "n", "sketch")
-    pairs = buckets.where("doc_id <> hub").select(F.least("doc_id", "hub").alias("u"), F.greatest("doc_id", "hub").alias("v")).distinct()
-    pairs = pairs.alias("p").join(facts.alias("x"), F.col("p.u") == F.col("x.doc_id")).join(facts.alias("y"), F.col("p.v") == F.col("y.doc_id")).where(_similar("x", "y")).select("u", "v")
+    pairs = buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
+    pairs = pairs.alias("p").join(facts.alias("x"), F.col("p.u") == F.col("x.doc_id")).join(facts.alias("y"), F.col("p.v") == F.col("y.doc_id")).where(_similar("x", "y")).select("u", "v", _differ("x", "y").alias("differ"))
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    links = materialize(_verify(pairs, base.join(wanted, "doc_id", "left_semi")), "links")
-    first = materialize(connected_components(links), "first")
-
-    # what is left: pairs of one bucket in different components, neither of them its hub
+    # first each class with its nearest hub only, so texts move about once however large a group is
+    nearest = materialize(pairs.groupBy("v").agg(F.min(F.struct("differ", "u"))["u"].alias("u")).select("u", "v"), "nearest")
+    first = materialize(connected_components(_verify(nearest, base)), "first")
+
+    # what is left: other pairs with a hub, and pairs of one bucket, both in different components
+    label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    apart = F.coalesce("c_u", "u") != F.coalesce("c_v", "v")
+    hubs = pairs.select("u", "v").join(nearest, ["u", "v"], "left_anti").join(label("u"), "u", "left").join(label("v"), "v", "left").where(apart).select("u", "v")
     labelled = buckets.where("size > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     open_rows = materialize(labelled.where("doc_id <> hub").join(mixed, "key").join(facts, "doc_id").select("key", "doc_id", "label", "n", "sketch"), "open")
     rest = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _similar("x", "y"))
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct()
-    rest = materialize(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
-    wanted = rest.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    more = _verify(rest, base.join(wanted, "doc_id", "left_semi"))
+    rest = materialize(rest.join(pairs, ["u", "v"], "left_anti").unionByName(hubs), "rest")
+    more = _verify(rest, base)
     joined = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
     final = connected_components(joined)
     out = members.join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -6,11 +6,15 @@ So all K coordinates of a shingle are one contiguous slice of pi. Bands of ROWS
 coordinates are bucket keys. Candidates are verified on the full shingle sets.
 
 Scale. Documents with the same shingle set are one class from the start (a digest and a
-partial minimum), so copies are never paired. A bucket pairs each member with one hub only,
-which is linear in the bucket; of these pairs each class first verifies the one with the
-nearest sketch. After the verified links are contracted to components, only pairs of a
-bucket that lie in different components are looked at, and a 384-bit sketch in the join
-condition drops those far below the threshold before they become rows. Chance to miss a link of similarity 0.75 by banding: (1-0.75^6)^64 < 4e-6.
+partial minimum), so copies are never paired. Three steps link the classes, each on what
+the steps before left in different components: a bucket's members with its hub, of these
+the nearest one (linear in the bucket); pairs that share two neighbouring bands and whose
+signatures agree in nearly 0.72 of the coordinates; last, all other pairs of a bucket. A
+signature keeps 8 bits of each coordinate, among them some outside the bands, and pairs
+that agree in fewer than MATCHES coordinates never become rows; a pair is a row only in
+the first band that it shares.
+Chance to miss a link of similarity 0.75: (1-0.75^6)^64 < 4e-6 by banding, and under 1e-6
+by MATCHES, which is five deviations below the mean.
 """
 
 from __future__ import annotations
@@ -25,11 +29,16 @@ from .components import connected_components
 from .shingles import mix64, shared, shingle_sets
 
 ROWS, BANDS = 6, 64
-COORDINATES = ROWS * BANDS
+BANDED = ROWS * BANDS
+COORDINATES = BANDED + 256
 CIRCLE_BITS = 20
 SKETCH_LONGS = COORDINATES // 64
-#: One-bit sketches differ in (1-J)/2 of their bits; at J=0.75 in 48 of 384 with a deviation of 6.5.
-SKETCH_MISMATCHES = 48 + 7 * 7
+#: One-bit sketches differ in (1-J)/2 of their bits; at J=0.75 in 80 of 640 with a deviation of 8.4.
+SKETCH_MISMATCHES = 80 + 50
+#: Of the 640 coordinates a link of 0.75 shares 480 with a deviation of 11.
+MATCHES, CLOSE_MATCHES = 425, 460
+#: So many ids, 16 MB, are sent to every executor to filter texts; more are joined by a shuffle.
+SENT_IDS = 2_000_000
 LEAST_PERCENT = 75
 _cache: dict[str, np.ndarray] = {}
 
@@ -54,12 +63,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-_ROW = np.random.default_rng(11).integers(1, 1 << 62, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = np.random.default_rng(13).integers(1, 1 << 63, BANDS, dtype=np.uint64)
+def packed(sig: np.ndarray) -> np.ndarray:
+    """8 bits of each coordinate: a long of ROWS for each band, then longs of 8 for the rest."""
+    low = mix64(sig.astype(np.uint64) + np.uint64(3)) & np.uint64(255)
+    place = np.arange(8, dtype=np.uint64) * np.uint64(8)
+    banded = (low[:BANDED].reshape(BANDS, ROWS) << place[:ROWS]).sum(axis=1, dtype=np.uint64)
+    return np.concatenate([banded, (low[BANDED:].reshape(-1, 8) << place).sum(axis=1, dtype=np.uint64)]).view(np.int64)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    return mix64((sig.reshape(BANDS, ROWS).astype(np.uint64) * _ROW).sum(axis=1, dtype=np.uint64) ^ _BAND).view(np.int64)
+SIG_LONGS = BANDS + (COORDINATES - BANDED) // 8
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
@@ -76,11 +88,11 @@ def _profile(batches):
             d1.append(int((mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) * s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             if len(s):
                 sig = signature(s)
-                keys.append(band_keys(sig))
+                keys.append(packed(sig))
                 sketches.append(sketch(sig))
         ends = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) > 0)]).astype(np.int32)
         lists = lambda rows, n: pa.ListArray.from_arrays(pa.array(ends * np.int32(n)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), lists(keys, BANDS), lists(sketches, SKETCH_LONGS)], ["doc_id", "n_shingles", "d0", "d1", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), lists(keys, SIG_LONGS), lists(sketches, SKETCH_LONGS)], ["doc_id", "n_shingles", "d0", "d1", "sig", "sketch"])
 
 
 def _links(batches):
@@ -98,16 +110,57 @@ def _differ(x: str, y: str):
     return sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
 
 
-def _similar(x: str, y: str):
+def _matches(x: str, y: str):
+    """Column: the coordinates in which the signatures of two classes agree, by their 8 bits."""
+
+    def differing(d):
+        for step in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, step))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+    unequal = F.zip_with(f"{x}.sig", f"{y}.sig", lambda a, b: differing(a.bitwiseXOR(b)))
+    return F.lit(COORDINATES) - F.aggregate(unequal, F.lit(0), lambda total, d: total + d)
+
+
+def _first_band(x: str, y: str):
+    """Column: the first band (from 0) in which two classes share a bucket."""
+    return F.array_position(F.zip_with(f"{x}.sig", f"{y}.sig", lambda a, b: a == b), F.lit(True)) - 1
+
+
+def _near(x: str, y: str):
     """Column: the sizes and sketches of two classes allow the threshold."""
     size = (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * LEAST_PERCENT) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * LEAST_PERCENT)
     return size & (_differ(x, y) <= SKETCH_MISMATCHES)
 
 
+def _mixed(rows: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Of ``rows(key, doc_id)``, those of keys that hold two components or more, with label, n, sig and sketch."""
+    rows = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    keys = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    return rows.join(keys, "key").join(facts, "doc_id")
+
+
+def _apart(rows: DataFrame, likely) -> DataFrame:
+    """Pairs (u, v) of one key in different components for which ``likely`` holds."""
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _near("x", "y") & likely
+    found = rows.alias("x").join(rows.alias("y"), on)
+    return found.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v"))
+
+
+def _contracted(found: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+    """The components ``found`` and more links, together."""
+    return materialize(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)), tag)
+
+
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ``ids(doc_id)``; few ids go to every executor, so that wide rows stay in place."""
+    ids = materialize(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+
+
 def _verify(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """Of candidate pairs (u, v), those whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = base.join(wanted, "doc_id", "left_semi")
+    texts = _only(base, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
     named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.select("u", "v").join(named("u"), "u").join(named("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_links, "u long, v long")
 
@@ -121,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     not read. Empty input gives no rows.
     """
     base = id_and_text(docs, id_col, text_col)
-    profile = materialize(base.mapInArrow(_profile, "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>, sketch array<long>"), "profile")
+    profile = materialize(base.mapInArrow(_profile, "doc_id long, n_shingles long, d0 long, d1 long, sig array<long>, sketch array<long>"), "profile")
     sized = profile.where("n_shingles > 0").select("doc_id", "n_shingles", "d0", "d1")
     classes = sized.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
     members = materialize(
@@ -129,34 +182,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     reps = members.where("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
     signed = profile.where("n_shingles > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "d0", "d1"])
-    signed = materialize(signed.select("doc_id", F.col("n_shingles").alias("n"), "keys", "sketch"), "signed")
+    signed = materialize(signed.select("doc_id", F.col("n_shingles").alias("n"), "sig", "sketch"), "signed")
 
-    rows = signed.select("doc_id", F.explode("keys").alias("key"))
+    rows = signed.select("doc_id", F.posexplode(F.slice("sig", 1, BANDS)).alias("band", "low")).select("doc_id", F.shiftleft(F.col("band").cast("long"), 48).bitwiseOR(F.col("low")).alias("key"))
     # hubs: the smallest id, in all bands, so hubs recur
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(rows.join(buckets, "key"), "buckets")
+    buckets = materialize(rows.join(buckets, "key").select("key", "doc_id", "hub"), "buckets")
+    facts = materialize(_only(signed, buckets.select("doc_id")), "facts")
 
-    facts = signed.select("doc_id", "n", "sketch")
-    pairs = buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    pairs = pairs.alias("p").join(facts.alias("x"), F.col("p.u") == F.col("x.doc_id")).join(facts.alias("y"), F.col("p.v") == F.col("y.doc_id")).where(_similar("x", "y")).select("u", "v", _differ("x", "y").alias("differ"))
-    pairs = materialize(pairs, "pairs")
     # first each class with its nearest hub only, so texts move about once however large a group is
-    nearest = materialize(pairs.groupBy("v").agg(F.min(F.struct("differ", "u"))["u"].alias("u")).select("u", "v"), "nearest")
+    pairs = buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
+    pairs = pairs.alias("p").join(facts.alias("x"), F.col("p.u") == F.col("x.doc_id")).join(facts.alias("y"), F.col("p.v") == F.col("y.doc_id")).where(_near("x", "y"))
+    pairs = pairs.select("u", "v", _matches("x", "y").alias("matches")).where(F.col("matches") >= MATCHES)
+    nearest = materialize(pairs.groupBy("v").agg(F.max(F.struct("matches", (-F.col("u")).alias("u")))["u"].alias("u")).select((-F.col("u")).alias("u"), "v"), "nearest")
     first = materialize(connected_components(_verify(nearest, base)), "first")
 
-    # what is left: other pairs with a hub, and pairs of one bucket, both in different components
-    label = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-    apart = F.coalesce("c_u", "u") != F.coalesce("c_v", "v")
-    hubs = pairs.select("u", "v").join(nearest, ["u", "v"], "left_anti").join(label("u"), "u", "left").join(label("v"), "v", "left").where(apart).select("u", "v")
-    labelled = buckets.where("size > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    open_rows = materialize(labelled.where("doc_id <> hub").join(mixed, "key").join(facts, "doc_id").select("key", "doc_id", "label", "n", "sketch"), "open")
-    rest = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _similar("x", "y"))
-    rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct()
-    rest = materialize(rest.join(pairs, ["u", "v"], "left_anti").unionByName(hubs), "rest")
-    more = _verify(rest, base)
-    joined = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-    final = connected_components(joined)
+    # then close pairs in different components, which join most of what a large group has left
+    opened = materialize(_mixed(buckets.select("key", "doc_id"), first, facts), "open")
+    wide = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 2), F.lit(2)), lambda k: F.xxhash64(k, F.element_at("sig", k + 1), F.element_at("sig", k + 2)))
+    doubled = opened.select("doc_id", "sig").dropDuplicates(["doc_id"]).select("doc_id", F.explode(wide).alias("key"))
+    close = _apart(materialize(_mixed(doubled, first, facts), "doubled"), _matches("x", "y") >= CLOSE_MATCHES).distinct()
+    close = materialize(close.join(nearest, ["u", "v"], "left_anti"), "close")
+    second = _contracted(first, _verify(close, base), "second")
+
+    # last, all pairs of a bucket that are still in different components
+    left = materialize(_mixed(opened.select("key", "doc_id"), second, facts), "left")
+    here = F.shiftright("x.key", 48) == _first_band("x", "y")
+    rest = _apart(left, here & (_matches("x", "y") >= MATCHES))
+    rest = materialize(rest.join(nearest, ["u", "v"], "left_anti").join(close, ["u", "v"], "left_anti"), "rest")
+    final = _contracted(second, _verify(rest, base), "final")
     out = members.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

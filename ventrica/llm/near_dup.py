@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = materialize(_mixed(opened.select("key", "doc_id"), second, facts), "left")
     here = F.shiftright("x.key", 48) == _first_band("x", "y")
     rest = _apart(left, here & (_matches("x", "y") >= MATCHES))
-    rest = materialize(rest.join(nearest, ["u", "v"], "left_anti").join(close, ["u", "v"], "left_anti"), "rest")
+    rest = materialize(rest.join(nearest.unionByName(close), ["u", "v"], "left_anti"), "rest")
     final = _contracted(second, _verify(rest, base), "final")
     out = members.join(final.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")

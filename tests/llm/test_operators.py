@@ -248,6 +248,15 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaked_items(frame([], "doc_id long, text string"), frame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_are_found_in_any_case(spark):
+    items = [(1, "¿dónde está el niño que comió el último melón del jardín pequeño"), (2, "l'été der größte fuß der straße muß über die straße führen"), (3, "йод і σοφός ёлка λόγος жук δρόμος щит")]
+    docs = [(10 * k + j, "x y " + f(t) + " z") for k, t in items for j, f in enumerate((str, str.upper, str.title))]
+    got = decontaminate.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(10 * k + j, k) for k, _ in items for j in range(3)}
+    back = decontaminate.leaked_items(spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string"), spark.createDataFrame([(k, t.upper()) for k, t in items], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in back.collect()} == {(k, k) for k, _ in items}
+
+
 def test_wand_equals_plain_scores(spark):
     rnd = random.Random(10)
     items = [(k, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(5, 40)))) for k in range(300)]

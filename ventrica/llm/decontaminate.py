@@ -1,6 +1,6 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, by block-max WAND.
 
-Terms are 5-word shingles. Each training text is cut into passages of twice STRIDE words
+Terms are 5-word shingles of words with the case of all letters folded. Each training text is cut into passages of twice STRIDE words
 that overlap by half, STRIDE being at least the longest item, so that a contiguous copy
 lies whole in one passage. Every passage with a term of the index is a query. A posting's
 weight is the item's BM25 weight of the term over the least score that the item can have
@@ -31,6 +31,15 @@ SHARD_TERMS = 1_000_000
 FILTER_BITS = 20
 
 
+def folded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and text with the case of all letters folded, also of those above ASCII.
+
+    Upper before lower, so that letters whose capitals are others (ß and SS) agree as well;
+    the empty string keeps Spark from reading lower(upper(x)) as lower(x).
+    """
+    return id_and_text(df, id_col, text_col).withColumn("text", F.lower(F.concat(F.upper("text"), F.lit(""))))
+
+
 class Index:
     """Postings of one shard of items, in blocks with their largest weight."""
 
@@ -139,7 +148,7 @@ def _terms(batches):
 
 def build_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """Index shards of the test items; counts of terms are taken over all items."""
-    rows = materialize(id_and_text(items, id_col, text_col).dropDuplicates(["doc_id"]).mapInArrow(_terms, "item_id long, n long, terms array<long>"), "items")
+    rows = materialize(folded(items, id_col, text_col).dropDuplicates(["doc_id"]).mapInArrow(_terms, "item_id long, n long, terms array<long>"), "items")
     total, average = rows.agg(F.count("*"), F.avg("n")).first()
     if not total:
         return []
@@ -179,11 +188,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """doc_id, item_id, overlap for every document and test item of which it holds a passage.
 
     Null or empty texts and items leak nothing; an item of under five words is one shingle,
-    found only in a text that is equal to it. Null document ids are reported with a null id;
+    found only in a text that is equal to it. Case does not count, in any script. Null document ids are reported with a null id;
     items with a null id are left out. Repeated rows are reported once each. Other columns
     are not read. Empty input gives no rows.
     """
-    spark, base = docs.sparkSession, id_and_text(docs, id_col, text_col)
+    spark, base = docs.sparkSession, folded(docs, id_col, text_col)
     out = spark.createDataFrame([], "doc_id long, item_id long, overlap double")
     for index in build_shards(items):
         out = out.unionByName(base.mapInArrow(_leaks(spark.sparkContext.broadcast(index)), out.schema))

@@ -179,6 +179,18 @@ def test_quality_parts_junk_from_prose(spark):
     assert quality.quality_sample(docs, labels.limit(0)).where("kept").count() == len(rows)
 
 
+def test_toxic_texts_are_not_sampled(spark):
+    rnd = random.Random(11)
+    insult = lambda t: " ".join(rnd.choice(("idiot", "moron", "scum")) if rnd.random() < 0.08 else w for w in t.split()) + " idiot"
+    rows = [(k, insult(words(80, rnd)) if k % 5 == 0 else words(80, rnd)) for k in range(500)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(0, 500, 2)] + [(None, 1, 1), (1, 1, None), (5, None, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality_sample(docs, labels).collect()}
+    assert all(not got[k].kept and got[k].toxicity > 0 for k in range(0, 500, 5)) and got[900].toxicity == got[901].toxicity == 0
+    assert sum(got[k].kept for k in range(500) if k % 5) > 380
+    assert quality.quality_sample(docs.limit(0), labels).count() == 0
+
+
 def test_kth_largest_equals_sorting(spark):
     values = [random.Random(6).gauss(0, 1) for _ in range(500)] + [1.0] * 50
     frame = spark.createDataFrame([(v,) for v in values], "v double")

@@ -45,6 +45,14 @@ def word_bigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.n
     return (both >> np.uint64(64 - bits)).astype(np.int64), 2 * at
 
 
+def distinct_words(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words, each once a text, and where each text's begin."""
+    hashes, at = word_hashes(data, offsets)
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
+    keys = np.unique((rows << bits) + (hashes >> np.uint64(64 - bits)).astype(np.int64))
+    return keys & ((1 << bits) - 1), np.searchsorted(keys, np.arange(len(offsets)) << bits)
+
+
 def hashed_counts(rows: DataFrame, features, bits: int, classes: int) -> np.ndarray:
     """Counts [class, bucket] over ``rows(text, class)``; a row with a class outside the range is not counted."""
 

@@ -1,15 +1,21 @@
 """Quality by importance resampling of hashed n-grams.
 
-Two bag models over hashed words and word pairs: the target model from labelled good texts,
-the raw model from all texts. A text's weight is the log ratio of the two, per n-gram and
+Two bag models over hashed words and word pairs: the target model from labelled texts that
+are good and not toxic, the raw model from all texts. A text's weight is the log ratio of the two, per n-gram and
 drawn to zero for very short texts. Texts are sampled without replacement by Gumbel top-k:
 TEMPERATURE times a Gumbel variate, fixed by the row's id, is added, and the k largest stay;
 all rows that tie with the k-th do. k is the number of texts whose weight reaches the cut
 that best parts held-out labelled texts. The k-th largest is found by narrowing histograms,
 so nothing is sorted or collected as a whole.
 
-Only the target model and the cut come from a sample: at most LABELLED labelled rows, half
-of them each. The raw model and the sampling cover every row.
+A few insults among many good words hardly move a mean over n-grams, so toxic texts are found
+by a sum: the log odds of the text's distinct words that labelled toxic texts hold
+significantly more often than the others. Texts over the cut that best parts held-out rows
+are not sampled from.
+
+Only the target model, the toxic words and the cuts come from a sample: at most LABELLED
+labelled rows, half of them for the models and half for the cuts. The raw model and the
+sampling cover every row.
 """
 
 from __future__ import annotations
@@ -20,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialize
-from .hashed import hashed_counts, text_sums, word_bigrams
+from .hashed import distinct_words, hashed_counts, text_sums, word_bigrams
 
 BITS = 13
+WORD_BITS = 16
 SMOOTHING = 1.0
 SHORT = 12
 LABELLED = 20_000
@@ -40,6 +47,19 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log(p_target / p_raw)
 
 
+def toxic_odds(counts: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
+    """Log odds of words in toxic texts, by bucket, from counts of texts [toxic or not, bucket].
+
+    Zero unless the likelihood ratio test of the bucket is beyond what chance gives in any.
+    """
+    (b, a), (n0, n1) = counts.astype(float), texts
+    share = (a + b) / max(n0 + n1, 1)
+    term = lambda x, expected: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    ratio = 2 * (term(a, n1 * share) + term(b, n0 * share) + term(n1 - a, n1 * (1 - share)) + term(n0 - b, n0 * (1 - share)))
+    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+    return np.where((odds > 0) & (ratio > 2 * np.log(len(a))), odds, 0.0)
+
+
 def best_cut(scores: list[float], good: list[bool]) -> float:
     """The weight at which rejecting what lies below costs least; a good text costs CLEAN_COST bad ones."""
     order = sorted(zip(scores, good, strict=True))
@@ -75,36 +95,48 @@ def kth_largest(scored: DataFrame, column: str, k: int) -> float:
 
 
 def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_grams, weight, score, kept for every row of ``docs``.
+    """doc_id, n_grams, weight, score, toxicity, kept for every row of ``docs``.
 
-    Labels are rows (doc_id, quality 0 or 1); null or other values are ignored, of several
-    labels of an id the largest counts. Without labels every row is kept. Null or empty texts
-    have weight 0. A null id takes part like an unlabelled one. Rows with equal id and text
+    Labels are rows (doc_id, quality 0 or 1, toxic 0 or 1); null or other values are ignored
+    and not toxic, as are all if there is no such column; of several labels of an id the
+    largest counts. Without labels every row is kept. Null or empty texts have weight and
+    toxicity 0. A null id takes part like an unlabelled one. Rows with equal id and text
     have equal results. Other columns are not read. Empty input gives no rows.
     """
     base = id_and_text(docs, id_col, text_col)
-    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
-    wanted = wanted.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    wanted = materialize(wanted.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)).cast("int")), "labels")
+    one_of = lambda c: F.when(c.cast("int").isin(0, 1), c.cast("int"))
+    toxic = F.coalesce(one_of(F.col("toxic")), F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), one_of(F.col("quality")).alias("quality"), toxic.alias("toxic")).where("doc_id is not null and (quality is not null or toxic = 1)")
+    wanted = wanted.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    good = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    wanted = materialize(wanted.withColumn("good", good).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(2)).cast("int")), "labels")
     labelled = base.join(F.broadcast(wanted), "doc_id", "left")  # at most LABELLED short rows
-    is_target = (F.col("quality") == 1) & (F.col("fold") == 0)
+    is_target = F.col("good") & (F.col("fold") == 0)
     counts = hashed_counts(labelled.withColumn("class", F.when(is_target, 1).otherwise(0)), word_bigrams, BITS, 2)
     table = log_ratios(counts.sum(axis=0), counts[1])[None]
+    models = base.join(F.broadcast(wanted.where("fold = 0")), "doc_id")
+    texts = models.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
+    odds = toxic_odds(hashed_counts(models.withColumn("class", F.col("toxic")), distinct_words, WORD_BITS, 2), texts)[None]
 
     def weigh(batches):
         for batch in batches:
             parts = list(text_sums(batch.column("text"), word_bigrams, BITS, table))
             n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             sums = np.concatenate([p[1][0] for p in parts]) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums / (n + SHORT))], ["doc_id", "n_grams", "weight"])
+            insults = [p[1][0] for p in text_sums(batch.column("text"), distinct_words, WORD_BITS, odds)]
+            insults = np.concatenate(insults) if insults else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums / (n + SHORT)), pa.array(insults.round(9))], ["doc_id", "n_grams", "weight", "toxicity"])
 
-    weights = base.mapInArrow(weigh, "doc_id long, n_grams long, weight double")
+    weights = base.mapInArrow(weigh, "doc_id long, n_grams long, weight double, toxicity double")
     uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = materialize(weights.withColumn("score", F.col("weight") - TEMPERATURE * F.log(-F.log(uniform))), "weights")
-    held = scored.join(F.broadcast(wanted.where("fold = 1")), "doc_id").select("weight", "quality").limit(2 * LABELLED).collect()
-    cut = best_cut([r.weight for r in held], [r.quality == 1 for r in held])
-    threshold = kth_largest(scored, "score", scored.where(F.col("weight") >= cut).count())
-    return scored.withColumn("kept", F.col("score") >= threshold)
+    held = scored.join(F.broadcast(wanted.where("fold = 1")), "doc_id").select("weight", "toxicity", "quality", "toxic", "good").limit(2 * LABELLED).collect()
+    most = -best_cut([-r.toxicity for r in held], [r.toxic == 0 for r in held])
+    left = [r for r in held if r.toxicity <= most]  # a toxic row that stays counts as a bad one
+    cut = best_cut([r.weight for r in left], [r.good for r in left])
+    mild = scored.where(F.col("toxicity") <= most)
+    threshold = kth_largest(mild, "score", mild.where(F.col("weight") >= cut).count())
+    return scored.select("doc_id", "n_grams", "weight", "score", "toxicity", ((F.col("score") >= threshold) & (F.col("toxicity") <= most)).alias("kept"))
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ import sys
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
 
 import corpus_pipeline
-from ventrica.llm import queries
+from ventrica.llm import language, queries
 from ventrica.llm.near_dup import near_duplicates
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +35,22 @@ def test_chat_equals_sql(spark):
     duck.sql(f"CREATE VIEW conversations AS FROM '{DATA}/conversations.parquet'")
     want = duck.sql(queries.ORACLES["op9_chat_format"])
     assert sorted(map(tuple, found.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_languages_cover_documents_and_pages(spark):
+    found = queries.QUERIES["op8_language_id"](spark, DATA).collect()
+    for name, key in (("documents", "doc_id"), ("pages", "page_id")):
+        ids = sorted(r[0] for r in spark.read.parquet(f"{DATA}/{name}.parquet").select(key).collect())
+        assert ids and sorted(r[key] for r in found if r[key] is not None) == ids
+    assert all((r.doc_id is None) != (r.page_id is None) for r in found)
+
+
+def test_text_languages_without_the_own_label(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    nothing, fold = F.lit(None).cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    said = {r.doc_id: r.lang for r in docs.collect()}
+    right = 0
+    for k in (0, 1):
+        out = language.identify_languages(docs.withColumn("fold", fold), "doc_id", F.col("text"), F.when(F.col("fold") != k, F.col("lang")), nothing, nothing)
+        right += sum(r.text_language == said[r.doc_id] for r in out.where(fold == k).collect())
+    assert right / len(said) > 0.9

@@ -8,8 +8,9 @@ Packing. Pieces are dealt at random into shards of about SHARD pieces; each shar
 packed by bin completion: around the largest piece left, undominated fillings are tried
 in order of least waste, branches whose waste can't beat the incumbent are cut, and the
 best-fit-decreasing solution is the first incumbent. NODES bounds the search; when it runs
-out the incumbent stands, so a result is always whole. What a shard can lose against one
-packing of everything is less than one sequence in each shard.
+out the incumbent stands, so a result is always whole. A node has at most BRANCHES fillings,
+so a search that ends above the lower bound has not proven its result to be the least. A
+shard at its bound of total size loses less than one sequence against one packing of all.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor and the driver see.
+    """Folder that every executor and the driver see: the one that the session names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made and set for the session.
+    Where it is unset and Spark runs in this process alone, as in tests, a temporary folder
+    is set for the session; on a cluster an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="ventrica-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -41,6 +44,30 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: So many row numbers, 16 MB, are sent to every executor to pick rows; more are joined by a shuffle.
+SENT_ROWS = 2_000_000
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` written with a unique number ``row``, so that rows are told apart whatever their ids are."""
+    return materialize(df.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def _picked(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    rows = materialize(rows, "rows")
+    return df.join(F.broadcast(rows) if rows.count() <= SENT_ROWS else rows, "row", how)
+
+
+def keep_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``df`` whose row is among ``rows(row)``; few rows go to every executor, so that texts stay in place."""
+    return _picked(df, rows, "left_semi")
+
+
+def without_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of ``df`` whose row is not among ``rows(row)``."""
+    return _picked(df, rows, "left_anti")
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, under fixed names that cannot clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

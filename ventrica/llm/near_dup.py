@@ -5,26 +5,30 @@ a second permutation (pi), shifted by k, gives coordinate k: ``h_k = min pi[sigm
 So all K coordinates of a shingle are one contiguous slice of pi. Bands of ROWS
 coordinates are bucket keys. Candidates are verified on the full shingle sets.
 
-Scale. Documents with the same shingle set are one class from the start (a digest and a
-partial minimum), so copies are never paired. Three steps link the classes, each on what
-the steps before left in different components: a bucket's members with its hub, of these
-the nearest one (linear in the bucket); pairs that share two neighbouring bands and whose
-signatures agree in nearly 0.72 of the coordinates; last, all other pairs of a bucket. A
-signature keeps 8 bits of each coordinate, among them some outside the bands, and pairs
-that agree in fewer than MATCHES coordinates never become rows; a pair is a row only in
-the first band that it shares.
+Scale. Rows are numbered first, and all work is on these numbers, so ids may be null or
+repeat. Rows with the same shingle set are one class from the start (a digest and a partial
+minimum), so copies are never paired. First each class is verified with the nearest of its
+buckets' hubs, which is linear in a bucket. Buckets that still hold several components are
+compared in tiles: blocks of a bounded weight, block against block, leaving out blocks of the
+bucket's largest component against each other. No pair of a bucket becomes a row: the first
+pass gives the members that have any candidate in another component by signature, the second
+one, which gets their full sets, gives only verified links that connect components. So rows
+stay linear in a bucket; time goes with the pairs in different components only.
+
 Chance to miss a link of similarity 0.75: (1-0.75^6)^64 < 4e-6 by banding, and under 1e-6
 by MATCHES, which is five deviations below the mean.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import keep_rows, materialize, numbered, without_rows
 from .components import connected_components
 from .shingles import mix64, shared, shingle_sets
 
@@ -36,9 +40,9 @@ SKETCH_LONGS = COORDINATES // 64
 #: One-bit sketches differ in (1-J)/2 of their bits; at J=0.75 in 80 of 640 with a deviation of 8.4.
 SKETCH_MISMATCHES = 80 + 50
 #: Of the 640 coordinates a link of 0.75 shares 480 with a deviation of 11.
-MATCHES, CLOSE_MATCHES = 425, 460
-#: So many ids, 16 MB, are sent to every executor to filter texts; more are joined by a shuffle.
-SENT_IDS = 2_000_000
+MATCHES = 425
+#: Weight of a block in shingles; a member weighs its shingles and MEMBER_WEIGHT for its signature.
+TILE_WEIGHT, MEMBER_WEIGHT = 400_000, 100
 LEAST_PERCENT = 75
 _cache: dict[str, np.ndarray] = {}
 
@@ -92,7 +96,8 @@ def _profile(batches):
                 sketches.append(sketch(sig))
         ends = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) > 0)]).astype(np.int32)
         lists = lambda rows, n: pa.ListArray.from_arrays(pa.array(ends * np.int32(n)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), lists(keys, SIG_LONGS), lists(sketches, SKETCH_LONGS)], ["doc_id", "n_shingles", "d0", "d1", "sig", "sketch"])
+        columns = [pa.array(sizes, pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), lists(keys, SIG_LONGS), lists(sketches, SKETCH_LONGS)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *columns], ["row", "doc_id", "n_shingles", "d0", "d1", "sig", "sketch"])
 
 
 def _links(batches):
@@ -105,6 +110,11 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(keep, pa.int64())), batch.column("v").take(pa.array(keep, pa.int64()))], ["u", "v"])
 
 
+def _sets(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], ["row", "shingles"])
+
+
 def _differ(x: str, y: str):
     """Column: the bits in which the sketches of two classes differ."""
     return sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
@@ -122,101 +132,183 @@ def _matches(x: str, y: str):
     return F.lit(COORDINATES) - F.aggregate(unequal, F.lit(0), lambda total, d: total + d)
 
 
-def _first_band(x: str, y: str):
-    """Column: the first band (from 0) in which two classes share a bucket."""
-    return F.array_position(F.zip_with(f"{x}.sig", f"{y}.sig", lambda a, b: a == b), F.lit(True)) - 1
-
-
 def _near(x: str, y: str):
     """Column: the sizes and sketches of two classes allow the threshold."""
     size = (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * LEAST_PERCENT) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * LEAST_PERCENT)
     return size & (_differ(x, y) <= SKETCH_MISMATCHES)
 
 
-def _mixed(rows: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
-    """Of ``rows(key, doc_id)``, those of keys that hold two components or more, with label, n, sig and sketch."""
-    rows = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    keys = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    return rows.join(keys, "key").join(facts, "doc_id")
-
-
-def _apart(rows: DataFrame, likely) -> DataFrame:
-    """Pairs (u, v) of one key in different components for which ``likely`` holds."""
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & _near("x", "y") & likely
-    found = rows.alias("x").join(rows.alias("y"), on)
-    return found.select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v"))
-
-
-def _contracted(found: DataFrame, links: DataFrame, tag: str) -> DataFrame:
-    """The components ``found`` and more links, together."""
-    return materialize(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)), tag)
+def _tiled(rows: DataFrame) -> DataFrame:
+    """``rows(key, row, label, n)`` dealt to tiles: key, i, j, side, row, label.
 
-
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ``ids(doc_id)``; few ids go to every executor, so that wide rows stay in place."""
-    ids = materialize(ids.distinct(), "ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+    A bucket of at most TILE_WEIGHT is one tile, in which all meet (side 0). Of a larger one
+    the members of its largest component are cut into blocks, and so are the others; each
+    block of others meets every block, as left (side 1) and right (side 2).
+    """
+    weight = F.sum(F.col("n") + MEMBER_WEIGHT)
+    parts = rows.groupBy("key", "label").agg(weight.alias("w"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all"))
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w / TILE_WEIGHT)).cast("int")
+    keys = keys.select("key", F.col("top.label").alias("top"), (F.col("all") <= TILE_WEIGHT).alias("small"), blocks(F.col("top.w")).alias("tops"), blocks(F.col("all") - F.col("top.w")).alias("others"))
+    dealt = rows.join(keys, "key").withColumn("others_block", F.pmod(F.xxhash64("row"), "others").cast("int")).withColumn("top_block", F.pmod(F.xxhash64("row"), "tops").cast("int"))
+    tile = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    b = F.col("others_block")
+    # blocks of the largest component are numbered from -1 down
+    to_others = F.transform(upto("others"), lambda x: tile(F.least(b, x), F.greatest(b, x), F.when(b == x, 0).when(b < x, 1).otherwise(2)))
+    to_tops = F.transform(upto("tops"), lambda x: tile(-1 - x, b, 2))
+    from_top = F.transform(upto("others"), lambda x: tile(-1 - F.col("top_block"), x, 1))
+    tiles = F.when(F.col("small"), F.array(tile(F.lit(0), F.lit(0), 0))).when(F.col("label") == F.col("top"), from_top).otherwise(F.concat(to_others, to_tops))
+    return dealt.select("key", "row", "label", F.explode(tiles).alias("t")).select("key", "t.i", "t.j", "t.side", "row", "label")
+
+
+def _members(batches, with_sets: bool):
+    """The arrays of one tile after another, from rows sorted by tile."""
+    held: dict[str, np.ndarray] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        now = {"tile": np.stack([number(c) for c in ("key", "i", "j")], axis=1)} | {c: number(c) for c in ("side", "row", "label", "n")}
+        now["sig"] = batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, SIG_LONGS)
+        if with_sets:
+            now["set"] = np.empty(batch.num_rows, object)
+            now["set"][:] = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+        if held:
+            now = {k: np.concatenate([held[k], x]) for k, x in now.items()}
+        ends = np.flatnonzero((now["tile"][1:] != now["tile"][:-1]).any(axis=1)) + 1
+        for a, b in itertools.pairwise([0, *ends.tolist()]):
+            yield {k: x[a:b] for k, x in now.items()}
+        last = int(ends[-1]) if len(ends) else 0
+        held = {k: x[last:] for k, x in now.items()}
+    if held:
+        yield held
+
+
+def _candidates(t: dict[str, np.ndarray]):
+    """(p, places q, matches) of the tile's pairs in different components whose signatures allow the threshold, each in its first band only."""
+    band, n, label = int(t["tile"][0, 0]) >> 48, t["n"], t["label"]
+    octets = np.ascontiguousarray(t["sig"]).view(np.uint8).reshape(len(n), -1)
+    right = np.flatnonzero(t["side"] == 2)
+    within = not len(right) and not (t["side"] == 1).any()
+    for p in range(len(n)) if within else np.flatnonzero(t["side"] == 1).tolist():
+        q = np.arange(p + 1, len(n)) if within else right
+        q = q[(label[q] != label[p]) & (100 * n[q] >= LEAST_PERCENT * n[p]) & (100 * n[p] >= LEAST_PERCENT * n[q])]
+        if len(q):
+            agree = np.count_nonzero(octets[q] == octets[p], axis=1) - (8 * SIG_LONGS - COORDINATES)
+            q, agree = q[agree >= MATCHES], agree[agree >= MATCHES]
+            first = np.argmax(t["sig"][q, :BANDS] == t["sig"][p, :BANDS], axis=1) == band if len(q) else np.zeros(0, bool)
+            if first.any():
+                yield p, q[first], agree[first]
+
+
+def _hopeful(batches):
+    """(key, row, label, n) of members with a candidate in another component."""
+    for t in _members(batches, False):
+        flag = np.zeros(len(t["n"]), bool)
+        for p, q, _ in _candidates(t):
+            flag[p] = flag[q] = True
+        if flag.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t["tile"][flag, 0], t["row"][flag], t["label"][flag], t["n"][flag])], ["key", "row", "label", "n"])
+
+
+def _connecting(batches):
+    """(u, v): of a tile's verified links those that connect its components, the likeliest first."""
+    for t in _members(batches, True):
+        found = [(-m, p, q) for p, qs, ms in _candidates(t) for q, m in zip(qs.tolist(), ms.tolist(), strict=True)]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:  # noqa: B023
+                root[x] = root[root[x]]  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        u, v = [], []
+        for _, p, q in sorted(found):
+            a, b = find(int(t["label"][p])), find(int(t["label"][q]))
+            if a != b and 100 * (both := shared(t["set"][p], t["set"][q])) >= LEAST_PERCENT * (len(t["set"][p]) + len(t["set"][q]) - both):
+                root[a] = b
+                u.append(int(t["row"][p]))
+                v.append(int(t["row"][q]))
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _by_tile(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _verify(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """Of candidate pairs (u, v), those whose full shingle sets reach the threshold."""
-    texts = _only(base, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
-    named = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    texts = keep_rows(base, pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct())
+    named = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.select("u", "v").join(named("u"), "u").join(named("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+def _grouped(base: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, stays for ``base(row, doc_id, text)``, a written table with unique rows."""
+    profile = materialize(base.mapInArrow(_profile, "row long, doc_id long, n_shingles long, d0 long, d1 long, sig array<long>, sketch array<long>"), "profile")
+    classes = profile.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    classes = materialize(classes.select("d0", "d1", "rep"), "classes")
+    members = profile.select("row", "doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"], "left")
+    members = materialize(members.select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep"), F.col("rep").isNotNull().alias("grouped")), "members")
+    signed = without_rows(profile.where("n_shingles > 0"), members.where("rep <> row").select("row"))
+    signed = signed.select("row", F.col("n_shingles").alias("n"), "sig", "sketch")
 
-    Null or empty texts have no shingles and are their own component. A null id takes part
-    through its text only; its component is that of its copies, else null, and kept is
-    false. Repeated rows get equal results. Ties: the smallest id stays. Other columns are
-    not read. Empty input gives no rows.
-    """
-    base = id_and_text(docs, id_col, text_col)
-    profile = materialize(base.mapInArrow(_profile, "doc_id long, n_shingles long, d0 long, d1 long, sig array<long>, sketch array<long>"), "profile")
-    sized = profile.where("n_shingles > 0").select("doc_id", "n_shingles", "d0", "d1")
-    classes = sized.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
-    members = materialize(
-        sized.join(classes, ["d0", "d1"]).select("doc_id", "n_shingles", "rep").unionByName(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "members"
-    )
-    reps = members.where("n_shingles > 0 and doc_id = rep").select("doc_id").distinct()
-    signed = profile.where("n_shingles > 0").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id", "d0", "d1"])
-    signed = materialize(signed.select("doc_id", F.col("n_shingles").alias("n"), "sig", "sketch"), "signed")
-
-    rows = signed.select("doc_id", F.posexplode(F.slice("sig", 1, BANDS)).alias("band", "low")).select("doc_id", F.shiftleft(F.col("band").cast("long"), 48).bitwiseOR(F.col("low")).alias("key"))
-    # hubs: the smallest id, in all bands, so hubs recur
-    buckets = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(rows.join(buckets, "key").select("key", "doc_id", "hub"), "buckets")
-    facts = materialize(_only(signed, buckets.select("doc_id")), "facts")
+    keyed = signed.select("row", F.posexplode(F.slice("sig", 1, BANDS)).alias("band", "low")).select("row", F.shiftleft(F.col("band").cast("long"), 48).bitwiseOR(F.col("low")).alias("key"))
+    # hubs: the smallest row, in all bands, so hubs recur
+    buckets = keyed.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    buckets = materialize(keyed.join(buckets, "key").select("key", "row", "hub"), "buckets")
+    facts = materialize(keep_rows(signed, buckets.select("row").distinct()), "facts")
 
     # first each class with its nearest hub only, so texts move about once however large a group is
-    pairs = buckets.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    pairs = pairs.alias("p").join(facts.alias("x"), F.col("p.u") == F.col("x.doc_id")).join(facts.alias("y"), F.col("p.v") == F.col("y.doc_id")).where(_near("x", "y"))
+    pairs = buckets.where("row <> hub").select(F.col("hub").alias("u"), F.col("row").alias("v")).distinct()
+    pairs = pairs.alias("p").join(facts.alias("x"), F.col("p.u") == F.col("x.row")).join(facts.alias("y"), F.col("p.v") == F.col("y.row")).where(_near("x", "y"))
     pairs = pairs.select("u", "v", _matches("x", "y").alias("matches")).where(F.col("matches") >= MATCHES)
     nearest = materialize(pairs.groupBy("v").agg(F.max(F.struct("matches", (-F.col("u")).alias("u")))["u"].alias("u")).select((-F.col("u")).alias("u"), "v"), "nearest")
     first = materialize(connected_components(_verify(nearest, base)), "first")
 
-    # then close pairs in different components, which join most of what a large group has left
-    opened = materialize(_mixed(buckets.select("key", "doc_id"), first, facts), "open")
-    wide = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 2), F.lit(2)), lambda k: F.xxhash64(k, F.element_at("sig", k + 1), F.element_at("sig", k + 2)))
-    doubled = opened.select("doc_id", "sig").dropDuplicates(["doc_id"]).select("doc_id", F.explode(wide).alias("key"))
-    close = _apart(materialize(_mixed(doubled, first, facts), "doubled"), _matches("x", "y") >= CLOSE_MATCHES).distinct()
-    close = materialize(close.join(nearest, ["u", "v"], "left_anti"), "close")
-    second = _contracted(first, _verify(close, base), "second")
-
-    # last, all pairs of a bucket that are still in different components
-    left = materialize(_mixed(opened.select("key", "doc_id"), second, facts), "left")
-    here = F.shiftright("x.key", 48) == _first_band("x", "y")
-    rest = _apart(left, here & (_matches("x", "y") >= MATCHES))
-    rest = materialize(rest.join(nearest.unionByName(close), ["u", "v"], "left_anti"), "rest")
-    final = _contracted(second, _verify(rest, base), "final")
-    out = members.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    # then, of buckets that hold several components, the members with a candidate in another one, and their links
+    labelled = buckets.select("key", "row").join(first.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("component", "row").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    opened = materialize(labelled.join(mixed, "key").join(facts.select("row", "n"), "row").select("key", "row", "label", "n"), "open")
+    hopeful = _by_tile(_tiled(opened).join(facts.select("row", "n", "sig"), "row")).mapInArrow(_hopeful, "key long, row long, label long, n long")
+    hopeful = materialize(hopeful.distinct(), "hopeful")
+    rows = hopeful.select("row").distinct()
+    full = keep_rows(base, rows).select("row", "text").mapInArrow(_sets, "row long, shingles binary").join(facts.select("row", "n", "sig"), "row")
+    links = _by_tile(_tiled(hopeful).join(full, "row")).mapInArrow(_connecting, "u long, v long")
+    final = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+    final = final.withColumnRenamed("node", "rep")
+
+    labels = members.join(final, "rep", "left").withColumn("grouped", F.col("grouped") | F.col("component").isNotNull()).withColumn("label", F.coalesce("component", "rep"))
+    labels = materialize(labels.select("row", "doc_id", "n_shingles", "grouped", "label"), "labels")
+    # of a group the smallest id stays, a null one only if there is no other, and of equal ids the first row
+    heads = labels.where("grouped").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")).alias("head"))
+    several = labels.where("grouped").join(materialize(heads, "heads"), "label").select("row", "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("stays"))
+    return several.unionByName(labels.where("not grouped").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, stays for every row of ``docs``.
+
+    component_id is the smallest id of the rows reachable by links, kept tells that it is the
+    row's own id. Null or empty texts have no shingles, link with nothing and are their own
+    component. A null id takes part through its text; its component is null if no row of its
+    group has an id, and kept is false. Repeated rows are copies of each other, equal in all
+    but ``stays``, which marks one row of each group: that of the smallest id, ties by place.
+    Texts of any length are taken whole. Other columns are not read. Empty input gives no rows.
+    """
+    found = _grouped(numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "stays")
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that are the smallest id of their near-duplicate group."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Pipeline stage: one document of each group of near-duplicates, all columns as they were.
+
+    Of a group the smallest id stays, of repeated rows one; a document without words or with
+    a null id and a text of its own stays. Columns other than doc_id and text are not read.
+    """
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("data")))
+    found = _grouped(rows.select("row", F.col("data.doc_id").cast("long").alias("doc_id"), F.col("data.text").cast("string").alias("text")))
+    return without_rows(rows, found.where("not stays").select("row")).select("data.*")

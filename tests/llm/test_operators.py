@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import pickle
 import random
 import re
 import zlib
@@ -99,13 +100,85 @@ def test_packing_holds_all_tokens_without_gaps(docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
-def test_bin_completion_is_no_worse_than_best_fit():
-    rnd = random.Random(2)
-    for _ in range(30):
-        lengths = [rnd.randint(1, 60) for _ in range(rnd.randint(0, 40))]
-        found = packing.bin_completion(lengths, 60)
-        assert sorted(itertools.chain(*found)) == sorted(lengths)
-        assert packing.lower_bound(lengths, 60) <= len(found) <= len(packing.best_fit_decreasing(lengths, 60))
+def histogram(lengths, capacity):
+    return [sum(n == k for n in lengths) for k in range(capacity + 1)]
+
+
+def fewest_bins(lengths, capacity):
+    """By trying each piece in every bin."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def go(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        for b in {x: j for j, x in enumerate(bins) if x + lengths[k] <= capacity}.values():
+            bins[b] += lengths[k]
+            go(k + 1, bins)
+            bins[b] -= lengths[k]
+        go(k + 1, [*bins, lengths[k]])
+
+    go(0, [])
+    return best
+
+
+def plain_best_fit(lengths, capacity):
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [b for b in bins if capacity - sum(b) >= n]
+        if fits:
+            min(fits, key=lambda b: capacity - sum(b)).append(n)
+        else:
+            bins.append([n])
+    return len(bins)
+
+
+def test_bin_completion_finds_the_fewest_sequences():
+    rnd, better = random.Random(2), 0
+    for k in range(200):
+        capacity = rnd.choice((20, 50, 100))
+        lengths = [rnd.randint(1, capacity) if k % 2 else rnd.randint(capacity // 5, capacity // 2) for _ in range(rnd.randint(0, 10))]
+        count = histogram(lengths, capacity)
+        first, (found, proven) = packing.best_fit_decreasing(count, capacity), packing.bin_completion(count, capacity)
+        for solution in (first, found):
+            assert sorted(n for pattern, times in solution for n in pattern * times) == sorted(lengths) and all(sum(p) <= capacity for p, _ in solution)
+        least = fewest_bins(lengths, capacity)
+        assert sum(m for _, m in first) == plain_best_fit(lengths, capacity)
+        assert proven and packing.lower_bound(count, capacity) <= sum(m for _, m in found) == least
+        better += least < sum(m for _, m in first)
+    assert better > 2
+
+
+def test_bin_completion_restores_full_sequences_that_best_fit_misses():
+    solved = 0
+    for seed in range(8):
+        rnd, lengths = random.Random(seed), []
+        for _ in range(15):
+            a = rnd.randint(380, 490)
+            b = rnd.randint(250, (1000 - a) // 2)
+            lengths += [a, b, 1000 - a - b]
+        count = histogram(lengths, 1000)
+        assert sum(m for _, m in packing.best_fit_decreasing(count, 1000)) > 15
+        solved += sum(m for _, m in packing.bin_completion(count, 1000)[0]) == 15
+    assert solved >= 6
+
+
+def test_fillings_hold_every_one_that_none_dominates():
+    rnd = random.Random(12)
+    for _ in range(60):
+        pieces, room = [rnd.randint(2, 12) for _ in range(rnd.randint(1, 7))], rnd.randint(3, 24)
+        count = histogram(pieces, room)
+        count = count[: room + 1]
+        inside = [p for p in pieces if p <= room]
+        every = {tuple(sorted(c, reverse=True)) for k in range(len(inside) + 1) for c in itertools.combinations(inside, k) if sum(c) <= room}
+        found = [(w, f) for w, f in packing.fillings(count, room)]
+        kept = [f for _, f in found if f is not None]
+        assert len(kept) == len(set(kept)) and set(kept) <= every and [w for w, _ in found] == sorted(w for w, _ in found)
+        largest = max(map(sum, every))
+        assert max(map(sum, kept)) == largest
 
 
 def test_archive_round_trip(spark):
@@ -238,7 +311,7 @@ def test_leaks_equal_brute_force(spark):
             parts[at:at] = leak
         docs.append((k, " ".join(parts)))
     docs += [(200, None), (201, ""), (202, "Two Words")]
-    index = decontaminate.build_shards(spark.createDataFrame(items, "item_id long, text string"))[0]
+    stride = decontaminate.build_index(spark.createDataFrame(items, "item_id long, text string"))[2]
     want = set()
     for d, t in docs:
         w = WORD.findall(lower(t))
@@ -250,13 +323,15 @@ def test_leaks_equal_brute_force(spark):
             order = [tuple(qw[k : k + 5]) for k in range(len(qw) - 4)] if len(qw) >= 5 else [tuple(qw)]
             cut = 2 * len(order) // 3
             question, answer = set(order[: max(1, cut)]), set(order[cut:])
-            for a in range(0, max(len(w), 1), index.stride):
-                have = {tuple(w[k : k + 5]) for k in range(a, min(a + 2 * index.stride - 4, len(w) - 4))} if len(w) >= 5 else {tuple(w)}
+            for a in range(0, max(len(w), 1), stride):
+                have = {tuple(w[k : k + 5]) for k in range(a, min(a + 2 * stride - 4, len(w) - 4))} if len(w) >= 5 else {tuple(w)}
                 if 100 * len(s & have) >= 75 * len(s) and 2 * len(question & have) >= len(question) and 2 * len(answer & have) >= len(answer):
                     want.add((d, i))
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     got = decontaminate.leaked_items(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 10
+    several = decontaminate.leaked_items(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"), shard_terms=200)
+    assert {(r.doc_id, r.item_id) for r in several.collect()} == want
     assert decontaminate.leaked_items(frame([], "doc_id long, text string"), frame([], "item_id long, text string")).count() == 0
 
 
@@ -272,7 +347,9 @@ def test_leaks_are_found_in_any_case(spark):
 def test_wand_equals_plain_scores(spark):
     rnd = random.Random(10)
     items = [(k, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(5, 40)))) for k in range(300)]
-    index = decontaminate.build_shards(spark.createDataFrame(items, "item_id long, text string"))[0]
+    shards = decontaminate.build_index(spark.createDataFrame(items, "item_id long, text string"))[0].collect()
+    assert len(shards) == 1
+    index = pickle.loads(shards[0]["index"])
     for _ in range(40):
         terms = sorted(rnd.sample(range(len(index.terms)), 60))
         for threshold in (0.05, 0.2, 0.6):

@@ -53,6 +53,12 @@ def numbered(df: DataFrame) -> DataFrame:
     return materialize(df.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
+def few(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written, and marked for broadcast if it has at most SENT_ROWS / 16 short rows."""
+    df = materialize(df, tag)
+    return F.broadcast(df) if df.count() <= SENT_ROWS // 16 else df
+
+
 def _picked(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     rows = materialize(rows, "rows")
     return df.join(F.broadcast(rows) if rows.count() <= SENT_ROWS else rows, "row", how)

@@ -9,18 +9,22 @@ every item and retrieval loses nothing that verification could accept. Retrieved
 verified: LEAST_PERCENT of all shingles, and half of those of the question (the words up to
 two thirds) and of the answer (the rest), occur in the passage.
 
-The index is built in shards of at most SHARD_TERMS terms, each sent to the tasks with the
-function; the texts are read once per shard and never shuffled.
+The index is built in shards of about SHARD_TERMS terms, each by a task of its own. Texts are
+read once: a bitmap of all terms, of fixed size, picks the shingles that may be terms, and only
+these meet the shards, which are sent to the tasks one at a time.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialize
+from .common import few, materialize, numbered, without_rows
 from .shingles import ordered_shingles
 
 LEAST_PERCENT = 75
@@ -28,31 +32,35 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 STRIDE = 64
 SHARD_TERMS = 1_000_000
-FILTER_BITS = 20
+FILTER_BITS = 24
 
 
-def folded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def folded(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """doc_id and text with the case of all letters folded, also of those above ASCII.
 
     Upper before lower, so that letters whose capitals are others (ß and SS) agree as well;
     the empty string keeps Spark from reading lower(upper(x)) as lower(x).
     """
-    return id_and_text(df, id_col, text_col).withColumn("text", F.lower(F.concat(F.upper("text"), F.lit(""))))
+    base = df.select(*more, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return base.withColumn("text", F.lower(F.concat(F.upper("text"), F.lit(""))))
 
 
 class Index:
-    """Postings of one shard of items, in blocks with their largest weight."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], document_counts: dict[int, int], total: int, average: float):
-        self.ids = [i for i, _ in items]
-        self.sets = [np.unique(s) for _, s in items]
-        self.question = [np.unique(s[: max(1, (2 * len(s)) // 3)]) for _, s in items]
-        self.answer = [np.unique(s[(2 * len(s)) // 3 :]) for _, s in items]
-        self.stride = max([STRIDE, *(len(s) + 4 for _, s in items)])
+    """Postings of one shard of items, in blocks with their largest weight.
+
+    ``items`` has for each item its id, its shingles in order, and of each of them the number of
+    items that hold it.
+    """
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], total: int, average: float):
+        self.ids = [i for i, _, _ in items]
+        self.sets = [np.unique(s) for _, s, _ in items]
+        self.question = [np.unique(s[: max(1, (2 * len(s)) // 3)]) for _, s, _ in items]
+        self.answer = [np.unique(s[(2 * len(s)) // 3 :]) for _, s, _ in items]
         postings: dict[int, list[tuple[int, float]]] = {}
-        for k, (_, s) in enumerate(items):
-            terms, counts = np.unique(s, return_counts=True)
-            seen = np.array([document_counts[int(t)] for t in terms.view(np.int64)], np.float64)
+        for k, (_, s, held_by) in enumerate(items):
+            terms, at, counts = np.unique(s, return_index=True, return_counts=True)
+            seen = held_by[at].astype(np.float64)
             idf = np.log1p((total - seen + 0.5) / (seen + 0.5))
             weight = idf * counts * (K1 + 1) / (counts + K1 * (1 - B + B * len(s) / average))
             need = -(-LEAST_PERCENT * len(terms) // 100)
@@ -65,17 +73,14 @@ class Index:
         self.weights = [[w for _, w in p] for p in lists]
         self.block_max = [[max(w[a : a + BLOCK]) for a in range(0, len(w), BLOCK)] for w in self.weights]
         self.term_max = [max(b) for b in self.block_max]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.terms >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def hits(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of shingles that are terms, and which terms."""
-        at = np.flatnonzero(self.filter[(shingles >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        if not len(at) or not len(self.terms):
-            return at[:0], at[:0]
-        found = np.minimum(np.searchsorted(self.terms, shingles[at]), len(self.terms) - 1)
-        good = self.terms[found] == shingles[at]
-        return at[good], found[good]
+        """Which of the shingles are terms, and which terms."""
+        if not len(self.terms) or not len(shingles):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = np.minimum(np.searchsorted(self.terms, shingles), len(self.terms) - 1)
+        at = np.flatnonzero(self.terms[found] == shingles)
+        return at, found[at]
 
     def search(self, terms: list[int], threshold: float = 1 - 1e-9) -> list[int]:
         """Items whose score for these distinct terms reaches the threshold."""
@@ -119,13 +124,14 @@ class Index:
             place = last + 1 if items[last] < target else place + 1
         cursor[:2] = [items[place], place] if place < len(items) else [1 << 62, -1]
 
-    def leaks(self, shingles: np.ndarray) -> dict[int, float]:
-        """Verified items by id with the largest share of their shingles in one passage."""
-        places, terms = self.hits(shingles)
+    def leaks(self, at: np.ndarray, shingles: np.ndarray, stride: int) -> dict[int, float]:
+        """Verified items by id with the largest share of their shingles in one passage, from shingles and their places in a text."""
+        which, terms = self.hits(shingles)
+        places = at[which]
         out: dict[int, float] = {}
         done = None
-        for start in sorted({max(0, p // self.stride - back) for p in places.tolist() for back in (0, 1)}):
-            a, b = np.searchsorted(places, [start * self.stride, start * self.stride + 2 * self.stride - 4])
+        for start in sorted({max(0, p // stride - back) for p in places.tolist() for back in (0, 1)}):
+            a, b = np.searchsorted(places, [start * stride, start * stride + 2 * stride - 4])
             if a == b or (a, b) == done:
                 continue
             done = (a, b)
@@ -143,63 +149,106 @@ def _terms(batches):
     for batch in batches:
         for i, s in zip(batch.column("doc_id").to_pylist(), ordered_shingles(batch.column("text")), strict=True):
             if i is not None and len(s):
-                yield pa.RecordBatch.from_pydict({"item_id": pa.array([i], pa.int64()), "n": pa.array([len(s)], pa.int64()), "terms": pa.array([s.view(np.int64)], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"item_id": pa.array([i], pa.int64()), "terms": pa.array([s.view(np.int64)], pa.list_(pa.int64()))})
+
 
+def _built(total: int, average: float):
+    def run(group):
+        items = [(int(r.item_id), np.asarray(r.terms, np.int64).view(np.uint64), np.asarray(r.held_by, np.int64)) for r in group.sort_values("item_id").itertuples()]
+        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "index": [pickle.dumps(Index(items, total, average))]})
 
-def build_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Index shards of the test items; counts of terms are taken over all items."""
-    rows = materialize(folded(items, id_col, text_col).dropDuplicates(["doc_id"]).mapInArrow(_terms, "item_id long, n long, terms array<long>"), "items")
-    total, average = rows.agg(F.count("*"), F.avg("n")).first()
-    if not total:
-        return []
-    counts = rows.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    often = {r.t: r.c for r in counts.where("c > 1").collect()}
+    return run
 
-    class Counts(dict):
-        def __missing__(self, key):
-            return 1
 
-    often, shards, size, part = Counts(often), [], 0, []
-    for r in rows.orderBy("item_id").toLocalIterator():
-        if part and size + r.n > SHARD_TERMS:
-            shards.append(Index(part, often, total, average))
-            size, part = 0, []
-        part.append((r.item_id, np.array(r.terms, np.int64).view(np.uint64)))
-        size += r.n
-    return [*shards, Index(part, often, total, average)]
+def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, np.ndarray, int]:
+    """Index shards (shard, index), each built by a task of its own; a bitmap of all terms; the stride of passages.
 
+    Counts of terms are taken over all items. Of repeated ids one row counts.
+    """
+    rows = materialize(folded(items, id_col, text_col).dropDuplicates(["doc_id"]).mapInArrow(_terms, "item_id long, terms array<long>"), "items")
+    total, average, longest, size = rows.agg(F.count("*"), F.avg(F.size("terms")), F.max(F.size("terms")), F.sum(F.size("terms"))).first()
+    terms = materialize(rows.select("item_id", F.posexplode("terms").alias("at", "term")), "terms")
+    held_by = terms.select("item_id", "term").distinct().groupBy("term").agg(F.count("*").alias("held_by"))
+    whole = terms.join(held_by, "term").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "term", "held_by"))).alias("all"))
+    shards = max(1, -(-(size or 0) // shard_terms))
+    dealt = whole.select(F.pmod(F.xxhash64("item_id"), F.lit(shards)).alias("shard"), "item_id", F.col("all.term").alias("terms"), F.col("all.held_by").alias("held_by"))
+    index = materialize(dealt.groupBy("shard").applyInPandas(_built(total, average), "shard long, index binary"), "index")
+    slot = F.shiftrightunsigned("term", 64 - FILTER_BITS)
+    words = terms.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most 2^(FILTER_BITS-6) rows
+        bitmap[r.word] = np.array(r.bits, np.int64).view(np.uint64)
+    return index, bitmap, max(STRIDE, (longest or 0) + 4)
+
+
+def _hits(shared):
+    """(row, places, terms) of texts with a shingle that is in the bitmap."""
 
-def _leaks(shared):
     def run(batches):
-        index = shared.value
+        bitmap = shared.value
         for batch in batches:
-            ids, items, shares = [], [], []
+            rows, ends, places, terms = [], [0], [], []
             for k, s in enumerate(ordered_shingles(batch.column("text"))):
-                for item, share in sorted(index.leaks(s).items()):
-                    ids.append(k)
+                slot = s >> np.uint64(64 - FILTER_BITS)
+                at = np.flatnonzero(bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+                if len(at):
+                    rows.append(k)
+                    ends.append(ends[-1] + len(at))
+                    places.append(at)
+                    terms.append(s[at].view(np.int64))
+            lists = lambda parts: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows, pa.int64())), lists(places), lists(terms)], ["row", "places", "terms"])
+
+    return run
+
+
+def _leaks(shared, stride: int):
+    def run(batches):
+        index = pickle.loads(shared.value)
+        for batch in batches:
+            rows, items, shares = [], [], []
+            for row, places, terms in zip(*(batch.column(c).to_pylist() for c in ("row", "places", "terms")), strict=True):
+                for item, share in sorted(index.leaks(np.array(places, np.int64), np.array(terms, np.int64).view(np.uint64), stride).items()):
+                    rows.append(row)
                     items.append(item)
                     shares.append(share)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], ["doc_id", "item_id", "overlap"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], ["row", "item_id", "overlap"])
 
     return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _leaked_rows(rows: DataFrame, items: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
+    """row, item_id, overlap for ``rows(row, text)``. The texts are read once; their hits meet one shard after another."""
+    spark = rows.sparkSession
+    index, bitmap, stride = build_index(items, shard_terms=shard_terms)
+    hits = materialize(rows.select("row", "text").mapInArrow(_hits(spark.sparkContext.broadcast(bitmap)), "row long, places array<long>, terms array<long>"), "hits")
+    out = spark.createDataFrame([], "row long, item_id long, overlap double")
+    for (shard,) in index.select("shard").orderBy("shard").collect():
+        one = spark.sparkContext.broadcast(bytes(index.where(F.col("shard") == shard).first()["index"]))
+        out = out.unionByName(materialize(hits.mapInArrow(_leaks(one, stride), out.schema), "leaks"))
+        one.destroy()
+    return out
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_terms: int = SHARD_TERMS) -> DataFrame:
     """doc_id, item_id, overlap for every document and test item of which it holds a passage.
 
     Null or empty texts and items leak nothing; an item of under five words is one shingle,
-    found only in a text that is equal to it. Case does not count, in any script. Null document ids are reported with a null id;
-    items with a null id are left out. Repeated rows are reported once each. Other columns
-    are not read. Empty input gives no rows.
+    found only in a text that is equal to it. Case does not count, in any script. Texts of any
+    length are searched whole. Null document ids are reported with a null id; items with a null
+    id are left out. Repeated rows are reported once each, ties in any order. Other columns are
+    not read. Empty input gives no rows.
     """
-    spark, base = docs.sparkSession, folded(docs, id_col, text_col)
-    out = spark.createDataFrame([], "doc_id long, item_id long, overlap double")
-    for index in build_shards(items):
-        out = out.unionByName(base.mapInArrow(_leaks(spark.sparkContext.broadcast(index)), out.schema))
-    return out
+    rows = numbered(folded(docs, id_col, text_col))
+    return rows.select("row", "doc_id").join(few(_leaked_rows(rows, items, shard_terms), "found"), "row").select("doc_id", "item_id", "overlap")
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no passage of a benchmark item."""
-    leaks = leaked_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: the documents that hold no passage of a benchmark item, all columns as they were.
+
+    Rows are numbered, so null and repeated ids do no harm. A null or empty text stays.
+    """
+    rows = numbered(docs.select(F.struct(*docs.columns).alias("data")))
+    text = folded(rows.select("row", "data.doc_id", "data.text"), "doc_id", "text", "row")
+    leaks = _leaked_rows(text, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_rows(rows, leaks.select("row").distinct()).select("data.*")

@@ -17,6 +17,10 @@ from .shingles import mix64, text_chunks, word_hashes
 
 def byte_trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every byte trigram that lies in one text, and where each text's trigrams begin."""
+    return _trigrams(data, offsets, bits, None)
+
+
+def _trigrams(data: np.ndarray, offsets: np.ndarray, bits: int, usable: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     n = max(len(data) - 2, 0)
     low = data.astype(np.uint32)
     low[(low >= 65) & (low <= 90)] += 32
@@ -28,6 +32,8 @@ def byte_trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.
     for back in (1, 2):  # a trigram that crosses into the next text belongs to neither
         cut = offsets[1:-1] - back
         inside[cut[(cut >= 0) & (cut < n)]] = False
+    if usable is not None:
+        inside &= usable[:n] & usable[1 : n + 1] & usable[2 : n + 2]
     at = np.concatenate([[0], np.cumsum(inside)])
     return buckets[inside], at[np.minimum(offsets, n)]
 
@@ -45,11 +51,24 @@ def word_bigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.n
     return (both >> np.uint64(64 - bits)).astype(np.int64), 2 * at
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words, each once a text, and where each text's begin."""
-    hashes, at = word_hashes(data, offsets)
+def letter_trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As byte_trigrams, without those that hold an ASCII digit: numbers and keys say nothing of the language."""
+    digit = (data >= 48) & (data <= 57)
+    return _trigrams(data, offsets, bits, ~digit)
+
+
+#: Bytes of the beginnings of words that stand for all words that share them.
+BEGINNINGS = (4, 5, 6, 8)
+
+
+def word_beginnings(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of beginnings of longer words, each once a text, and where each text's begin."""
+    hashes, at, shorter = word_hashes(data, offsets, BEGINNINGS)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
-    keys = np.unique((rows << bits) + (hashes >> np.uint64(64 - bits)).astype(np.int64))
+    keys = [(rows << bits) + (hashes >> np.uint64(64 - bits)).astype(np.int64)]
+    for size, (where, part) in zip(BEGINNINGS, shorter, strict=True):
+        keys.append((rows[where] << bits) + (mix64(part + np.uint64(size)) >> np.uint64(64 - bits)).astype(np.int64))
+    keys = np.unique(np.concatenate(keys))
     return keys & ((1 << bits) - 1), np.searchsorted(keys, np.arange(len(offsets)) << bits)
 
 

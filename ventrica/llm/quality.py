@@ -1,16 +1,17 @@
 """Quality by importance resampling of hashed n-grams.
 
 Two bag models over hashed words and word pairs: the target model from labelled texts that
-are good and not toxic, the raw model from all texts. A text's weight is the log ratio of the two, per n-gram and
-drawn to zero for very short texts. Texts are sampled without replacement by Gumbel top-k:
-TEMPERATURE times a Gumbel variate, fixed by the row's id, is added, and the k largest stay;
-all rows that tie with the k-th do. k is the number of texts whose weight reaches the cut
-that best parts held-out labelled texts. The k-th largest is found by narrowing histograms,
-so nothing is sorted or collected as a whole.
+are good and not toxic, the raw model from all texts. A text's weight is the sum of the log ratios
+of its n-grams, that is the log of its likelihood in the target over that in the raw texts. Texts
+are sampled without replacement, in proportion to that ratio, by Gumbel top-k: a standard Gumbel
+variate, fixed by the row's id, is added, and the k largest stay; all rows that tie with the k-th
+do. k is a parameter, as a share of the rows; by default it is the number of texts whose weight
+reaches the cut that best parts held-out labelled texts. The k-th largest is found by narrowing
+histograms, so nothing is sorted or collected as a whole.
 
 A few insults among many good words hardly move a mean over n-grams, so toxic texts are found
-by a sum: the log odds of the text's distinct words that labelled toxic texts hold
-significantly more often than the others. Texts over the cut that best parts held-out rows
+by another sum: the log odds of the text's distinct words and beginnings of words that labelled
+toxic texts hold significantly more often than the others. Texts over the cut that best parts held-out rows
 are not sampled from.
 
 Only the target model, the toxic words and the cuts come from a sample: at most LABELLED
@@ -22,18 +23,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import id_and_text, materialize
-from .hashed import distinct_words, hashed_counts, text_sums, word_bigrams
+from .hashed import hashed_counts, text_sums, word_beginnings, word_bigrams
 
 BITS = 13
-WORD_BITS = 16
+WORD_BITS = 18
 SMOOTHING = 1.0
-SHORT = 12
 LABELLED = 20_000
-TEMPERATURE = 0.01
 CLEAN_COST = 8
 BINS = 4096
 SEED = 20
@@ -94,14 +95,17 @@ def kth_largest(scored: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None, carry: bool = False) -> DataFrame:
     """doc_id, n_grams, weight, score, toxicity, kept for every row of ``docs``.
 
-    Labels are rows (doc_id, quality 0 or 1, toxic 0 or 1); null or other values are ignored
-    and not toxic, as are all if there is no such column; of several labels of an id the
-    largest counts. Without labels every row is kept. Null or empty texts have weight and
-    toxicity 0. A null id takes part like an unlabelled one. Rows with equal id and text
-    have equal results. Other columns are not read. Empty input gives no rows.
+    ``share`` is the part of the rows that are not toxic that is sampled; None takes as many as
+    reach the cut. Labels are rows (doc_id, quality 0 or 1, toxic 0 or 1); null or other values
+    are ignored and not toxic, as are all if there is no such column; of several labels of an id
+    the largest counts. Without labels every row is kept. Null or empty texts have weight and
+    toxicity 0; texts of any length are taken whole. A null id takes part like an unlabelled
+    one. Rows with equal id and text have equal results. Other columns are not read. Empty
+    input gives no rows. With ``carry`` each row's columns are carried in ``data`` in place of
+    doc_id.
     """
     base = id_and_text(docs, id_col, text_col)
     one_of = lambda c: F.when(c.cast("int").isin(0, 1), c.cast("int"))
@@ -116,30 +120,41 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     table = log_ratios(counts.sum(axis=0), counts[1])[None]
     models = base.join(F.broadcast(wanted.where("fold = 0")), "doc_id")
     texts = models.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
-    odds = toxic_odds(hashed_counts(models.withColumn("class", F.col("toxic")), distinct_words, WORD_BITS, 2), texts)[None]
+    odds = toxic_odds(hashed_counts(models.withColumn("class", F.col("toxic")), word_beginnings, WORD_BITS, 2), texts)[None]
 
     def weigh(batches):
         for batch in batches:
-            parts = list(text_sums(batch.column("text"), word_bigrams, BITS, table))
+            text = pc.struct_field(batch.column("data"), text_col) if carry else batch.column("text")
+            parts = list(text_sums(text, word_bigrams, BITS, table))
             n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             sums = np.concatenate([p[1][0] for p in parts]) if parts else np.zeros(0)
-            insults = [p[1][0] for p in text_sums(batch.column("text"), distinct_words, WORD_BITS, odds)]
+            insults = [p[1][0] for p in text_sums(text, word_beginnings, WORD_BITS, odds)]
             insults = np.concatenate(insults) if insults else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums / (n + SHORT)), pa.array(insults.round(9))], ["doc_id", "n_grams", "weight", "toxicity"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(sums.round(9)), pa.array(insults.round(9))], [*kept, "n_grams", "weight", "toxicity"])
 
-    weights = base.mapInArrow(weigh, "doc_id long, n_grams long, weight double, toxicity double")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*docs.columns).alias("data")) if carry else base
+    kept = StructType([f for f in source.schema if f.name != "text"])
+    weights = source.mapInArrow(weigh, kept.add("n_grams", "long").add("weight", "double").add("toxicity", "double"))
     uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = materialize(weights.withColumn("score", F.col("weight") - TEMPERATURE * F.log(-F.log(uniform))), "weights")
-    held = scored.join(F.broadcast(wanted.where("fold = 1")), "doc_id").select("weight", "toxicity", "quality", "toxic", "good").limit(2 * LABELLED).collect()
+    scored = materialize(weights.withColumn("score", F.col("weight") - F.log(-F.log(uniform))), "weights")
+    # ids may repeat; one row of each labelled id, in a fixed order, so at most LABELLED rows
+    held = scored.join(F.broadcast(wanted.where("fold = 1")), "doc_id").groupBy("doc_id").agg(F.min("weight").alias("weight"), F.max("toxicity").alias("toxicity"), F.max("toxic").alias("toxic"), F.max("good").alias("good")).collect()
     most = -best_cut([-r.toxicity for r in held], [r.toxic == 0 for r in held])
     left = [r for r in held if r.toxicity <= most]  # a toxic row that stays counts as a bad one
     cut = best_cut([r.weight for r in left], [r.good for r in left])
     mild = scored.where(F.col("toxicity") <= most)
-    threshold = kth_largest(mild, "score", mild.where(F.col("weight") >= cut).count())
-    return scored.select("doc_id", "n_grams", "weight", "score", "toxicity", ((F.col("score") >= threshold) & (F.col("toxicity") <= most)).alias("kept"))
+    k = mild.where(F.col("weight") >= cut).count() if share is None else round(share * mild.count())
+    threshold = kth_largest(mild, "score", k)
+    kept = (F.col("score") >= threshold) & (F.col("toxicity") <= most)
+    return scored.select("data" if carry else "doc_id", "n_grams", "weight", "score", "toxicity", kept.alias("kept"))
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the resampling keeps."""
-    sample = quality_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(sample.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Pipeline stage: the documents that the resampling keeps, all columns as they were.
+
+    Each row is decided by itself and carried along, so null and repeated ids do no harm; rows
+    with a null or empty text have weight 0, which the cut may keep.
+    """
+    sample = quality_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
+    return sample.where("kept").select("data.*")

@@ -10,7 +10,7 @@ from . import chat
 from .decontaminate import leaked_items
 from .embed_dedup import near_duplicate_vectors
 from .html_text import extract_main_text
-from .language import document_languages, page_languages
+from .language import document_languages, document_models, page_languages
 from .licenses import scan_licenses
 from .near_dup import near_duplicates
 from .packing import pack
@@ -51,9 +51,10 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of documents (page_id null) and of raw pages (doc_id null)."""
-    pages = page_languages(_table(spark, sf_dir, "pages"))
-    return document_languages(_table(spark, sf_dir, "documents")).unionByName(pages, allowMissingColumns=True)
+    """Rows of raw pages (doc_id null) and of documents (page_id null); the text models are learned from the documents' labels."""
+    docs = _table(spark, sf_dir, "documents")
+    table = document_models(docs)
+    return document_languages(docs, table).unionByName(page_languages(_table(spark, sf_dir, "pages"), table), allowMissingColumns=True)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,11 +60,16 @@ def text_chunks(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, np.nd
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and for each text the index of its first word (one more entry at the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, beginnings: tuple[int, ...] = ()) -> tuple:
+    """Hash of every word, and for each text the index of its first word (one more entry at the end).
+
+    With ``beginnings``, thirdly for each of these sizes which words are longer, and hashes of
+    so many bytes of them.
+    """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*none, [(none[1][:0], none[0])] * len(beginnings)) if beginnings else none
     up, down = _powers(n + 1)
     inside = ~_SPACE[data]
     first = inside.copy()
@@ -79,7 +84,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    if not beginnings:
+        return hashes, np.searchsorted(starts, offsets)
+    longer = [np.flatnonzero(ends - starts > size) for size in beginnings]
+    parts = [(where, mix64((total[starts[where] + size] - total[starts[where]]) * down[starts[where]])) for where, size in zip(longer, beginnings, strict=True)]
+    return hashes, np.searchsorted(starts, offsets), parts
 
 
 def ordered_shingles(column, words: int = WORDS) -> Iterator[np.ndarray]:

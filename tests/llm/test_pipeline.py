@@ -47,10 +47,11 @@ def test_languages_cover_documents_and_pages(spark):
 
 def test_text_languages_without_the_own_label(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    nothing, fold = F.lit(None).cast("string"), F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     said = {r.doc_id: r.lang for r in docs.collect()}
     right = 0
     for k in (0, 1):
-        out = language.identify_languages(docs.withColumn("fold", fold), "doc_id", F.col("text"), F.when(F.col("fold") != k, F.col("lang")), nothing, nothing)
-        right += sum(r.text_language == said[r.doc_id] for r in out.where(fold == k).collect())
+        table = language.document_models(docs.where(fold != k))
+        out = language.identify_languages(docs.where(fold == k), "doc_id", F.col("text"), table)
+        right += sum(r.text_language == said[r.doc_id] for r in out.collect())
     assert right / len(said) > 0.9

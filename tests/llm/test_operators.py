@@ -6,6 +6,7 @@ import itertools
 import pickle
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -230,6 +231,22 @@ def test_main_text_on_held_out_pages(spark):
     assert got[1] == ("A & B\nOne two three.\nFour", 25) and got[2] == ("", 0)
 
 
+def test_main_text_of_pages_without_telling_tags():
+    field = html_text.trained_field()
+    said = "This is a long sentence about some thing, with a comma and a stop. And another one follows it here, which is longer still."
+    bare = f"<div><ul><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul></div><div><div>{said}</div><div>{said} B</div></div><div>All rights reserved</div>"
+    table = f"<table><tr><td><a href=/>Home</a><br><a href=/x>News</a></td><td><p>{said}</p><p>{said} B</p></td></tr></table>"
+    for body in (bare, table):
+        assert html_text.main_text(field, f"<html><body>{body}</body></html>") == f"{said}\n{said} B"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a href="' * 120_000, "<div>x" * 170_000, "<div>" * 100_000 + "</p>" * 100_000, "".join(f'<div class="k{i}">x' for i in range(50_000)), "<" * 1_000_000, "<svg>" * 200_000, "<div>" + "<section>" * 50_000 + "<dd></dd>" * 50_000])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_text.main_text(html_text.trained_field(), page)
+    assert time.process_time() - began < 20
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     field = html_text.ChainField()
     field.weights, field.moves = {"a": 1.5, "b": -1.0, "c": 0.3}, [[0.4, -0.9], [-0.7, 0.8]]
@@ -280,6 +297,9 @@ def test_vectors_equal_all_pairs(spark):
     links = [(a, b) for a, b in itertools.combinations(live, 2) if cosine(live[a], live[b]) >= 0.9]
     want = components(range(len(vectors)), links)
     got = {r.vec_id: r for r in embed_dedup.near_duplicate_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    small = {r.vec_id: r for r in embed_dedup.near_duplicate_vectors(spark.createDataFrame([(k, v, "x") for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, lead string"), block=8).collect()}
+    none = embed_dedup.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>"))
+    assert small == got and none.count() == 0
     for k in range(len(vectors)):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (sum(k in x for x in links), want[k], want[k] == k)
 

@@ -39,11 +39,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a DataFrame made by :func:`materialize`, once nothing reads them."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:  # no files of an empty one, which take no room
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(conf).delete(path, True)
 
 
+class Scratch:
+    """materialize() that remembers what it wrote, to delete it once a result that no longer needs it is written."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made.append(materialize(df, tag))
+        return self.made[-1]
+
+    def clear(self) -> None:
+        for df in self.made:
+            discard(df)
+        self.made.clear()
+
+
 #: So many row numbers, 16 MB, are sent to every executor to pick rows; more are joined by a shuffle.
 SENT_ROWS = 2_000_000
 

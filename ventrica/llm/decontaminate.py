@@ -17,6 +17,7 @@ these meet the shards, which are sent to the tasks one at a time.
 from __future__ import annotations
 
 import pickle
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, materialize, numbered, without_rows
+from .common import discard, few, materialize, numbered, without_rows
 from .shingles import ordered_shingles
 
 LEAST_PERCENT = 75
@@ -222,12 +223,15 @@ def _leaked_rows(rows: DataFrame, items: DataFrame, shard_terms: int = SHARD_TER
     spark = rows.sparkSession
     index, bitmap, stride = build_index(items, shard_terms=shard_terms)
     hits = materialize(rows.select("row", "text").mapInArrow(_hits(spark.sparkContext.broadcast(bitmap)), "row long, places array<long>, terms array<long>"), "hits")
-    out = spark.createDataFrame([], "row long, item_id long, overlap double")
+    parts = []
     for (shard,) in index.select("shard").orderBy("shard").collect():
         one = spark.sparkContext.broadcast(bytes(index.where(F.col("shard") == shard).first()["index"]))
-        out = out.unionByName(materialize(hits.mapInArrow(_leaks(one, stride), out.schema), "leaks"))
+        parts.append(materialize(hits.mapInArrow(_leaks(one, stride), "row long, item_id long, overlap double"), "leaks"))
         one.destroy()
-    return out
+    discard(hits)
+    discard(index)
+    empty = spark.createDataFrame([], "row long, item_id long, overlap double")
+    return reduce(DataFrame.unionByName, parts, empty)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_terms: int = SHARD_TERMS) -> DataFrame:

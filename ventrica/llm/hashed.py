@@ -61,13 +61,18 @@ def letter_trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[n
 BEGINNINGS = (4, 5, 6, 8)
 
 
-def word_beginnings(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of beginnings of longer words, each once a text, and where each text's begin."""
+def word_beginnings(data: np.ndarray, offsets: np.ndarray, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of beginnings of longer words, each once a text, and where each text's begin.
+
+    Of all buckets only those that are true in ``wanted``, if it is given.
+    """
     hashes, at, shorter = word_hashes(data, offsets, BEGINNINGS)
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
-    keys = [(rows << bits) + (hashes >> np.uint64(64 - bits)).astype(np.int64)]
-    for size, (where, part) in zip(BEGINNINGS, shorter, strict=True):
-        keys.append((rows[where] << bits) + (mix64(part + np.uint64(size)) >> np.uint64(64 - bits)).astype(np.int64))
+    rows, keys = np.repeat(np.arange(len(offsets) - 1), np.diff(at)), []
+    for row, part in [(rows, hashes), *((rows[where], mix64(part + np.uint64(size))) for size, (where, part) in zip(BEGINNINGS, shorter, strict=True))]:
+        bucket = (part >> np.uint64(64 - bits)).astype(np.int64)
+        if wanted is not None:
+            row, bucket = row[wanted[bucket]], bucket[wanted[bucket]]
+        keys.append((row << bits) + bucket)
     keys = np.unique(np.concatenate(keys))
     return keys & ((1 << bits) - 1), np.searchsorted(keys, np.arange(len(offsets)) << bits)
 

@@ -13,14 +13,14 @@ import html
 import random
 import re
 from collections import Counter
-from functools import cache
+from functools import cache, cached_property
 from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAINING_PAGES = 240
+TRAINING_PAGES = 400
 EPOCHS = 6
 RATE = 0.3
 #: Tags that end a block, tags without content, tags whose content is not text, inline tags that close implicitly.
@@ -29,26 +29,44 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea select iframe object svg title".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag; quotes count after an equals sign only.
+_REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|))*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_RIGHTS = re.compile(r"©|copyright|all rights reserved", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 #: Tags that an opening tag closes if they are open.
 _CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",)}
+#: Of the tags without text, those that run to the end of the page if they are not closed.
+_TO_END = frozenset("script style textarea title iframe".split())
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, ancestor marks from the root, share of the text in links) of every non-empty block in order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+def leaf_blocks(page: str, vocabulary: frozenset[str] | None = None) -> list[tuple[str, tuple[str, ...], str, float]]:
+    """(text, distinct ancestor marks, tag of the block, share of the text in links) of every non-empty block in order.
+
+    One scan forward. Of marks only those in ``vocabulary`` are kept, if it is given, so that the
+    work for a block does not grow with its depth. A tag that never ends is text; an attribute
+    whose quote never ends is taken without it.
+    """
+    out: list[tuple[str, tuple[str, ...], str, float]] = []
+    stack: list[tuple[str, list[str]]] = []
+    open_tags: Counter = Counter()
+    active: dict[str, int] = {}
     parts: list[str] = []
-    linked, at, in_link = 0, 0, 0
+    linked, at, in_link, quotes = 0, 0, 0, True
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((text, tuple(m for _, marks in stack for m in marks), min(1.0, linked / len(text))))
+            out.append((text, tuple(active), stack[-1][0] if stack else "none", min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -59,26 +77,58 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             parts.append(text)
             linked += len(text) if in_link else 0
 
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+    def leave(size: int) -> None:
+        while len(stack) > size:
+            tag, marks = stack.pop()
+            open_tags[tag] -= 1
+            for m in marks:
+                active[m] -= 1
+                if not active[m]:
+                    del active[m]
+
+    start = page.find("<")
+    while start >= 0:
+        if page.startswith("<!--", start):
+            add(page[at:start])
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            start = page.find("<", at)
+            continue
+        named = _NAME.match(page, start + 1)
+        if not named and page[start + 1 : start + 2] not in ("!", "?", "/"):
+            start = page.find("<", start + 1)
+            continue
+        rest = _REST.match(page, named.end()) if named and quotes else None
+        if rest:
+            end, inside = rest.end(), rest[1]
+        else:  # no end that quotes allow, so from here on quotes don't count
+            quotes = quotes and not named
+            end = page.find(">", start) + 1
+            if not end:
+                break
+            inside = page[named.end() : end - 1] if named else ""
+        add(page[at:start])
+        at, closing = end, page[start + 1] == "/"
+        start = page.find("<", at)
+        if not named:
             continue
-        if m[1]:
+        tag = named[1].lower()
+        if closing:
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag in BLOCK_TAGS:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_tags[tag]:
+                    leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag in RAW_TAGS:
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "object"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if tag not in endless and (not inside.rstrip().endswith("/") or tag not in ("svg", "object")):
+                found = _end_of(tag).search(page, at)
+                if found or tag in _TO_END:
+                    at = found.end() if found else len(page)
+                    start = page.find("<", at)
+                else:
+                    endless.add(tag)
             continue
         if tag == "br":
             parts.append(" ")
@@ -89,34 +139,59 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             if tag in VOID_TAGS:
                 continue
             if stack and stack[-1][0] == "p":
-                stack.pop()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _CLOSES.get(tag, ()):
-                    del stack[k:]
+                leave(len(stack) - 1)
+            closes = _CLOSES.get(tag, ())
+            for k in range(len(stack) - 1, -1, -1) if any(open_tags[c] for c in closes) else ():
+                if stack[k][0] in closes:
+                    leave(k)
+                    if stack and stack[-1][0] in closes and tag == "tr":
+                        continue
                     break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article"):
+                if stack[k][0] not in ("p", "address"):
                     break
             marks = [tag]
-            for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
+            for a in _ATTRIBUTE.finditer(inside) if inside else ():
                 marks += [f".{w}" for w in _PART.findall((a[2] or a[3] or a[4] or "").lower())]
-            stack.append((tag, tuple(marks)))
+            marks = [m for m in dict.fromkeys(marks) if vocabulary is None or m in vocabulary]
+            stack.append((tag, marks))
+            open_tags[tag] += 1
+            for m in marks:
+                active[m] = active.get(m, 0) + 1
     add(page[at:])
     flush()
     return out
 
 
-def features(text: str, marks: tuple[str, ...], links: float) -> tuple[str, ...]:
+#: Marks that tell of a container of main text; a page without them is known by its text alone.
+_TELLING = frozenset("article main .article .main .content .post .entry .story".split())
+
+
+def features(text: str, marks: tuple[str, ...], own: str, links: float) -> tuple[str, ...]:
     n = text.count(" ") + 1
-    size = "words<3" if n < 3 else "words<8" if n < 8 else "words<20" if n < 20 else "words20+"
+    size = "words<3" if n < 3 else "words<8" if n < 8 else "words<20" if n < 20 else "words<50" if n < 50 else "words50+"
     link = "links0" if links < 0.05 else "links<half" if links < 0.5 else "links+"
     ends = "stops" if text[-1] in ".!?:;\"')»”" else "runs on"
-    own = next((m for m in reversed(marks) if m[0] != "."), "none")
-    return ("bias", size, link, ends, f"own {own}", *(["copyright"] if "©" in text[:40] else []), *sorted(set(marks) - {"html", "body"}))
+    told = "named" if any(m in _TELLING for m in marks) else "unnamed"
+    return ("bias", size, link, ends, f"own {own}", f"{told} {size}", f"{told} {link}", f"{told} {own}", *(["copyright"] if "©" in text[:40] else []), *(["unnamed rights"] if told == "unnamed" and _RIGHTS.search(text[:60]) else []), *sorted(set(marks) - {"html", "body"}))
 
 
 _ASIDE_TEXT = ("Copyright © all rights reserved", "We use cookies on this site. Accept all", "Share this", "Related posts", "Sign up for our newsletter", "Sponsored", "Log in", "Reply", "Search")
 
 
+def _plain_page(rnd: random.Random, main: str, links, note) -> str:
+    """A page of bare containers or a table, without tags or names that tell what they hold."""
+    bare = lambda x: f"<div>{x}</div>"
+    before, after = [rnd.choice((links, lambda: bare(links()), lambda: links() + note()))() for _ in range(rnd.randint(0, 2))], [rnd.choice((links, lambda: f"<p>{rnd.choice(_ASIDE_TEXT)}</p>"))() for _ in range(rnd.randint(0, 2))]
+    if rnd.random() < 0.5:
+        main = main.replace("<p>", "<div>").replace("</p>", "</div>")
+    if rnd.random() < 0.4:
+        cells = [f"<td>{links()}</td>", f"<td>{main}</td>"]
+        inner = ("<table><tr><td colspan=2>" + rnd.choice(_ASIDE_TEXT) + "</td></tr>" if rnd.random() < 0.4 else "<table>") + "<tr>" + "".join(cells) + "</tr></table>" + "".join(after)
+    else:
+        inner = "".join(map(bare, [*before, main, *after]))
+    return f"<html><body>{inner if rnd.random() < 0.5 else bare(inner)}</body></html>"
+
+
 def _training_page(rnd: random.Random) -> str:
     """A page whose main containers are marked by data-main; every other block is not main."""
     word = lambda: "".join(rnd.choice(("ka", "lo", "mi", "ren", "sta", "tor", "ne", "ul")) for _ in range(rnd.randint(1, 4)))
@@ -161,13 +236,15 @@ def _training_page(rnd: random.Random) -> str:
     if rnd.random() < 0.15:
         main += comments()
     kind = rnd.random()
-    if kind < 0.6:
+    if kind > 0.72:
+        return _plain_page(rnd, main, links, note)
+    if kind < 0.5:
         main = f"<article>{main}</article>"
-    elif kind < 0.75:
+    elif kind < 0.6:
         main = f"<main>{main}</main>"
     else:
         main = f'<div class="{rnd.choice(("content", "post", "entry", "article", "main", "story", "post-content", "article-body"))}">{main}</div>'
-    if rnd.random() < 0.3 and kind < 0.6:
+    if rnd.random() < 0.3 and kind < 0.5:
         main = f"<main>{main}</main>"
     page = []
     if rnd.random() < 0.5:
@@ -193,9 +270,9 @@ def labelled_pages(count: int, seed: int) -> list[tuple[list[tuple[str, ...]], l
         page = _training_page(rnd)
         marked = page.replace("<data-main>", "<section class='zzmain'>").replace("</data-main>", "</section>").replace("<data-off>", "<section class='zzoff'>").replace("</data-off>", "</section>")
         plain = re.sub(r"</?data-(?:main|off)>", "", page)
-        labels = [int(".zzmain" in m and ".zzoff" not in m) for _, m, _ in leaf_blocks(marked)]
+        labels = [int(".zzmain" in m and ".zzoff" not in m) for _, m, _, _ in leaf_blocks(marked)]
         blocks = [features(*b) for b in leaf_blocks(plain)]
-        if len(blocks) == len(labels):
+        if len(blocks) == len(labels):  # else the labelling containers have moved a block border
             out.append((blocks, labels))
     return out
 
@@ -212,6 +289,11 @@ class ChainField:
         self.moves = [[0.0, 0.0], [0.0, 0.0]]
         self.known: dict[tuple[str, ...], float] = {}
 
+    @cached_property
+    def vocabulary(self) -> frozenset[str]:
+        """The features that count; made once, after training."""
+        return frozenset(self.weights) | _TELLING
+
     def energy(self, block: tuple[str, ...]) -> float:
         if block not in self.known:
             if len(self.known) > 100_000:
@@ -276,7 +358,7 @@ def trained_field() -> ChainField:
 
 
 def main_text(field: ChainField, page: str | None) -> str:
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", field.vocabulary)
     return "\n".join(b[0] for b, y in zip(blocks, field.decode([features(*b) for b in blocks]), strict=True) if y)
 
 
@@ -285,7 +367,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null or empty pages, and pages without a main block, have an empty text. Null ids and
     urls stay null; repeated rows get equal results. Equal scores fall to "other". Broken
-    markup is read as far as tags can be told. Other columns are not read. Empty input gives
+    markup is read as far as tags can be told. Pages of any length and depth are read whole, in time
+    that goes with their length. Other columns are not read. Empty input gives
     no rows.
     """
     field = trained_field()

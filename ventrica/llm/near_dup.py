@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, numbered, without_rows
+from .common import Scratch, keep_rows, materialize, numbered, without_rows
 from .components import connected_components
 from .shingles import mix64, shared, shingle_sets
 
@@ -248,33 +248,34 @@ def _verify(pairs: DataFrame, base: DataFrame) -> DataFrame:
 
 def _grouped(base: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, component_id, stays for ``base(row, doc_id, text)``, a written table with unique rows."""
-    profile = materialize(base.mapInArrow(_profile, "row long, doc_id long, n_shingles long, d0 long, d1 long, sig array<long>, sketch array<long>"), "profile")
+    keep = Scratch()
+    profile = keep(base.mapInArrow(_profile, "row long, doc_id long, n_shingles long, d0 long, d1 long, sig array<long>, sketch array<long>"), "profile")
     classes = profile.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("row").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    classes = materialize(classes.select("d0", "d1", "rep"), "classes")
+    classes = keep(classes.select("d0", "d1", "rep"), "classes")
     members = profile.select("row", "doc_id", "n_shingles", "d0", "d1").join(classes, ["d0", "d1"], "left")
-    members = materialize(members.select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep"), F.col("rep").isNotNull().alias("grouped")), "members")
+    members = keep(members.select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep"), F.col("rep").isNotNull().alias("grouped")), "members")
     signed = without_rows(profile.where("n_shingles > 0"), members.where("rep <> row").select("row"))
     signed = signed.select("row", F.col("n_shingles").alias("n"), "sig", "sketch")
 
     keyed = signed.select("row", F.posexplode(F.slice("sig", 1, BANDS)).alias("band", "low")).select("row", F.shiftleft(F.col("band").cast("long"), 48).bitwiseOR(F.col("low")).alias("key"))
     # hubs: the smallest row, in all bands, so hubs recur
     buckets = keyed.groupBy("key").agg(F.min("row").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(keyed.join(buckets, "key").select("key", "row", "hub"), "buckets")
-    facts = materialize(keep_rows(signed, buckets.select("row").distinct()), "facts")
+    buckets = keep(keyed.join(buckets, "key").select("key", "row", "hub"), "buckets")
+    facts = keep(keep_rows(signed, buckets.select("row").distinct()), "facts")
 
     # first each class with its nearest hub only, so texts move about once however large a group is
     pairs = buckets.where("row <> hub").select(F.col("hub").alias("u"), F.col("row").alias("v")).distinct()
     pairs = pairs.alias("p").join(facts.alias("x"), F.col("p.u") == F.col("x.row")).join(facts.alias("y"), F.col("p.v") == F.col("y.row")).where(_near("x", "y"))
     pairs = pairs.select("u", "v", _matches("x", "y").alias("matches")).where(F.col("matches") >= MATCHES)
-    nearest = materialize(pairs.groupBy("v").agg(F.max(F.struct("matches", (-F.col("u")).alias("u")))["u"].alias("u")).select((-F.col("u")).alias("u"), "v"), "nearest")
-    first = materialize(connected_components(_verify(nearest, base)), "first")
+    nearest = keep(pairs.groupBy("v").agg(F.max(F.struct("matches", (-F.col("u")).alias("u")))["u"].alias("u")).select((-F.col("u")).alias("u"), "v"), "nearest")
+    first = keep(connected_components(_verify(nearest, base)), "first")
 
     # then, of buckets that hold several components, the members with a candidate in another one, and their links
     labelled = buckets.select("key", "row").join(first.withColumnRenamed("node", "row"), "row", "left").select("key", "row", F.coalesce("component", "row").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    opened = materialize(labelled.join(mixed, "key").join(facts.select("row", "n"), "row").select("key", "row", "label", "n"), "open")
+    opened = keep(labelled.join(mixed, "key").join(facts.select("row", "n"), "row").select("key", "row", "label", "n"), "open")
     hopeful = _by_tile(_tiled(opened).join(facts.select("row", "n", "sig"), "row")).mapInArrow(_hopeful, "key long, row long, label long, n long")
-    hopeful = materialize(hopeful.distinct(), "hopeful")
+    hopeful = keep(hopeful.distinct(), "hopeful")
     rows = hopeful.select("row").distinct()
     full = keep_rows(base, rows).select("row", "text").mapInArrow(_sets, "row long, shingles binary").join(facts.select("row", "n", "sig"), "row")
     links = _by_tile(_tiled(hopeful).join(full, "row")).mapInArrow(_connecting, "u long, v long")
@@ -283,6 +284,7 @@ def _grouped(base: DataFrame) -> DataFrame:
 
     labels = members.join(final, "rep", "left").withColumn("grouped", F.col("grouped") | F.col("component").isNotNull()).withColumn("label", F.coalesce("component", "rep"))
     labels = materialize(labels.select("row", "doc_id", "n_shingles", "grouped", "label"), "labels")
+    keep.clear()
     # of a group the smallest id stays, a null one only if there is no other, and of equal ids the first row
     heads = labels.where("grouped").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")).alias("head"))
     several = labels.where("grouped").join(materialize(heads, "heads"), "label").select("row", "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), (F.col("row") == F.col("head.row")).alias("stays"))

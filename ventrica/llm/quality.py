@@ -21,6 +21,8 @@ sampling cover every row.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -122,13 +124,15 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = models.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
     odds = toxic_odds(hashed_counts(models.withColumn("class", F.col("toxic")), word_beginnings, WORD_BITS, 2), texts)[None]
 
+    insulting = partial(word_beginnings, wanted=odds[0] != 0)
+
     def weigh(batches):
         for batch in batches:
             text = pc.struct_field(batch.column("data"), text_col) if carry else batch.column("text")
             parts = list(text_sums(text, word_bigrams, BITS, table))
             n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             sums = np.concatenate([p[1][0] for p in parts]) if parts else np.zeros(0)
-            insults = [p[1][0] for p in text_sums(text, word_beginnings, WORD_BITS, odds)]
+            insults = [p[1][0] for p in text_sums(text, insulting, WORD_BITS, odds)]
             insults = np.concatenate(insults) if insults else np.zeros(0)
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(sums.round(9)), pa.array(insults.round(9))], [*kept, "n_grams", "weight", "toxicity"])

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240501)

@@ -206,7 +206,29 @@ def test_license_scan_equals_plain_search(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in base}))
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
-    assert got[7].labels == "bsd" and got[6].score == 0.8 and len(licenses.RULES) > 200
+    assert got[7].labels == "bsd-3" and got[6].score == 0.8 and len(licenses.RULES) > 200
+
+
+def test_license_rules_find_their_own_words_behind_their_keywords():
+    """Each rule matches its pattern with the optional parts left out, and the keyword gate lets it through."""
+    for rule in licenses.RULES:
+        text = rule.pattern.pattern.decode()
+        text = text.removeprefix("(?<![^ ])").removesuffix("(?![^ ])")
+        text = re.sub(r"\(\?![^)]*\)", "", text)
+        text = re.sub(r"\(\?:([^)|]*)[^)]*\)(\??)", lambda m: "" if m[2] else m[1], text)
+        text = re.sub(r"\.\{\d+,\d+\}\?", "xx", re.sub(r"\[(.)[^\]]*\]", r"\1", text)).replace(" ?", " ").replace("?", "")
+        words = text.encode().split()
+        assert rule.pattern.search(b" ".join(words)), text
+        assert rule.keywords and rule.keywords <= set(words), (text, rule.keywords)
+        assert any(d[3] == rule.label or d[2] >= rule.priority for d in licenses.detections(words)), text
+
+
+def test_license_scan_of_no_rows_and_of_strange_ones(spark):
+    none = licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string"))
+    assert none.count() == 0
+    rows = [(None, "mit license", "x"), (1, "MIT license", "y"), (1, "MIT license", "y"), (2, "word " * 200_000 + "mit license", "z")]
+    got = [(r.doc_id, r.n_words, r.labels) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, 2, "mit"), (1, 2, "mit"), (1, 2, "mit"), (2, 200_002, "mit")], key=str)
 
 
 def test_license_suppression_and_ungated_rules_agree():

@@ -10,6 +10,10 @@ from ventrica.plans import registry
 DATA = "/root/testdata/sf0.001"
 
 
+#: Some faults show on more rows only.
+LARGER = "/root/testdata/sf0.01"
+
+
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
     return sorted(repr([None if row[k] is None else round(row[k], 5) if isinstance(row[k], float) else row[k] for k in order]) for row in rows)
@@ -23,12 +27,45 @@ def duck():
     return c
 
 
+@pytest.mark.parametrize("name", ["stride_sample", "nearest_pair_thickness"])
+def test_query_matches_sql_on_more_rows(spark, name):
+    c = duckdb.connect()
+    for p in Path(LARGER).glob("*.parquet"):
+        c.sql(f"CREATE VIEW {p.stem} AS FROM '{p}'")
+    found, want = registry.QUERIES[name](spark, LARGER), c.sql(registry.ORACLES[name])
+    assert rows_of(found.columns, found.collect()) == rows_of(want.columns, want.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, duck, name):
     found = registry.QUERIES[name](spark, DATA)
     want = duck.sql(registry.ORACLES[name])
     assert sorted(found.columns) == sorted(want.columns)
-    assert rows_of(found.columns, found.collect()) == rows_of(want.columns, want.fetchall())
+    rows = found.collect()
+    assert rows and rows_of(found.columns, rows) == rows_of(want.columns, want.fetchall())
+
+
+def test_text_rules(spark):
+    from pyspark.sql import functions as F
+
+    from ventrica.functions import text
+
+    ask = lambda rule, values: [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string").orderBy("k").select(rule(F.col("v"))).collect()]
+    assert ask(text.is_placeholder, ["TBD", " todo\nmore", "na", "N/A.", "???", "none", "Nashville", "", None, "unknowns"]) == [True, True, True, True, True, False, False, False, False, False]
+    assert ask(text.slug, ["Left  Ventricle (LV)", "Éçole 2", "--", "", "\u4e2d\u6587"]) == ["left-ventricle-lv", "éçole-2", "structure", "structure", "\u4e2d\u6587"]
+    refused = ["..\\outside.gltf", "a\\..\\..\\outside.gltf", "%2e%2e/outside.gltf", "a/%2e%2e/%2e%2e/outside.gltf", "%2E%2E/outside.gltf", "../outside.gltf", "./assets/stub.gltf", "/assets/stub.gltf", "https://elsewhere.invalid/a.gltf", "C:\\assets\\stub.gltf", "assets/stub.gltf?v=2", "assets/stub.gltf#frag", "assets//stub.gltf", "", "%ff"]
+    assert all(ask(text.path_problem, refused))
+    assert ask(text.path_problem, ["assets/stub.gltf", "stub.gltf", "a/b/c/stub-volume.raw", "assets/with%20space.gltf", "a%3Fb", "a+b"]) == [None] * 6
+
+
+def test_nearest_keeps_every_row(spark):
+    from ventrica.operators.points import nearest
+
+    nan = float("nan")
+    left = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0), (2, None, 0.0, 0.0), (3, nan, 0.0, 0.0), (4, 1e6, 0.0, 0.0)], "id int, x double, y double, z double")
+    right = spark.createDataFrame([(3.0, 4.0, 0.0), (nan, 0.0, 0.0)], "x double, y double, z double")
+    assert sorted(((r.id, r.near and round(r.near, 3)) for r in nearest(left, right, 0.5).collect()), key=str) == [(1, 5.0), (1, 5.0), (2, None), (3, None), (4, 999997.0)]
+    assert [r.near for r in nearest(left, right.limit(0), 0.5).collect()] == [None] * 5
 
 
 def test_hash_scatterers_match_integers(spark):

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tokens that stand for text still to be written.
-PLACEHOLDERS = ("todo", "tbd", "fixme", "xxx", "placeholder", "unknown", "n/a", "none", "???")
+#: Fixed values, in their order: tokens that stand for text still to be written.
+PLACEHOLDERS = ("tbd", "todo", "fixme", "unknown", "n/a", "na", "xxx", "placeholder", "???")
 
 
 def slug(name: Column) -> Column:
-    cut = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("structure"))
+    """Letters and digits of any script in lower case, with a hyphen for each stretch of other signs between them."""
+    cut = F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(F.lower(cut), F.lit("")), F.lit("structure"))
 
 
 def is_placeholder(text: Column) -> Column:
+    """The text is one of PLACEHOLDERS or opens with one, up to white space or one of : ; , . _ -"""
     tokens = "|".join(t.replace("?", r"\?") for t in PLACEHOLDERS)
-    return F.coalesce(F.lower(F.trim(text)).rlike(rf"^(?:{tokens})(?:[\s:;,._-].*)?$"), F.lit(False))
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.coalesce(F.lower(bare).rlike(rf"(?U)^(?:{tokens})(?:[\s:;,._-]|\z)"), F.lit(False))
 
 
 def is_http(url: Column) -> Column:
@@ -29,8 +32,22 @@ def is_date(text: Column) -> Column:
 
 
 def path_problem(path: Column) -> Column:
-    """Why a path inside a pack is refused, null if it is not; the first reason counts."""
+    """Why a path inside a pack is refused, null if it is not; the first reason counts. A null path is no path.
+
+    Backslash, query and fragment are looked for in the path as it stands, all else in the
+    decoded one, so that no escape hides it. An escape that is not UTF-8 is refused.
+    """
     plain = F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    garbled = plain.isNull() | (plain.contains("\ufffd") & ~path.contains("\ufffd") & ~F.upper(path).contains("%EF%BF%BD"))
+    parts = F.split(plain, "/")
     return (
-        F.when(path.isNull() | (path == ""), "empty").when(plain.isNull(), "bad escape").when(plain.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), "has a scheme").when(plain.rlike(r"^[/\\]"), "absolute").when(plain.contains("\\"), "backslash").when(plain.rlike(r"(^|/)\.\.(/|$)"), "leaves the pack").when(plain.rlike(r"[?#]"), "query or fragment")
+        F.when(path.isNull() | (path == ""), "empty")
+        .when(path.contains("\\"), "backslash")
+        .when(path.rlike(r"[?#]"), "query or fragment")
+        .when(garbled, "bad escape")
+        .when(plain.contains("\\"), "encoded backslash")
+        .when(plain.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), "scheme")
+        .when(plain.startswith("/"), "absolute")
+        .when(F.array_contains(parts, ""), "empty segment")
+        .when(F.array_contains(parts, ".") | F.array_contains(parts, ".."), "leaves the pack")
     )

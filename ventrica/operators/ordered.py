@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def runs(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """group, value, run, length, start: maximal stretches of equal values in order."""
@@ -25,9 +27,10 @@ def paired(rows: DataFrame, group: list[str], order: list[str], value: str) -> D
 def numbered(rows: DataFrame, order: list[str], partitions: int) -> DataFrame:
     """rows with ``n`` 0, 1, ... in order, without sorting everything in one task.
 
-    Ranges are sorted apart; their sizes, one number per partition, give the offsets.
+    The rows are dealt to ranges and written once, with the number of their range, as the bounds
+    of ranges are sampled anew in each job; sizes of the ranges give the offsets.
     """
-    dealt = rows.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(rows.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = {r._part: r.c for r in dealt.groupBy("_part").agg(F.count("*").alias("c")).collect()}
     before = [sum(c for p, c in sizes.items() if p < part) for part in range(partitions)]
     offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_part") + 1)
@@ -50,3 +53,8 @@ def floor_quantiles(rows: DataFrame, group: str, value: str, **wanted: float) ->
     upto = counts.withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
     place = lambda q: F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1)
     return upto.groupBy(group).agg(*[F.min(F.when(F.col("_upto") > place(q), F.col(value))).alias(name) for name, q in wanted.items()])
+
+
+def later_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The second and later rows of each key, in order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n > 1").drop("_n")

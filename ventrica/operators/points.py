@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 from ..functions.geometry import Probe, Vec
 
 def at(prefix: str = "") -> Vec:
@@ -28,25 +32,28 @@ def first_seen(points: DataFrame, pose: Callable[[Column], Probe], samples: int)
     return seen.select("structure", "first_step", "neg_points", order.alias("ord"), vacuous.alias("vacuous"))
 
 
-def nearest(left: DataFrame, right: DataFrame, cell: float, most_rounds: int = 40) -> DataFrame:
-    """left's columns with ``near`` (distance to the closest row of right; null if right is empty).
+def nearest(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """left's columns with ``near``: the distance to the closest row of right.
 
-    Grid rings: with cells of width h a point is joined with the 27 cells around it, and is
-    settled if its best distance is at most h; the rest goes on with twice the width.
+    Null if right has no point or the row's own coordinates are null or not finite; repeated rows
+    stay as many. Grid rings: with cells of width h a point is joined with the 27 cells around
+    it, and is settled if its best distance is at most h; the rest goes on with twice the width,
+    until the cells hold all of right.
     """
-    extent = right.agg(F.count("*")).first()[0]
-    if not extent:
-        return left.withColumn("near", F.lit(None).cast("double"))
-    index = [F.floor(F.col(c) / F.lit(cell)).cast("long") for c in "xyz"]
-    key = F.struct(*[i.alias(c) for i, c in zip(index, ("i", "j", "k"), strict=True)])
-    around = F.explode(F.flatten(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda a: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda b: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda c: F.struct((index[0] + a).alias("i"), (index[1] + b).alias("j"), (index[2] + c).alias("k"))))))))
-    keys = left.columns
-    cells = right.select(key.alias("_cell"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
-    pairs = left.withColumn("_cell", around).join(cells, "_cell", "left")
-    gap = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 + (F.col("z") - F.col("_z")) ** 2)
-    best = pairs.groupBy(*keys).agg(F.min(gap).alias("near"))
-    settled = best.where(F.col("near") <= cell)
-    rest = best.where(F.col("near").isNull() | (F.col("near") > cell)).drop("near")
-    if most_rounds == 0 or rest.isEmpty():
-        return settled
-    return settled.unionByName(nearest(rest, right, cell * 2, most_rounds - 1))
+    sound = lambda names: F.coalesce(F.forall(F.array(*names), lambda v: ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))), F.lit(False))
+    right = right.where(sound("xyz")).select(*[F.col(c).alias(f"_{c}") for c in "xyz"])
+    rest = written(left.withColumn("_row", F.monotonically_increasing_id()), "points")
+    done = [rest.where(~sound("xyz")).withColumn("near", F.lit(None).cast("double"))]
+    rest, any_right = rest.where(sound("xyz")), not right.isEmpty()
+    while any_right and not rest.isEmpty():
+        index = [F.floor(F.col(c) / F.lit(cell)).cast("long") for c in "xyz"]
+        key = F.struct(*[F.floor(F.col(f"_{c}") / F.lit(cell)).cast("long").alias(k) for c, k in zip("xyz", "ijk", strict=True)])
+        around = F.explode(F.flatten(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda a: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda b: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda c: F.struct((index[0] + a).alias("i"), (index[1] + b).alias("j"), (index[2] + c).alias("k"))))))))  # noqa: B023
+        pairs = rest.select("_row", *"xyz", around.alias("_cell")).join(right.withColumn("_cell", key), "_cell")
+        gap = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 + (F.col("z") - F.col("_z")) ** 2)
+        best = written(pairs.groupBy("_row").agg(F.min(gap).alias("near")).where(F.col("near") <= cell), "near")
+        done.append(rest.join(best, "_row"))
+        rest = written(rest.join(best, "_row", "left_anti"), "points")
+        cell *= 2
+    out = done + ([] if any_right else [rest.withColumn("near", F.lit(None).cast("double"))])
+    return reduce(DataFrame.unionByName, out).drop("_row")

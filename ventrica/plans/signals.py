@@ -93,7 +93,8 @@ SELECT user_id, round(sum(value * ends) / sum(ends), 6) AS rim, round(avg(value)
 
 
 def fk_lineitem_orders(spark, sf_dir):
-    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    """Lines whose order is not among the closed and open ones."""
+    orders = _t(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(orders, "l_orderkey", "left_anti")
 
 
@@ -108,9 +109,23 @@ TUNING = "SELECT CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOU
 
 
 def path_problems(spark, sf_dir):
-    """Why the part of a page's address after its host can't be a path in a pack."""
-    path = F.regexp_replace("url", r"^https?://[^/]*/?", "")
-    return _t(spark, sf_dir, "pages").groupBy(text.path_problem(path).alias("problem")).agg(F.count("*").alias("n"))
+    """Why a path can't be one in a pack: parts of pages' addresses after the host, and PATHS made of page numbers."""
+    made = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("page_id") % len(PATHS) + 1).cast("int"))
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.explode(F.array(made, F.regexp_replace("url", r"^https?://[^/]*/?", ""))).alias("path"))
+    return pages.select("page_id", "path", text.path_problem(F.col("path")).alias("problem"))
+
+
+#: Paths that are accepted or refused, one after another for the pages.
+PATHS = (
+    "assets/stub.gltf", "..\\outside.gltf", "%2e%2e/outside.gltf", "a/%2E%2E/outside.gltf", "../outside.gltf", "./assets/stub.gltf", "/assets/stub.gltf", "https://elsewhere.invalid/a.gltf", "C:/assets/stub.gltf",
+    "assets/stub.gltf?v=2", "assets/stub.gltf#frag", "assets//stub.gltf", "", "a/b/c/stub-volume.raw", "assets/with%20space.gltf", "a%5Cb", "a%3Fb", "%zz", "half%2", "a+b",
+)
+_LIST = ", ".join("'" + p + "'" for p in PATHS)
+PATH = rf"""WITH p AS (SELECT page_id, unnest([[{_LIST}][page_id % {len(PATHS)} + 1], regexp_replace(url, '^https?://[^/]*/?', '')]) AS path FROM pages),
+d AS (SELECT *, url_decode(replace(path, '+', '%2B')) AS plain, regexp_matches(path, '%([^0-9a-fA-F]|[0-9a-fA-F][^0-9a-fA-F]|[0-9a-fA-F]?$)') AS bad FROM p)
+SELECT page_id, path, CASE WHEN path = '' THEN 'empty' WHEN contains(path, '\') THEN 'backslash' WHEN contains(path, '?') OR contains(path, '#') THEN 'query or fragment' WHEN bad THEN 'bad escape'
+ WHEN contains(plain, '\') THEN 'encoded backslash' WHEN regexp_matches(plain, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN 'scheme' WHEN starts_with(plain, '/') THEN 'absolute'
+ WHEN list_contains(string_split(plain, '/'), '') THEN 'empty segment' WHEN list_contains(string_split(plain, '/'), '.') OR list_contains(string_split(plain, '/'), '..') THEN 'leaves the pack' END AS problem FROM d""".replace("'\\\\'", "'\\'")
 
 
 def quantile_linear(spark, sf_dir):
@@ -132,6 +147,6 @@ NUMBERS = "WITH c AS (SELECT l_returnflag, l_suppkey, count(*)::BIGINT AS n FROM
 QUERIES = {f.__name__: f for f in (label_lut, psf_lateral, psf_envelope, wedge_points, weld_points, longest_run, rim_core, fk_lineitem_orders, tuning_override, path_problems, quantile_linear, label_numbering)}
 ORACLES = {
     "label_lut": LUT, "psf_lateral": LATERAL, "psf_envelope": ENVELOPE, "wedge_points": WEDGE, "weld_points": WELD, "longest_run": LONGEST, "rim_core": RIM,
-    "fk_lineitem_orders": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
-    "tuning_override": TUNING, "quantile_linear": QUANTILES, "label_numbering": NUMBERS,
+    "fk_lineitem_orders": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
+    "tuning_override": TUNING, "path_problems": PATH, "quantile_linear": QUANTILES, "label_numbering": NUMBERS,
 }

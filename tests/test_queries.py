@@ -58,6 +58,20 @@ def test_text_rules(spark):
     assert ask(text.path_problem, ["assets/stub.gltf", "stub.gltf", "a/b/c/stub-volume.raw", "assets/with%20space.gltf", "a%3Fb", "a+b"]) == [None] * 6
 
 
+def test_packs_are_discovered_and_checked(spark, tmp_path):
+    from ventrica.operators.packs import pack_issues
+    from ventrica.plans.packs import BODY
+    from ventrica.sources.packs import discover_packs
+
+    for name, body in (("good", BODY), ("broken", "{"), ("empty", " "), ("list", "[1]")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "pack.json").write_text(body)
+    found = discover_packs(spark, str(tmp_path))
+    assert {r.pack_dir: r.problem for r in found.collect()} == {"good": None, "broken": "not JSON", "empty": "empty file", "list": "not an object"}
+    issues = pack_issues(found, "pack_dir").collect()
+    assert {(r.pack_dir, r.issue) for r in issues} == {(d, "not a JSON object") for d in ("broken", "empty", "list")}
+
+
 def test_nearest_keeps_every_row(spark):
     from ventrica.operators.points import nearest
 

@@ -35,8 +35,8 @@ from .common import id_and_text, materialize
 CAPACITY = 2048
 NODES = 20_000
 END_ID = 0
-KNOWN_RUNS = 100_000
-KNOWN_CORES = 100_000
+KNOWN_RUNS = 300_000
+KNOWN_CORES = 300_000
 LONG_RUN = 64
 TOKENIZER = "word_bpe_49k.json"
 _state: dict = {}

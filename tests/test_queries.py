@@ -96,3 +96,65 @@ def test_hash_scatterers_match_integers(spark):
         x, y, z = r.cell % 16 - 8 + 8192, r.cell // 16 % 16 + 8192, r.cell // 256 + 8192
         h = mix(x ^ mix(y ^ mix(z + 20260818 % 65536)))
         assert abs((h & 0xFFFFFF) / (1 << 24) - r.u) < 1e-8
+
+
+def test_a_closed_box_is_filled_without_odd_lines(spark):
+    from pyspark.sql import functions as F
+
+    from ventrica.operators import mesh, surfaces
+
+    whole = mesh.box_tets(spark).withColumn("tag", F.lit(1))
+    surface = surfaces.wound_boundary(whole, mesh.box_points(spark))
+    held = mesh.with_corners(surface, mesh.box_points(spark), "abc")
+    facets = held.select(F.col("tag").alias("structure"), *[F.struct(*[F.col(f"{c}{x}").alias(x) for x in "xyz"]).alias(c) for c in "abc"])
+    grid = surfaces.fitted_grid(facets, 22)  # pitch 0.5: lines run along edges and through vertices
+    met = surfaces.crossings(facets, grid, 22)
+    assert [(r.rays, r.odd, r.max_hits, r.verdict) for r in surfaces.parity_verdict(met, facets).collect()] == [(32, 0, 2, "solid")]
+    assert surfaces.filled(surfaces.spans(met), grid, 22).count() == 20 * 8 * 4
+    turned = surface.withColumns({"a": F.col("b"), "b": F.col("a")})
+    assert surfaces.enclosed_volume(turned, mesh.box_points(spark)).first().volume == -80
+    mixed = surface.orderBy("a", "b", "c").limit(1).select("tag", F.col("b").alias("a"), F.col("a").alias("b"), "c").union(surface.orderBy("a", "b", "c").offset(1))
+    assert surfaces.winding_census(mixed).first().n_miswound == 3
+    assert surfaces.fitted_grid(facets.limit(0), 22).first().pitch is None and surfaces.crossings(facets.limit(0), surfaces.fitted_grid(facets.limit(0), 22), 22).count() == 0
+
+
+def test_mesh_files_are_read(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from ventrica.sources import meshes
+
+    corners = np.array([[[0, 0, 0], [1, 0, 0], [0, 1, 0]], [[1, 0, 0], [1, 1, 0], [0, 1, 0]]], "f4")
+    (tmp_path / "two.stl").write_bytes(meshes.stl_bytes(corners))
+    read = meshes.read_stl(spark, str(tmp_path)).orderBy("facet").collect()
+    assert len({i for r in read for i in (r.ia, r.ib, r.ic)}) == 4 and [tuple(r.c) for r in read] == [(0, 1, 0), (0, 1, 0)]
+
+    doc, blob = meshes.gltf_bytes([("odd", corners[0], [[0, 1, 2]]), ("even", corners[1], [[2, 1, 0]])], "held.bin")
+    doc = json.loads(doc)
+    assert all(v["byteOffset"] % 4 == 0 for v in doc["bufferViews"]) and doc["accessors"][0]["max"] == [1, 1, 0]
+    half = 0.5**0.5
+    doc["nodes"][0] |= {"translation": [10, 0, 0], "rotation": [0, 0, half, half], "scale": [2, 2, 2]}
+    doc["nodes"][1] |= {"matrix": [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 5, 1]}
+    doc["nodes"] += [{"children": [0], "translation": [0, 0, 1]}, {"mesh": 0}]
+    doc["scenes"][0]["nodes"] = [2, 1]  # node 3 is in no scene
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "s.gltf").write_text(json.dumps(doc))
+    (tmp_path / "a" / "held.bin").write_bytes(blob)
+    found = {r.name: [tuple(round(v, 6) for v in r[c]) for c in "abc"] for r in meshes.read_gltf(spark, str(tmp_path)).collect()}
+    assert found == {"odd#0": [(10, 0, 1), (10, 2, 1), (8, 0, 1)], "even#0": [(0, 1, 5), (1, 1, 5), (1, 0, 5)]}
+
+    text = "# vtk DataFile Version 3.0\nx\nASCII\nDATASET UNSTRUCTURED_GRID\nPOINTS  4  float\n0 0  0\n1 0 0 0 1 0\n0 0 1\nCELL_TYPES 1\n10\nCELLS  1  5\n4  0 1 2 3\nCELL_DATA 1\nSCALARS ID int\nLOOKUP_TABLE default\n9\nPOINT_DATA 4\nSCALARS Z float\nLOOKUP_TABLE default\n0 .5 1 -10\nSCALARS RHO float\nLOOKUP_TABLE default\n1 2 3 4\n"
+    (tmp_path / "m.vtk").write_text(text)
+    vtk = lambda part: meshes.read_vtk(spark, str(tmp_path), part)
+    assert [(r.tag, r.a, r.d) for r in vtk("tets").collect()] == [(9, 0, 3)] and vtk("points").count() == 4
+    assert {(r.field, r.pid): r.value for r in vtk("fields").collect()}[("Z", 3)] == -10 and vtk("fields").count() == 8
+    (tmp_path / "m.vtk").write_text(text.replace("0 0 1\n", "0 0\n"))
+    with pytest.raises(Exception, match="not 12"):
+        vtk("points").collect()
+
+    labels = np.arange(24).reshape(2, 3, 4)
+    (tmp_path / "v.raw").write_bytes(meshes.raw_bytes(labels))
+    assert all(labels[r.i, r.j, r.k] == r.label for r in meshes.read_raw(spark, str(tmp_path), (2, 3, 4)).collect())
+    with pytest.raises(Exception, match="not the size"):
+        meshes.read_raw(spark, str(tmp_path), (2, 3, 5)).collect()

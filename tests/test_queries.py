@@ -158,3 +158,35 @@ def test_mesh_files_are_read(spark, tmp_path):
     assert all(labels[r.i, r.j, r.k] == r.label for r in meshes.read_raw(spark, str(tmp_path), (2, 3, 4)).collect())
     with pytest.raises(Exception, match="not the size"):
         meshes.read_raw(spark, str(tmp_path), (2, 3, 5)).collect()
+
+
+def test_colour_difference_of_published_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from ventrica.functions import views
+
+    # fixed values: pairs of L*a*b* colours and their difference, from the published test data of the formula
+    pairs = [
+        (50.0, 2.6772, -79.7751, 50.0, 0.0, -82.7485, 2.0425), (50.0, 0.0, 0.0, 50.0, -1.0, 2.0, 2.3669), (50.0, 2.49, -0.001, 50.0, -2.49, 0.0011, 7.2195),
+        (50.0, 2.5, 0.0, 73.0, 25.0, -18.0, 27.1492), (22.7233, 20.0904, -46.694, 23.0331, 14.973, -42.5619, 2.0373), (2.0776, 0.0795, -1.135, 0.9033, -0.0636, -0.5514, 0.9082),
+    ]
+    rows = spark.createDataFrame(pairs, "l double, a double, b double, m double, c double, d double, want double")
+    found = views.colour_difference(rows, tuple(map(F.col, "lab")), tuple(map(F.col, "mcd")), "found").collect()
+    assert all(abs(r.found - r.want) < 1e-4 for r in found)
+
+
+def test_maps_planes_and_sweeps(spark):
+    from pyspark.sql import functions as F
+
+    from ventrica.functions import geometry as g
+    from ventrica.functions import views
+
+    ask = lambda *columns: [c and round(c, 9) for c in spark.range(1).select(*columns).first()]
+    m = [F.lit(float(c)) for c in (2, 1, 0, 0, 0, 3, 1, 0, 1, 0, 4, 0, 5, 6, 7, 1)]
+    assert ask(*views.unmapped(m, views.mapped(m, g.vec(1, -2, 3)))) == [1, -2, 3]
+    assert ask(*views.unmapped([F.lit(0.0)] * 16, g.vec(1, 2, 3))) == [None] * 3
+    assert ask(*views.plane_basis(g.vec(2, 0, 0), g.vec(1, 0, 0))[0]) == [0, 1, 0]
+    assert ask(views.swept(F.lit(1.5), F.lit(2.0), F.lit(4.0)), views.step_share(F.lit(1.0), F.lit(1.0), 2.0), views.step_share(F.lit(0.0), F.lit(8.0), 2.0)) == [4, 0, 0.25]
+    assert ask(views.reveal(F.lit(53.0), False), views.reveal(F.lit(float("nan")), False), views.reveal(F.lit(200.0), True)) == [0.5, 0, 1]
+    with pytest.raises(Exception, match="no direction"):
+        ask(*views.unit(g.vec(0, 0, 0)))

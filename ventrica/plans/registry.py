@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gates, meshes, packs, points, signals, surfaces
+from . import gates, meshes, packs, points, signals, surfaces, views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = points.QUERIES | meshes.QUERIES | gates.QUERIES | signals.QUERIES | packs.QUERIES | surfaces.QUERIES
-ORACLES: dict[str, str] = points.ORACLES | meshes.ORACLES | gates.ORACLES | signals.ORACLES | packs.ORACLES | surfaces.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = points.QUERIES | meshes.QUERIES | gates.QUERIES | signals.QUERIES | packs.QUERIES | surfaces.QUERIES | views.QUERIES
+ORACLES: dict[str, str] = points.ORACLES | meshes.ORACLES | gates.ORACLES | signals.ORACLES | packs.ORACLES | surfaces.ORACLES | views.ORACLES

@@ -190,3 +190,23 @@ def test_maps_planes_and_sweeps(spark):
     assert ask(views.reveal(F.lit(53.0), False), views.reveal(F.lit(float("nan")), False), views.reveal(F.lit(200.0), True)) == [0.5, 0, 1]
     with pytest.raises(Exception, match="no direction"):
         ask(*views.unit(g.vec(0, 0, 0)))
+
+
+def test_planes_are_fitted_and_ends_found(spark):
+    import numpy as np
+
+    from ventrica.functions import geometry as g
+    from ventrica.operators import frames
+
+    rng = np.random.default_rng(5)
+    data = [(k % 2, *map(float, p), float(p[0])) for k, p in enumerate(rng.normal(size=(400, 3)) * (3, 2, 0.1) + (100, 0, 7))]
+    rows = spark.createDataFrame([*data, (0, 900.0, 0.0, 7.0, -10.0), (3, 0.0, 0.0, 0.0, None)], "k int, x double, y double, z double, along double")
+    for r in frames.fitted_planes(rows.where("along > 0"), "k", g.vec(0, 0, -1)).collect():
+        mine = np.array([p[1:4] for p in data if p[0] == r.k])
+        normal = np.linalg.svd(mine - mine.mean(0))[2][2]
+        assert np.allclose([r.nx, r.ny, r.nz], normal * np.sign(-normal[2])) and abs(r.spread - np.std((mine - mine.mean(0)) @ normal)) < 1e-9
+    ends = {r.k: r for r in frames.axis_ends(rows, "k", "along").collect()}
+    for k in (0, 1):
+        x = np.array([p[1] for p in data if p[0] == k])
+        assert abs(ends[k].ax - x[x <= np.percentile(x, 1)].mean()) < 1e-9 and abs(ends[k].bx - x[x >= np.percentile(x, 99)].mean()) < 1e-9
+    assert set(ends) == {0, 1}

@@ -94,7 +94,7 @@ def surface_scalars(tets: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def voxelized(tets: DataFrame, points: DataFrame, pitch: float) -> DataFrame:
-    """i, j, k, tag of voxels whose centre lies in a tetrahedron; the smallest tid wins a tie.
+    """i, j, k, tag of voxels whose centre lies in a tetrahedron; of several the one with the nearest centre of corners wins, then the smallest tid.
 
     A range join by cells: each tetrahedron is dealt only to the voxels of its bounding box.
     """
@@ -109,4 +109,5 @@ def voxelized(tets: DataFrame, points: DataFrame, pitch: float) -> DataFrame:
     whole = det3(e)
     share = [det3([rel if k == r else e[k] for k in range(3)]) / whole for r in range(3)]
     inside = (share[0] >= -1e-9) & (share[1] >= -1e-9) & (share[2] >= -1e-9) & (share[0] + share[1] + share[2] <= 1 + 1e-9)
-    return t.where(inside).groupBy("i", "j", "k").agg(F.min_by("tag", "tid").alias("tag"))
+    away = sum((rel[r] - (e[0][r] + e[1][r] + e[2][r]) / 4) ** 2 for r in range(3))
+    return t.where(inside).groupBy("i", "j", "k").agg(F.min_by("tag", F.struct(away, "tid")).alias("tag"))

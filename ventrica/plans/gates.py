@@ -140,9 +140,11 @@ STATS = "SELECT l_returnflag, count(*)::BIGINT AS n, min(l_discount) AS lo, max(
 
 def budget_share(spark, sf_dir):
     """Each supplier's share of a budget of 220000 by its rows, at least 800, and its number by falling rows."""
-    n = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return n.select("l_suppkey", "n", F.greatest(F.lit(800), F.floor(220000 * F.col("n") / total)).alias("share"), F.row_number().over(Window.orderBy(F.desc("n"), "l_suppkey")).cast("long").alias("number"))
+    n = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).withColumn("less", -F.col("n"))
+    placed = ordered.numbered(n, ["less", "l_suppkey"], 64)
+    total = placed.agg(F.sum(-F.col("less")).alias("total"))
+    share = F.greatest(F.lit(800), F.floor(-220000 * F.col("less") / F.col("total")))
+    return placed.join(F.broadcast(total)).select("l_suppkey", (-F.col("less")).alias("n"), share.alias("share"), (F.col("n") + 1).alias("number"))
 
 
 BUDGET = "WITH c AS (SELECT l_suppkey, count(*)::BIGINT AS n FROM lineitem GROUP BY 1) SELECT l_suppkey, n, greatest(800, floor(220000 * n / sum(n) OVER ()))::BIGINT AS share, row_number() OVER (ORDER BY n DESC, l_suppkey)::BIGINT AS number FROM c"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi, radians, tan
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import geometry as g
@@ -35,11 +35,21 @@ def unit(a: g.Vec) -> g.Vec:
     return scaled(a, 1 / F.when(length == 0, F.raise_error(F.lit("the zero vector has no direction")).cast("double")).otherwise(length))
 
 
-def imaging_frame(beam: g.Vec, lateral: g.Vec) -> tuple[g.Vec, g.Vec, g.Vec]:
-    """Beam, lateral and normal of unit length at right angles; the lateral gives way to the beam."""
-    b = unit(beam)
-    flat = unit(g.sub(lateral, scaled(b, g.dot(lateral, b))))
-    return b, flat, g.cross(b, flat)
+def held(df: DataFrame, **vectors: g.Vec) -> DataFrame:
+    """``df`` with vectors as columns name_x, name_y, name_z, so that what is built on them doesn't repeat how they are made."""
+    return df.withColumns({f"{n}_{x}": c for n, v in vectors.items() for x, c in zip("xyz", v, strict=True)})
+
+
+def of(name: str) -> g.Vec:
+    return tuple(F.col(f"{name}_{x}") for x in "xyz")
+
+
+def imaging_frame(df: DataFrame, beam: g.Vec, lateral: g.Vec) -> DataFrame:
+    """``df`` with vectors beam, lateral and normal of unit length at right angles; the lateral gives way to the beam."""
+    df = held(df, beam=unit(beam), lateral=lateral)
+    df = held(df, lateral=g.sub(of("lateral"), scaled(of("beam"), g.dot(of("lateral"), of("beam")))))
+    df = held(df, lateral=unit(of("lateral")))
+    return held(df, normal=g.cross(of("beam"), of("lateral")))
 
 
 def sample_point(origin: g.Vec, beam: g.Vec, lateral: g.Vec, u: Column, half_deg: float, mm: Column) -> g.Vec:
@@ -65,16 +75,15 @@ def behind(origin: g.Vec, beam: g.Vec) -> g.Vec:
     return g.sub(origin, scaled(beam, ENVELOPE_MM / F.when(length == 0, 1.0).otherwise(length)))
 
 
-def plane_basis(normal: g.Vec, preferred: g.Vec) -> tuple[g.Vec, g.Vec]:
-    """Two unit directions in a plane, the first as near to ``preferred`` as can be; x or y stands in where that is along the normal."""
-    n = unit(normal)
-    flat = lambda v: g.sub(v, scaled(n, g.dot(v, n)))
-    first = flat(preferred)
-    use_x = F.abs(n[0]) < 0.9
-    other = flat((F.when(use_x, 1.0).otherwise(0.0), F.when(use_x, 0.0).otherwise(1.0), F.lit(0.0)))
-    lost = g.dot(first, first) < 1e-8
-    u = unit(tuple(F.when(lost, o).otherwise(f) for f, o in zip(first, other, strict=True)))
-    return u, g.cross(n, u)
+def plane_basis(df: DataFrame, normal: g.Vec, preferred: g.Vec) -> DataFrame:
+    """``df`` with two unit vectors u and w in the plane across a unit normal, u as near to ``preferred`` as can be; x or y stands in where that is along the normal."""
+    flat = lambda v: g.sub(v, scaled(normal, g.dot(v, normal)))
+    use_x = F.abs(normal[0]) < 0.9
+    df = held(df, u=flat(preferred), w=flat((F.when(use_x, 1.0).otherwise(0.0), F.when(use_x, 0.0).otherwise(1.0), F.lit(0.0))))
+    lost = g.dot(of("u"), of("u")) < 1e-8
+    df = held(df, u=tuple(F.when(lost, o).otherwise(f) for f, o in zip(of("u"), of("w"), strict=True)))
+    df = held(df, u=unit(of("u")))
+    return held(df, w=g.cross(normal, of("u")))
 
 
 def angle_deg(a: g.Vec, b: g.Vec) -> Column:
@@ -144,7 +153,7 @@ def lab(rgb: g.Vec) -> g.Vec:
     return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
 
 
-def colour_difference(df, one: g.Vec, two: g.Vec, name: str):
+def colour_difference(df: DataFrame, one: g.Vec, two: g.Vec, name: str) -> DataFrame:
     """``df`` with the CIEDE2000 difference of two L*a*b* colours, by the published formula; steps are columns, so no expression is repeated."""
     kept = df.columns
     let = lambda d, **new: d.withColumns(new)

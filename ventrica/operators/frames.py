@@ -30,11 +30,11 @@ def axis_ends(points: DataFrame, group: str, along: str) -> DataFrame:
     return ends.groupBy(group).agg(*means)
 
 
-def frame(apex: g.Vec, base: g.Vec, left: g.Vec) -> tuple[g.Vec, g.Vec, g.Vec]:
-    """Left, long and anterior: long runs from apex to base, left gives way to it, anterior makes the basis right-handed."""
-    along = v.unit(g.sub(base, apex))
-    side = v.unit(g.sub(left, v.scaled(along, g.dot(left, along))))
-    return side, along, g.cross(side, along)
+def frame(df: DataFrame, apex: g.Vec, base: g.Vec, left: g.Vec) -> DataFrame:
+    """``df`` with unit vectors long, left and front: long runs from apex to base, left gives way to it, front makes the basis right-handed."""
+    df = v.imaging_frame(df, g.sub(base, apex), left)
+    df = v.held(df, long=v.of("beam"), left=v.of("lateral"), front=g.cross(v.of("lateral"), v.of("beam")))
+    return df.drop(*[f"{n}_{x}" for n in ("beam", "lateral", "normal") for x in "xyz"])
 
 
 def framed(basis: tuple[g.Vec, g.Vec, g.Vec], p: g.Vec) -> g.Vec:

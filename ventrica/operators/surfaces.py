@@ -86,27 +86,27 @@ def crossings(facets: DataFrame, grid: DataFrame, side: int) -> DataFrame:
     parity of the edges beside the line, with each edge taken from its lower end, so that two facets
     that share an edge never both take, or both miss, a line along it.
     """
+
+    def edge(p: str, q: str) -> Column:
+        low = F.least(*[F.struct(F.col(f"{c}.y").alias("y"), F.col(f"{c}.z").alias("z")) for c in (p, q)])
+        high = F.greatest(*[F.struct(F.col(f"{c}.y").alias("y"), F.col(f"{c}.z").alias("z")) for c in (p, q)])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    # what depends on the facet alone is worked out before it is dealt
     f = facets.join(F.broadcast(grid))  # one row
+    u, v = ([F.col(f"{c}.{x}") - F.col(f"a.{x}") for x in "xyz"] for c in "bc")
+    f = f.withColumn("det", u[1] * v[2] - u[2] * v[1]).where("det != 0")
+    f = f.withColumns({"by_y": (u[0] * v[2] - u[2] * v[0]) / F.col("det"), "by_z": (u[1] * v[0] - u[0] * v[1]) / F.col("det"), **{f"e{k}": edge(p, q) for k, (p, q) in enumerate(("ab", "bc", "ca"))}})
+    f = f.withColumns({f"s{k}": F.try_divide(F.col(f"e{k}.high.z") - F.col(f"e{k}.low.z"), F.col(f"e{k}.high.y") - F.col(f"e{k}.low.y")) for k in range(3)})
     for n, x in (("j", "y"), ("k", "z")):
         place = lambda v, x=x: (v - F.col(f"o{x}")) / F.col("pitch") - 0.5
         lo = F.greatest(F.ceil(place(F.least(*[F.col(f"{c}.{x}") for c in "abc"]))), F.lit(0))
         hi = F.least(F.floor(place(F.greatest(*[F.col(f"{c}.{x}") for c in "abc"]))), F.lit(side - 1))
-        f = f.where(lo <= hi).withColumn(n, F.explode(F.sequence(lo, hi)))
-    y, z = ((F.col(n) + 0.5) * F.col("pitch") + F.col(f"o{x}") for n, x in (("j", "y"), ("k", "z")))
-    f = f.withColumns({"y": y, "z": z})
-
-    def beside(p: str, q: str) -> Column:
-        up = F.struct(F.col(f"{p}.y"), F.col(f"{p}.z")) <= F.struct(F.col(f"{q}.y"), F.col(f"{q}.z"))
-        lo, hi = (lambda v: F.when(up, F.col(f"{p}.{v}")).otherwise(F.col(f"{q}.{v}"))), (lambda v: F.when(up, F.col(f"{q}.{v}")).otherwise(F.col(f"{p}.{v}")))
-        spans = (lo("y") <= F.col("y")) & (F.col("y") < hi("y"))
-        return F.when(spans & (F.col("z") < lo("z") + (F.col("y") - lo("y")) * (hi("z") - lo("z")) / (hi("y") - lo("y"))), 1).otherwise(0)
-
-    f = f.where((beside("a", "b") + beside("b", "c") + beside("c", "a")) % 2 == 1)
-    u, v = ([F.col(f"{c}.{x}") - F.col(f"a.{x}") for x in "xyz"] for c in "bc")
-    det = u[1] * v[2] - u[2] * v[1]
-    dy, dz = F.col("y") - F.col("a.y"), F.col("z") - F.col("a.z")
-    x = F.col("a.x") + (dy * v[2] - dz * v[1]) / det * u[0] + (u[1] * dz - u[2] * dy) / det * v[0]
-    return f.where(det != 0).select("structure", "j", "k", x.alias("x"))
+        f = f.where(lo <= hi).withColumn(n, F.explode(F.sequence(lo, hi))).withColumn(x, (F.col(n) + 0.5) * F.col("pitch") + F.col(f"o{x}"))
+    y, z = F.col("y"), F.col("z")
+    beside = [F.when((F.col(f"e{k}.low.y") <= y) & (y < F.col(f"e{k}.high.y")) & (z < F.col(f"e{k}.low.z") + (y - F.col(f"e{k}.low.y")) * F.col(f"s{k}")), 1).otherwise(0) for k in range(3)]
+    x = F.col("a.x") + (y - F.col("a.y")) * F.col("by_y") + (z - F.col("a.z")) * F.col("by_z")
+    return f.where((beside[0] + beside[1] + beside[2]) % 2 == 1).select("structure", "j", "k", x.alias("x"))
 
 
 def spans(met: DataFrame) -> DataFrame:

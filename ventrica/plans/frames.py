@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import views as v
 from ..operators import frames
 
 
@@ -19,7 +20,8 @@ def landmark_frames(spark, sf_dir):
     left = points.where("side > 0").groupBy("label").agg(*[F.avg(x).alias(f"l{x}") for x in "xyz"])
     rows = frames.axis_ends(points, "label", "along").join(left, "label")
     apex, base, side = (tuple(F.col(f"{n}{x}") for x in "xyz") for n in "abl")
-    basis = frames.frame(apex, base, g.sub(side, apex))
+    rows = frames.frame(rows, apex, base, g.sub(side, apex))
+    basis = [v.of(n) for n in ("left", "long", "front")]
     apex_in, base_in, left_in = (frames.framed(basis, p) for p in (apex, base, side))
     shown = [(F.round(c, 5) + 0.0).alias(f"{n}_{x}") for n, axis in zip(("left", "long", "front"), basis, strict=True) for c, x in zip(axis, "xyz", strict=True)]
     checks = ((apex_in[1] < base_in[1]).alias("apex_below_base"), (left_in[0] > apex_in[0]).alias("left_of_apex"))

@@ -28,12 +28,10 @@ def _shown(p: g.Vec, name: str):
 
 def imaging_frames(spark, sf_dir):
     """The frame of each embedding read as beam and lateral, a point of its fan, the basis of the plane across the beam, and the angle between what was given."""
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(f"{n}{k}") for n, first in (("p", 0), ("q", 3)) for k, c in enumerate(_vec(first))])
-    given = [tuple(F.col(f"{n}{k}") for k in range(3)) for n in "pq"]
-    beam, lateral, normal = v.imaging_frame(*given)
-    point = v.sample_point(g.vec(1, 2, 3), beam, lateral, F.lit(0.5), HALF_DEG, F.lit(MM))
-    u, w = v.plane_basis(given[0], g.vec(1, 0, 0))
-    return rows.select("vec_id", *_shown(normal, "n"), *_shown(point, "s"), *_shown(u, "u"), *_shown(w, "w"), F.round(v.angle_deg(*given), 6).alias("angle"))
+    rows = v.held(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), p=_vec(0), q=_vec(3))
+    rows = v.plane_basis(v.imaging_frame(rows, v.of("p"), v.of("q")), v.of("beam"), g.vec(1, 0, 0))
+    point = v.sample_point(g.vec(1, 2, 3), v.of("beam"), v.of("lateral"), F.lit(0.5), HALF_DEG, F.lit(MM))
+    return rows.select("vec_id", *_shown(v.of("normal"), "n"), *_shown(point, "s"), *_shown(v.of("u"), "u"), *_shown(v.of("w"), "w"), F.round(v.angle_deg(v.of("p"), v.of("q")), 6).alias("angle"))
 
 
 _E = "e AS (SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(9)) + " FROM embeddings)"

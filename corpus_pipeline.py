@@ -19,7 +19,7 @@ STAGES = [
     ("packing", pack_stage),
 ]
 
-#: Trained models and packing search are beyond SQL; the stages are tested against brute force.
+#: Trained models and packing search are beyond SQL; the operators behind the stages are tested one by one, the whole only by what each stage may keep.
 ORACLE_SQL = None
 
 

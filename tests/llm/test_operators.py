@@ -9,9 +9,11 @@ import re
 import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from ventrica.llm import decontaminate, embed_dedup, html_text, language, licenses, near_dup, packing, quality, warc
+from ventrica.llm import decontaminate, embed_dedup, hashed, html_text, language, licenses, near_dup, packing, quality, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -303,6 +305,34 @@ def test_toxic_texts_are_not_sampled(spark):
     assert quality.quality_sample(docs.limit(0), labels).count() == 0
 
 
+def test_telling_words_equal_brute_force():
+    rnd = random.Random(12)
+    said = ["achlichau", "achlichpf", "trash", "Trash", "trashy", "réeuxment", "house", "of", "a", "longwordofmanyletters"]
+    texts = [" ".join(rnd.choice(said) for _ in range(rnd.choice((0, 1, 2, 7, 60)))) for _ in range(80)] + [None, "", " ", "trash", "trash", "same line of trash\n" * 50]
+    bits, data = 22, lambda w: (np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+    whole = lambda w: int(hashed.word_hashes(*data(w))[0][0] >> np.uint64(64 - bits))
+    start = {size: int(hashed.mix64(hashed.word_hashes(*data(w), (size,))[2][0][1] + np.uint64(size))[0] >> np.uint64(64 - bits)) for w, size in (("achlichau", 6), ("trashy", 4))}
+    odds = np.zeros(1 << bits)
+    odds[whole("trash")], odds[start[6]], odds[start[4]], odds[whole("achlichpf")] = 5.0, 3.0, 2.0, 4.0
+    worth = {"trash": 5.0, "trashy": 2.0, "achlichau": 3.0, "achlichpf": 4.0}
+    got = [row for part in hashed.telling_words(pa.array(texts, pa.string()), bits, odds) for row in zip(*part, strict=True)]
+    for text, (places, telling, total) in zip(texts, got, strict=True):
+        words_of = [None, *(text or "").lower().split(), None]
+        seen = {tuple(words_of[i - 1 : i + 2]) for i in range(1, len(words_of) - 1)}
+        found = [worth[w] for _, w, _ in seen if w in worth]
+        assert (places, telling, total) == (len(seen), len(found), sum(found))
+
+
+def test_one_chance_hit_in_a_long_text_is_not_toxic(spark):
+    rnd = random.Random(13)
+    insult = lambda t: " ".join(rnd.choice(("idiot", "moron", "scum")) if rnd.random() < 0.08 else w for w in t.split()) + " idiot"
+    rows = [(k, insult(words(80, rnd)) if k % 5 == 0 else words(80, rnd)) for k in range(500)]
+    rows += [(600 + k, words(3000, rnd) + " idiot " + words(3000, rnd)) for k in range(3)] + [(700, insult(words(6000, rnd)))]
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(0, 500, 2)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.quality_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert all(got[600 + k].toxicity < 0 for k in range(3)) and not got[700].kept
+
+
 def test_kth_largest_equals_sorting(spark):
     values = [random.Random(6).gauss(0, 1) for _ in range(500)] + [1.0] * 50
     frame = spark.createDataFrame([(v,) for v in values], "v double")

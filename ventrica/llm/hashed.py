@@ -61,22 +61,53 @@ def letter_trigrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[n
 BEGINNINGS = (4, 5, 6, 8)
 
 
-def word_beginnings(data: np.ndarray, offsets: np.ndarray, bits: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and of beginnings of longer words, each once a text, and where each text's begin.
+def _new_words(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of every word, and which words are the first of their text between these two neighbours."""
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    around = mix64(hashes * np.uint64(3) + rows.astype(np.uint64))
+    same = rows[1:] == rows[:-1]
+    around[1:][same] += mix64(hashes[:-1][same] + np.uint64(1))
+    around[:-1][same] += mix64(hashes[1:][same] + np.uint64(2))
+    first = np.zeros(len(hashes), bool)
+    first[np.unique(around, return_index=True)[1]] = True
+    return rows, first
+
+
+def _word_buckets(data: np.ndarray, offsets: np.ndarray, bits: int):
+    """Rows and novelty as of _new_words, then (which words, their buckets) for words and for each beginning."""
+    hashes, at, shorter = word_hashes(data, offsets, BEGINNINGS)
+    bucket = lambda h: (h >> np.uint64(64 - bits)).astype(np.int64)
+    parts = [(where, bucket(mix64(part + np.uint64(size)))) for size, (where, part) in zip(BEGINNINGS, shorter, strict=True)]
+    return (*_new_words(hashes, at), [(np.arange(len(hashes)), bucket(hashes)), *parts])
+
+
+def word_beginnings(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of beginnings of longer words, and where each text's begin.
 
-    Of all buckets only those that are true in ``wanted``, if it is given.
+    The lower half of the buckets takes each once a text, the upper half each place of it,
+    but a place between the same two neighbours once.
     """
-    hashes, at, shorter = word_hashes(data, offsets, BEGINNINGS)
-    rows, keys = np.repeat(np.arange(len(offsets) - 1), np.diff(at)), []
-    for row, part in [(rows, hashes), *((rows[where], mix64(part + np.uint64(size))) for size, (where, part) in zip(BEGINNINGS, shorter, strict=True))]:
-        bucket = (part >> np.uint64(64 - bits)).astype(np.int64)
-        if wanted is not None:
-            row, bucket = row[wanted[bucket]], bucket[wanted[bucket]]
-        keys.append((row << bits) + bucket)
-    keys = np.unique(np.concatenate(keys))
+    rows, first, parts = _word_buckets(data, offsets, bits - 1)
+    places = np.concatenate([(rows[where] << bits)[first[where]] + bucket[first[where]] for where, bucket in parts])
+    keys = np.sort(np.concatenate([np.unique(places), places + (1 << (bits - 1))]))
     return keys & ((1 << bits) - 1), np.searchsorted(keys, np.arange(len(offsets)) << bits)
 
 
+def telling_words(column, bits: int, odds: np.ndarray):
+    """For each text its words, those of them that are telling, and the sum of their odds; by chunks.
+
+    A word counts once between the same two neighbours, so repeated lines add nothing. Its
+    odds are the largest of itself and its beginnings.
+    """
+    for _, data, offsets in text_chunks(column):
+        rows, first, parts = _word_buckets(data, offsets, bits)
+        most = np.zeros(len(rows))
+        for where, bucket in parts:
+            most[where] = np.maximum(most[where], odds[bucket])
+        rows, most, n = rows[first], most[first], len(offsets) - 1
+        yield np.bincount(rows, minlength=n), np.bincount(rows[most > 0], minlength=n), np.bincount(rows, most, minlength=n)
+
+
 def hashed_counts(rows: DataFrame, features, bits: int, classes: int) -> np.ndarray:
     """Counts [class, bucket] over ``rows(text, class)``; a row with a class outside the range is not counted."""
 

@@ -10,9 +10,11 @@ reaches the cut that best parts held-out labelled texts. The k-th largest is fou
 histograms, so nothing is sorted or collected as a whole.
 
 A few insults among many good words hardly move a mean over n-grams, so toxic texts are found
-by another sum: the log odds of the text's distinct words and beginnings of words that labelled
-toxic texts hold significantly more often than the others. Texts over the cut that best parts held-out rows
-are not sampled from.
+by the log ratio of another likelihood: words that labelled toxic texts hold significantly more
+often than the others, themselves or by their beginnings, add the log ratio of their rates, and
+every word takes away the difference of the rates at which any telling word comes, as in a
+Poisson process; so one chance hit in a long text says little. Texts over the cut that best
+parts held-out rows are not sampled from.
 
 Only the target model, the toxic words and the cuts come from a sample: at most LABELLED
 labelled rows, half of them for the models and half for the cuts. The raw model and the
@@ -21,8 +23,6 @@ sampling cover every row.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import id_and_text, materialize
-from .hashed import hashed_counts, text_sums, word_beginnings, word_bigrams
+from .hashed import hashed_counts, telling_words, text_sums, word_beginnings, word_bigrams
 
 BITS = 13
 WORD_BITS = 18
@@ -51,16 +51,17 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def toxic_odds(counts: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
-    """Log odds of words in toxic texts, by bucket, from counts of texts [toxic or not, bucket].
+    """Log ratio of the rates of words in toxic and other texts, by bucket.
 
-    Zero unless the likelihood ratio test of the bucket is beyond what chance gives in any.
+    From counts [toxic or not, texts that hold it or places, bucket]. Zero unless the likelihood
+    ratio test of the bucket, by texts, is beyond what chance gives in any.
     """
-    (b, a), (n0, n1) = counts.astype(float), texts
+    ((b, places_b), (a, places_a)), (n0, n1) = counts.astype(float), texts
     share = (a + b) / max(n0 + n1, 1)
     term = lambda x, expected: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
     ratio = 2 * (term(a, n1 * share) + term(b, n0 * share) + term(n1 - a, n1 * (1 - share)) + term(n0 - b, n0 * (1 - share)))
-    odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-    return np.where((odds > 0) & (ratio > 2 * np.log(len(a))), odds, 0.0)
+    odds = np.log((places_a + 0.5) / (places_a.sum() + 1)) - np.log((places_b + 0.5) / (places_b.sum() + 1))
+    return np.where((odds > 0) & (a * n0 > b * n1) & (ratio > 2 * np.log(len(a))), odds, 0.0)
 
 
 def best_cut(scores: list[float], good: list[bool]) -> float:
@@ -122,9 +123,8 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     table = log_ratios(counts.sum(axis=0), counts[1])[None]
     models = base.join(F.broadcast(wanted.where("fold = 0")), "doc_id")
     texts = models.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).first()
-    odds = toxic_odds(hashed_counts(models.withColumn("class", F.col("toxic")), word_beginnings, WORD_BITS, 2), texts)[None]
-
-    insulting = partial(word_beginnings, wanted=odds[0] != 0)
+    held_by = hashed_counts(models.withColumn("class", F.col("toxic")), word_beginnings, WORD_BITS + 1, 2)
+    odds = toxic_odds(held_by.reshape(2, 2, -1), texts)
 
     def weigh(batches):
         for batch in batches:
@@ -132,19 +132,23 @@ def quality_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             parts = list(text_sums(text, word_bigrams, BITS, table))
             n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             sums = np.concatenate([p[1][0] for p in parts]) if parts else np.zeros(0)
-            insults = [p[1][0] for p in text_sums(text, insulting, WORD_BITS, odds)]
-            insults = np.concatenate(insults) if insults else np.zeros(0)
+            told = list(telling_words(text, WORD_BITS, odds))
+            places, telling, insults = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0),) * 3
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(sums.round(9)), pa.array(insults.round(9))], [*kept, "n_grams", "weight", "toxicity"])
+            new = [pa.array(n, pa.int64()), pa.array(sums.round(9)), pa.array(places, pa.int64()), pa.array(telling, pa.int64()), pa.array(insults.round(9))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "n_grams", "weight", "places", "telling", "insults"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*docs.columns).alias("data")) if carry else base
     kept = StructType([f for f in source.schema if f.name != "text"])
-    weights = source.mapInArrow(weigh, kept.add("n_grams", "long").add("weight", "double").add("toxicity", "double"))
+    weights = source.mapInArrow(weigh, kept.add("n_grams", "long").add("weight", "double").add("places", "long").add("telling", "long").add("insults", "double"))
     uniform = (F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = materialize(weights.withColumn("score", F.col("weight") - F.log(-F.log(uniform))), "weights")
+    rate = scored.join(F.broadcast(wanted.where("fold = 0")), "doc_id").agg(*(F.try_divide(F.sum(F.when(F.col("toxic") == t, F.col("telling"))), F.sum(F.when(F.col("toxic") == t, F.col("places")))) for t in (0, 1))).first()
+    excess = max((rate[1] or 0.0) - (rate[0] or 0.0), 0.0)
+    scored = scored.withColumn("toxicity", F.round(F.col("insults") - excess * F.col("places"), 9))
     # ids may repeat; one row of each labelled id, in a fixed order, so at most LABELLED rows
     held = scored.join(F.broadcast(wanted.where("fold = 1")), "doc_id").groupBy("doc_id").agg(F.min("weight").alias("weight"), F.max("toxicity").alias("toxicity"), F.max("toxic").alias("toxic"), F.max("good").alias("good")).collect()
-    most = -best_cut([-r.toxicity for r in held], [r.toxic == 0 for r in held])
+    most = max(0.0, -best_cut([-r.toxicity for r in held], [r.toxic == 0 for r in held]))  # 0 is even odds
     left = [r for r in held if r.toxicity <= most]  # a toxic row that stays counts as a bad one
     cut = best_cut([r.weight for r in left], [r.good for r in left])
     mild = scored.where(F.col("toxicity") <= most)

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat
+from .audit import audit_conversations
 from .decontaminate import leaked_items
 from .embed_dedup import near_duplicate_vectors
 from .html_text import extract_main_text
 from .language import document_languages, document_models, page_languages
 from .licenses import scan_licenses
+from .line_dedup import drop_repeated_lines
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import quality_sample
+from .vector_codes import compress_vectors
 from .warc import read_archive, write_archive
 
 
@@ -65,6 +69,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(_table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -76,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
     "op10_decontamination": op10_decontamination,
+    "op11_structure_repair": op11_structure_repair,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op9_chat_format": chat.ORACLE,

@@ -36,6 +36,8 @@ SHARD_KEYS = 1 << 18
 SENT_BYTES = 64 << 20
 #: Bytes of text in a block, but for a longer document.
 BLOCK_BYTES = 16 << 20
+#: Bytes of text whose lines are looked up together.
+PIECE_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 SHARD = "shard long, keys long, levels binary, sizes array<long>, prints binary, counts binary, keepers binary"
 
@@ -120,6 +122,18 @@ class Shard:
 _ONES = np.array([bin(k).count("1") for k in range(256)], np.uint8)
 
 
+def _pieces(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[list[tuple[int, bytes, list[bytes]]], np.ndarray, np.ndarray]]:
+    """(row, text, lines) of some documents, about PIECE_BYTES together, the hashes of all their lines, and where each document's end."""
+    docs, hashes, size = [], [], 0
+    for k, text, lines, keys in _hashed(batch, min_chars):
+        docs.append((k, text, lines))
+        hashes.append(keys)
+        size += len(text)
+        if size > PIECE_BYTES or k + 1 == batch.num_rows:
+            yield docs, np.concatenate(hashes), np.cumsum([len(h) for h in hashes])
+            docs, hashes, size = [], [], 0
+
+
 def _hashed(batch: pa.RecordBatch, min_chars: int) -> Iterator[tuple[int, bytes, list[bytes], np.ndarray]]:
     for k, text in enumerate(batch.column("text")):
         text = text.as_py() or b""
@@ -213,10 +227,15 @@ def _by_probing(texts: DataFrame, index: Index, shards: int, min_chars: int, min
     def run(batches):
         for batch in batches:
             ids, rows, size = batch.column("doc_id").to_pylist(), [], 0
-            for k, text, lines, keys in _hashed(batch, min_chars):
+            for docs, keys, ends in _pieces(batch, min_chars):
                 found, n, keeper = sent.value.probe(keys, shards)
-                rows.append((ids[k], *_without(text, lines, found[(n >= min_docs) & (keeper != ids[k])])))
-                size += len(rows[-1][-1])
+                order = np.argsort(found[n >= min_docs], kind="stable")
+                found, keeper = found[n >= min_docs][order], keeper[n >= min_docs][order]
+                cuts = np.searchsorted(found, ends)
+                for (k, text, lines), end, a, b in zip(docs, ends.tolist(), [0, *cuts.tolist()], cuts.tolist(), strict=False):
+                    mine = found[a:b][keeper[a:b] != ids[k]] - (end - len(lines))
+                    rows.append((ids[k], *_without(text, lines, mine)))
+                    size += len(rows[-1][-1])
                 if size > BLOCK_BYTES:
                     yield _output(rows)
                     rows, size = [], 0

@@ -135,13 +135,13 @@ class AccessTree:
             return
         away = np.sqrt(squares.astype(float))[:, self.rank]
         own = np.argmin(away, axis=1)
-        down, up = away / _WIDER, away * _WIDER
-        for near in (True, False):  # a point's own child first, so that the others meet its smaller radius
-            for k, low, high, child in self.children:
-                mine = np.flatnonzero((own == k) == near)
-                radius = (np.sqrt(best[rows[mine]].astype(float)) * _WIDER)[:, None]
-                out = ((down[mine] - radius > high * _WIDER) | ((up[mine] + radius) * _WIDER < low)).any(axis=1)
-                child._visit(entries, points, rows[mine[~out]], index, best)
+        for k, _, _, child in self.children:  # a point's own child first, so that the others meet its smaller radius
+            child._visit(entries, points, rows[own == k], index, best)
+        radius = (np.sqrt(best[rows].astype(float)) * _WIDER)[:, None]
+        beyond, within = away / _WIDER - radius, (away * _WIDER + radius) * _WIDER
+        for k, low, high, child in self.children:
+            out = ((beyond > high * _WIDER) | (within < low)).any(axis=1)
+            child._visit(entries, points, rows[~out & (own != k)], index, best)
 
 
 @dataclass

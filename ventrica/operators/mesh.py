@@ -33,6 +33,23 @@ def box_tets(spark: SparkSession, cubes: int = CUBES) -> DataFrame:
     return cells.select("id", "v", "tag", F.posexplode(kind).alias("n", "o")).select((F.col("id") * 6 + F.col("n")).alias("tid"), "tag", *[(F.col("v") + F.col(f"o.{n}")).alias(n) for n in "abcd"])
 
 
+def lattice_tets(cells: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Six tetrahedra for each row of cells(cell, i, j, k, tag) of a lattice nx by ny cells wide and as high as it needs; whole cells next to each other share faces."""
+    step = (1, nx + 1, (nx + 1) * (ny + 1))
+    kinds = [(0, step[a], step[a] + step[b], sum(step)) for a, b, _ in permutations(range(3))]
+    kind = F.array(*[F.struct(*[F.lit(o).alias(n) for o, n in zip(k, "abcd", strict=True)]) for k in kinds])
+    corner = F.col("i") * step[0] + F.col("j") * step[1] + F.col("k") * step[2]
+    each = cells.select("cell", corner.alias("v"), "tag", F.posexplode(kind).alias("n", "o"))
+    return each.select((F.col("cell") * 6 + F.col("n")).alias("tid"), "tag", *[(F.col("v") + F.col(f"o.{n}")).alias(n) for n in "abcd"])
+
+
+def lattice_points(tets: DataFrame, nx: int, ny: int) -> DataFrame:
+    """The lattice points that tetrahedra of lattice_tets use."""
+    p, wide = F.col("pid"), (nx + 1) * (ny + 1)
+    used = tets.select(F.explode(F.array(*"abcd")).alias("pid")).distinct()
+    return used.select("pid", (p % (nx + 1)).cast("double").alias("x"), (F.floor(p / (nx + 1)) % (ny + 1)).cast("double").alias("y"), F.floor(p / wide).cast("double").alias("z"))
+
+
 def faces(tets: DataFrame) -> DataFrame:
     """tid, tag, slot and the sorted corners p < q < r of each of the four faces."""
     corners = [("a", "b", "c"), ("a", "b", "d"), ("a", "c", "d"), ("b", "c", "d")]

@@ -1,21 +1,26 @@
-"""Queries over a box mesh made from a closed form: no table of the tests holds a mesh."""
+"""Queries over a mesh of parts: each row of part is a cell of a lattice, its place from its key and its tag from its size."""
 
 from __future__ import annotations
 
 from itertools import permutations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import mesh
 
+WIDE = 16
+PITCH = 0.7
 _KINDS = []
 for _p in permutations(range(3)):
-    _s = (1, 11, 55)
+    _s = (1, WIDE + 1, (WIDE + 1) ** 2)
     _KINDS.append((0, _s[_p[0]], _s[_p[0]] + _s[_p[1]], sum(_s)))
-TETS = f"""WITH cubes AS (SELECT s, s % 10 AS i, s // 10 % 4 AS j, s // 40 AS k FROM range(80) r(s)),
+CELLS = f"cubes AS (SELECT p_partkey AS s, p_partkey % {WIDE} AS i, p_partkey // {WIDE} % {WIDE} AS j, p_partkey // {WIDE * WIDE} AS k, p_size % 10 + 1 AS tag FROM part)"
+TETS = f"""WITH {CELLS},
 kinds(n, oa, ob, oc, od) AS (VALUES {", ".join(f"({n}, {a}, {b}, {c}, {d})" for n, (a, b, c, d) in enumerate(_KINDS))}),
-tets AS (SELECT s*6+n AS tid, [3,7,1,9,5,4,8,2,10,6][(j // 2) * 5 + i // 2 + 1] AS tag, i+11*(j+5*k)+oa AS a, i+11*(j+5*k)+ob AS b, i+11*(j+5*k)+oc AS c, i+11*(j+5*k)+od AS d FROM cubes, kinds),
-pts AS (SELECT s AS pid, (s % 11)::DOUBLE AS x, (s // 11 % 5)::DOUBLE AS y, (s // 55)::DOUBLE AS z FROM range(165) r(s)),
+placed AS (SELECT *, i+{WIDE + 1}*(j+{WIDE + 1}*k) AS v FROM cubes),
+tets AS (SELECT s*6+n AS tid, tag, v+oa AS a, v+ob AS b, v+oc AS c, v+od AS d FROM placed, kinds),
+pts AS (SELECT pid, (pid % {WIDE + 1})::DOUBLE AS x, (pid // {WIDE + 1} % {WIDE + 1})::DOUBLE AS y, (pid // {(WIDE + 1) ** 2})::DOUBLE AS z FROM (SELECT DISTINCT unnest([a, b, c, d]) AS pid FROM tets)),
 fc AS (SELECT tid, tag, slot, list_sort(f) AS f FROM (SELECT tid, tag, unnest([0,1,2,3]) AS slot, unnest([[a,b,c],[a,b,d],[a,c,d],[b,c,d]]) AS f FROM tets)),
 adj AS (SELECT least(tag, other) AS lo, greatest(tag, other) AS hi, count(*)::BIGINT AS n_faces FROM (SELECT tag, lag(tag) OVER (PARTITION BY f ORDER BY slot, tid) AS other FROM fc) WHERE other <> tag GROUP BY 1, 2),
 surf AS (SELECT tag, f[1] AS p, f[2] AS q, f[3] AS r FROM fc GROUP BY tag, f HAVING count(*) = 1),
@@ -23,12 +28,27 @@ eds AS (SELECT tag, e, count(*) AS n FROM (SELECT tag, unnest([[p,q],[p,r],[q,r]
 census AS (SELECT tag, count(*)::BIGINT AS n_edges, count(*) FILTER (n = 1)::BIGINT AS n_boundary, count(*) FILTER (n > 2)::BIGINT AS n_nonmanifold FROM eds GROUP BY 1)"""
 
 
+def cells(spark, sf_dir) -> DataFrame:
+    s = F.col("p_partkey")
+    place = {"i": s % WIDE, "j": F.floor(s / WIDE) % WIDE, "k": F.floor(s / (WIDE * WIDE))}
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("cell"), *[c.alias(n) for n, c in place.items()], (F.col("p_size") % 10 + 1).alias("tag"))
+
+
+def tets(spark, sf_dir) -> DataFrame:
+    return mesh.lattice_tets(cells(spark, sf_dir), WIDE, WIDE)
+
+
+def tets_and_points(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    found = tets(spark, sf_dir)
+    return found, mesh.lattice_points(found, WIDE, WIDE)
+
+
 def tag_face_adjacency(spark, sf_dir):
-    return mesh.tag_adjacency(mesh.box_tets(spark))
+    return mesh.tag_adjacency(tets(spark, sf_dir))
 
 
 def valve_borders(spark, sf_dir):
-    return mesh.ring_borders(mesh.box_tets(spark)).withColumn("share", F.round("share", 6))
+    return mesh.ring_borders(tets(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
 BORDERS = f"""{TETS}, b AS (SELECT CASE WHEN lo BETWEEN 7 AND 10 THEN lo ELSE hi END AS ring, CASE WHEN lo BETWEEN 7 AND 10 THEN hi ELSE lo END AS chamber, n_faces FROM adj WHERE (lo BETWEEN 7 AND 10) <> (hi BETWEEN 7 AND 10))
@@ -37,7 +57,7 @@ SELECT ring, chamber, n_faces, round(n_faces::DOUBLE / sum(n_faces) OVER (PARTIT
 
 def valve_identify(spark, sf_dir):
     """The chambers that each ring parts, as one sorted key."""
-    strong = mesh.ring_borders(mesh.box_tets(spark)).where("strong")
+    strong = mesh.ring_borders(tets(spark, sf_dir)).where("strong")
     return strong.groupBy("ring").agg(F.array_join(F.array_sort(F.collect_set("chamber")), "-").alias("chambers"), F.count("*").alias("n_borders"))
 
 
@@ -45,11 +65,11 @@ IDENTIFY = f"WITH v AS ({BORDERS}) SELECT ring, string_agg(chamber::VARCHAR, '-'
 
 
 def edge_census(spark, sf_dir):
-    return mesh.edge_census(mesh.boundary_faces(mesh.box_tets(spark)))
+    return mesh.edge_census(mesh.boundary_faces(tets(spark, sf_dir)))
 
 
 def mesh_area_volume_euler(spark, sf_dir):
-    out = mesh.surface_scalars(mesh.box_tets(spark), mesh.box_points(spark))
+    out = mesh.surface_scalars(*tets_and_points(spark, sf_dir))
     return out.withColumns({"area": F.round("area", 6), "volume": F.round("volume", 6)})
 
 
@@ -61,13 +81,13 @@ SELECT tag, n_faces, n_points, n_edges, n_points - n_edges + n_faces AS euler, n
 
 
 def voxelize_tets_binned(spark, sf_dir):
-    out = mesh.voxelized(mesh.box_tets(spark), mesh.box_points(spark), 0.4)
+    out = mesh.voxelized(*tets_and_points(spark, sf_dir), PITCH)
     return out.groupBy("tag").agg(F.count("*").alias("n"), F.sum("i").alias("si"), F.sum("j").alias("sj"))
 
 
-# voxels of the box by cell; none of their centres lies on a border between cells
-VOXELS = """WITH v AS (SELECT s % 25 AS i, s // 25 % 10 AS j, s // 250 AS k FROM range(1250) r(s))
-SELECT [3,7,1,9,5,4,8,2,10,6][floor((j+0.5)*0.4/2)::INT * 5 + floor((i+0.5)*0.4/2)::INT + 1] AS tag, count(*)::BIGINT AS n, sum(i)::BIGINT AS si, sum(j)::BIGINT AS sj FROM v GROUP BY 1"""
+# tetrahedra part their cell, so a voxel has the tag of the cell that holds its centre; no centre lies on a border between cells
+VOXELS = f"""WITH {CELLS}, r AS (SELECT tag, [x FOR x IN range(ceil(i / {PITCH} - 0.5)::BIGINT, ceil((i + 1) / {PITCH} - 0.5)::BIGINT)] AS vi, [x FOR x IN range(ceil(j / {PITCH} - 0.5)::BIGINT, ceil((j + 1) / {PITCH} - 0.5)::BIGINT)] AS vj, ceil((k + 1) / {PITCH} - 0.5)::BIGINT - ceil(k / {PITCH} - 0.5)::BIGINT AS nk FROM cubes)
+SELECT tag, sum(len(vi) * len(vj) * nk)::BIGINT AS n, sum(list_sum(vi) * len(vj) * nk)::BIGINT AS si, sum(list_sum(vj) * len(vi) * nk)::BIGINT AS sj FROM r GROUP BY 1"""
 
 QUERIES = {f.__name__: f for f in (tag_face_adjacency, valve_borders, valve_identify, edge_census, mesh_area_volume_euler, voxelize_tets_binned)}
 ORACLES = {

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import mesh, surfaces
+from ..operators import surfaces
 from ..sources import meshes
-from .meshes import TETS
+from .meshes import TETS, tets_and_points
 
 SIDE = 48
 FACETS_A_ROW = 7
@@ -80,26 +80,31 @@ def bounds_grid(spark, sf_dir):
     return surfaces.fitted_grid(facets(spark, sf_dir), SIDE).select(*[F.round(c, 6).alias(c) for c in ("ox", "oy", "oz", "pitch")])
 
 
+def _part_surface(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    tets, points = tets_and_points(spark, sf_dir)
+    return surfaces.wound_boundary(tets, points), points
+
+
 def vertex_normals(spark, sf_dir):
-    out = surfaces.vertex_normals(surfaces.wound_boundary(mesh.box_tets(spark), mesh.box_points(spark)), mesh.box_points(spark))
+    out = surfaces.vertex_normals(*_part_surface(spark, sf_dir))
     return out.select("tag", "pid", *[(F.round(c, 6) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
 
 
-# a tag's block is convex, so outwards is away from its centre
-NORMALS = f"""{TETS}, tri AS (SELECT s.*, P.x AS px, P.y AS py, P.z AS pz, Q.x-P.x AS ux, Q.y-P.y AS uy, Q.z-P.z AS uz, R.x-P.x AS vx, R.y-P.y AS vy, R.z-P.z AS vz FROM surf s JOIN pts P ON P.pid = p JOIN pts Q ON Q.pid = q JOIN pts R ON R.pid = r),
-mid AS (SELECT tag, (min(px)+max(px))/2 AS mx, (min(py)+max(py))/2 AS my, (min(pz)+max(pz))/2 AS mz FROM tri GROUP BY 1),
-raw AS (SELECT tri.*, uy*vz-uz*vy AS x, uz*vx-ux*vz AS y, ux*vy-uy*vx AS z, sign((uy*vz-uz*vy)*(px-mx) + (uz*vx-ux*vz)*(py-my) + (ux*vy-uy*vx)*(pz-mz)) AS s FROM tri JOIN mid USING (tag)),
+# outwards is away from the fourth corner of the one tetrahedron that has the face
+NORMALS = f"""{TETS}, own AS (SELECT tag, f[1] AS p, f[2] AS q, f[3] AS r, min(o) AS o FROM (SELECT tag, list_sort(unnest([[a,b,c],[a,b,d],[a,c,d],[b,c,d]])) AS f, unnest([d,c,b,a]) AS o FROM tets) GROUP BY tag, f HAVING count(*) = 1),
+tri AS (SELECT s.*, P.x AS px, P.y AS py, P.z AS pz, Q.x-P.x AS ux, Q.y-P.y AS uy, Q.z-P.z AS uz, R.x-P.x AS vx, R.y-P.y AS vy, R.z-P.z AS vz, O.x-P.x AS ox, O.y-P.y AS oy, O.z-P.z AS oz FROM own s JOIN pts P ON P.pid = p JOIN pts Q ON Q.pid = q JOIN pts R ON R.pid = r JOIN pts O ON O.pid = o),
+raw AS (SELECT tri.*, uy*vz-uz*vy AS x, uz*vx-ux*vz AS y, ux*vy-uy*vx AS z, -sign((uy*vz-uz*vy)*ox + (uz*vx-ux*vz)*oy + (ux*vy-uy*vx)*oz) AS s FROM tri),
 co AS (SELECT tag, unnest([p, q, r]) AS pid, x*s AS x, y*s AS y, z*s AS z FROM raw), su AS (SELECT tag, pid, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM co GROUP BY 1, 2), le AS (SELECT *, sqrt(x*x+y*y+z*z) AS n FROM su)
-SELECT tag, pid, round(x/n, 6) + 0.0 AS nx, round(y/n, 6) + 0.0 AS ny, round(z/n, 6) + 0.0 AS nz FROM le"""
+SELECT tag, pid, round(x/greatest(n, 1e-300), 6) + 0.0 AS nx, round(y/greatest(n, 1e-300), 6) + 0.0 AS ny, round(z/greatest(n, 1e-300), 6) + 0.0 AS nz FROM le"""
 
 
 def enclosed_volume(spark, sf_dir):
-    surface, points = surfaces.wound_boundary(mesh.box_tets(spark), mesh.box_points(spark)), mesh.box_points(spark)
+    surface, points = _part_surface(spark, sf_dir)
     return surfaces.enclosed_volume(surface, points).select("tag", F.round("volume", 6).alias("volume")).join(surfaces.winding_census(surface), "tag")
 
 
 def vertex_reindex(spark, sf_dir):
-    return surfaces.reindexed(surfaces.wound_boundary(mesh.box_tets(spark), mesh.box_points(spark)))
+    return surfaces.reindexed(_part_surface(spark, sf_dir)[0])
 
 
 REINDEX = f"{TETS} SELECT tag, pid, (row_number() OVER (PARTITION BY tag ORDER BY pid) - 1)::BIGINT AS n FROM (SELECT DISTINCT tag, unnest([p, q, r]) AS pid FROM surf)"

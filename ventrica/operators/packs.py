@@ -30,8 +30,34 @@ KEYS = {
     "meshes": "gltf structures canonical_pose units orientation anatomical_frame".split(),
     "structure": "id mesh_node display_label parent blood_pool stylized".split(),
     "label": "id structure echogenicity attenuation".split(),
+    "modified": "flag note".split(),
+    "vetted": "status vetters last_reviewed".split(),
+    "vetter": "name role date".split(),
+    "canonical_pose": "position rotation_euler_xyz_deg scale".split(),
+    "orientation": "up anterior patient_left handedness".split(),
+    "anatomical_frame": "method description inputs valve_identification landmarks_source_mm basis_source_to_pack measurements checks checks_passed checks_total".split(),
+    "basis": "patient_left basal anterior".split(),
+    "valve_identification": "method description chamber_tags valves published_tags agrees_with_published".split(),
+    "interaction": "pivot camera free_cut".split(),
+    "camera": "position target up fov_deg".split(),
+    "free_cut": "normal offset".split(),
+    "echo_volume": "asset format resolution mesh_to_volume labels scatterer_seed".split(),
+    "probe": "origin beam_axis lateral_axis fan display".split(),
+    "fan": "angle_deg depth_cm focus_cm".split(),
+    "display": "vertex marker_side flip_lr".split(),
+    "sweep": "mode axis range interpolation structures_in_order".split(),
+    "axis": "direction origin".split(),
+    "range": "unit from to".split(),
+    "show_hide_preset": "visible hidden".split(),
     "view": "family view_id name aliases placement_landmark indicator_clock probe sweep structures measurements lesion_attachments show_hide_preset echo_tuning real_clip_slot emphasis provenance".split(),
 }
+#: Where an object of a level lies, in a pack and in a view.
+PLACES = {"meta": "meta", "provenance": "provenance", "provenance.modified": "modified", "provenance.vetted": "vetted", "meshes": "meshes", "meshes.canonical_pose": "canonical_pose", "meshes.orientation": "orientation", "meshes.anatomical_frame": "anatomical_frame", "meshes.anatomical_frame.basis_source_to_pack": "basis", "meshes.anatomical_frame.valve_identification": "valve_identification", "interaction": "interaction", "interaction.camera": "camera", "interaction.free_cut": "free_cut", "echo_volume": "echo_volume"}
+VIEW_PLACES = {"probe": "probe", "probe.fan": "fan", "probe.display": "display", "sweep": "sweep", "sweep.axis": "axis", "sweep.range": "range", "show_hide_preset": "show_hide_preset", "provenance": "provenance", "provenance.modified": "modified", "provenance.vetted": "vetted"}
+#: Fields that must be text and numbers, in a pack.
+TEXTS = ("meta.id", "meta.display_name", "meta.anatomy", "meta.canonical_variant", "meta.pack_version", "meta.schema_version", "provenance.creator", "provenance.source", "provenance.license", "meshes.gltf", "meshes.units", "echo_volume.asset", "echo_volume.format")
+NUMBERS = ("meshes.canonical_pose.scale", "interaction.camera.fov_deg", "interaction.free_cut.offset", "echo_volume.scatterer_seed")
+FRAME = "meshes struct<anatomical_frame:struct<basis_source_to_pack:struct<patient_left:array<double>,basal:array<double>,anterior:array<double>>,checks:map<string,boolean>,checks_passed:int,checks_total:int,valve_identification:struct<valves:map<string,struct<tag:int,borders:map<string,int>>>,published_tags:map<string,int>,agrees_with_published:boolean>>>"
 UNIT_SLACK = 1e-3
 
 
@@ -171,6 +197,46 @@ def _orientation(o: Column) -> Column:
     )
 
 
+def _wrong_types(body: Column) -> Column:
+    """Fields that are there but hold another kind of value than they must."""
+    whole = F.try_parse_json(body)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(whole, f"$.{path}", "variant"))
+    texts = [_issue(p, "wrong type", ~kind(p).rlike("^(STRING|VOID)")) for p in TEXTS]
+    return _all(*texts, *[_issue(p, "wrong type", ~kind(p).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|VOID)")) for p in NUMBERS])
+
+
+def fingerprint(tags: Column) -> Column:
+    """A map as text: name=value in order of the names."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(tags), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+
+
+def _frame(f: Column) -> Column:
+    """An anatomical frame: axes at right angles and right-handed, valves with two borders and tags of their own, claims that fit what they sum up."""
+    at = "meshes.anatomical_frame"
+    basis, valves = f["basis_source_to_pack"], f["valve_identification"]
+    left, basal, front = (basis[n] for n in ("patient_left", "basal", "anterior"))
+    cross = F.array(*[left[(k + 1) % 3] * basal[(k + 2) % 3] - left[(k + 2) % 3] * basal[(k + 1) % 3] for k in range(3)])
+    tags = F.map_from_entries(F.transform(F.map_entries(valves["valves"]), lambda e: F.struct(e["key"].alias("key"), e["value"]["tag"].alias("value"))))
+    agrees = fingerprint(tags) == fingerprint(valves["published_tags"])
+    values, passed = F.map_values(valves["valves"]), F.size(F.filter(F.map_values(f["checks"]), lambda c: c))
+    return _all(
+        *[_issue(f"{at}.basis_source_to_pack.{n}", "not a unit vector", f.isNotNull() & _not_unit(basis[n])) for n in ("patient_left", "basal", "anterior")],
+        *[_issue(f"{at}.basis_source_to_pack", "axes not at right angles", F.abs(_dot(a, b)) > UNIT_SLACK) for a, b in ((left, basal), (basal, front), (front, left))],
+        _issue(f"{at}.basis_source_to_pack", "not right-handed", _dot(cross, front) <= 0),
+        _issue(f"{at}.valve_identification.agrees_with_published", "claim and maps disagree", valves["agrees_with_published"] != agrees),
+        _issue(f"{at}.valve_identification.valves", "not two borders", F.exists(values, lambda v: F.size(v["borders"]) != 2)),
+        _issue(f"{at}.valve_identification.valves", "tags repeat", F.size(F.array_distinct(F.transform(values, lambda v: v["tag"]))) != F.size(values)),
+        _issue(f"{at}.checks_passed", "counts and checks disagree", (F.size(f["checks"]) != f["checks_total"]) | (passed != f["checks_passed"])),
+    )
+
+
+def draft_views(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """key, n_views, n_draft: how many views of each pack are drafts; bodies that are no JSON object have no row, no views are 0."""
+    views = F.from_json(body, f"views array<struct<provenance:{_PROVENANCE}>>")["views"]
+    known = packs.where(F.json_object_keys(body).isNotNull()).select(key, F.coalesce(views, F.array().cast(f"array<struct<provenance:{_PROVENANCE}>>")).alias("v"))
+    return known.select(key, F.size("v").alias("n_views"), F.size(F.filter("v", lambda v: v["provenance"]["vetted"]["status"] == "draft")).alias("n_draft"))
+
+
 def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
     """key, path, issue, severity for every finding in ``packs(key, body)``; sound packs have none.
 
@@ -180,7 +246,7 @@ def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
     """
     base = packs.select(F.col(key).alias("key"), F.col(body).cast("string").alias("body"))
     base = base.withColumn("keys", F.json_object_keys("body")).withColumn("version", schema_version(F.col("body")))
-    base = base.withColumn("p", F.from_json("body", SCHEMA)).withColumn("raw", F.from_json("body", RAW))
+    base = base.withColumn("p", F.from_json("body", SCHEMA)).withColumn("raw", F.from_json("body", RAW)).withColumn("frame", F.from_json("body", FRAME)["meshes"]["anatomical_frame"])
     p, raw = F.col("p"), F.col("raw")
     structures, labels, views = p["meshes"]["structures"], p["echo_volume"]["labels"], p["views"]
     known = F.coalesce(F.transform(structures, lambda s: s["id"]), F.array().cast("array<string>"))
@@ -193,15 +259,18 @@ def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
     )
     shape = _all(
         _issue("<root>", "unknown key", _unknown_keys(F.col("body"), "")),
-        *[_issue(level, "unknown key", _unknown_keys(F.get_json_object("body", f"$.{level}"), level)) for level in ("meta", "provenance", "meshes")],
+        *[_issue(place, "unknown key", _unknown_keys(F.get_json_object("body", f"$.{place}"), level)) for place, level in PLACES.items()],
+        _wrong_types(F.col("body")),
         odd(raw["meshes"]["structures"], "meshes.structures", "structure"),
         odd(raw["echo_volume"]["labels"], "echo_volume.labels", "label"),
         odd(raw["views"], "views", "view"),
+        _each(raw["views"], "views", lambda v, at, i: _all(*[_issue(F.concat(at, F.lit(f".{place}")), "unknown key", _unknown_keys(F.get_json_object(v, f"$.{place}"), level)) for place, level in VIEW_PLACES.items()])),
+        _frame(F.col("frame")),
         *[_issue(f"meta.{f}", "missing", _missing(p["meta"][f])) for f in ("id", "display_name", "anatomy", "canonical_variant", "pack_version")],
         _issue("meshes.gltf", "bad path", text.path_problem(F.coalesce(p["meshes"]["gltf"], F.lit(""))).isNotNull()),
         _issue("meshes.units", "not a unit", ~F.coalesce(p["meshes"]["units"].isin("mm", "cm", "m"), F.lit(False))),
         _issue("meshes.structures", "empty", F.coalesce(F.size(structures), F.lit(0)) <= 0),
-        _issue("meshes.canonical_pose.scale", "out of range", ~F.coalesce(p["meshes"]["canonical_pose"]["scale"] > 0, F.lit(False))),
+        _issue("meshes.canonical_pose.scale", "out of range", ~F.coalesce(p["meshes"]["canonical_pose"]["scale"] > 0, F.lit(False)) & ~F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("body"), "$.meshes.canonical_pose.scale", "variant")) == "STRING", F.lit(False))),
         _orientation(p["meshes"]["orientation"]),
         _structures(structures, known),
         _repeats(structures, "meshes.structures", "id"),

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from collections.abc import Callable
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import written
-
 from ..functions.geometry import Probe, Vec
+from ..scratch import discard, written
+
 
 def at(prefix: str = "") -> Vec:
     return F.col(f"{prefix}x"), F.col(f"{prefix}y"), F.col(f"{prefix}z")
@@ -57,3 +57,53 @@ def nearest(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
         cell *= 2
     out = done + ([] if any_right else [rest.withColumn("near", F.lit(None).cast("double"))])
     return reduce(DataFrame.unionByName, out).drop("_row")
+
+
+def nearest_k(left: DataFrame, right: DataFrame, k: int, cell: float) -> DataFrame:
+    """id, rank, other, distance: the k nearest rows of right(id, x, y, z) for each row of left(id, x, y, z), itself left out.
+
+    Ranks begin at 1; equal distances go by the smaller id. Fewer rows than k give fewer ranks;
+    rows with a null or non-finite coordinate have no neighbours and are none. Ids must be unique.
+    As in nearest, a point meets the cells around it and is settled if k neighbours lie within a
+    cell's width; the rest goes on with twice the width, until cells hold all of right. The
+    ranking is limited before its rows are shuffled, so a point moves k rows from a task.
+    """
+    sound = F.coalesce(F.forall(F.array(*"xyz"), lambda v: ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))), F.lit(False))
+    right = written(right.where(sound).select(F.col("id").alias("other"), *[F.col(c).alias(f"_{c}") for c in "xyz"]), "right")
+    rest, done = written(left.where(sound).select("id", *"xyz"), "points"), []
+    farthest = lambda df, names: df.agg(F.max(F.greatest(*[F.abs(n) for n in names]))).first()[0]
+    of_right, of_left = farthest(right, ("_x", "_y", "_z")), farthest(rest, "xyz")
+    order = Window.partitionBy("id").orderBy("distance", "other")
+    while of_right is not None and not rest.isEmpty():
+        index = [F.floor(F.col(c) / F.lit(cell)).cast("long") for c in "xyz"]
+        key = F.struct(*[F.floor(F.col(f"_{c}") / F.lit(cell)).cast("long").alias(n) for c, n in zip("xyz", "ijk", strict=True)])
+        near = F.struct(*[(i + F.col(f"_o.{n}")).alias(n) for i, n in zip(index, "ijk", strict=True)])
+        steps = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "ijk", strict=True)]) for o in product((-1, 0, 1), repeat=3)])
+        pairs = rest.withColumn("_o", F.explode(steps)).withColumn("_cell", near).join(right.withColumn("_cell", key), "_cell").where("other <> id")
+        gap = F.sqrt(sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in "xyz"))
+        ranked = written(pairs.select("id", "other", gap.alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ranked")
+        last = cell > max(of_right, of_left)  # two cells an axis hold all points, so every point has met all
+        settled = ranked.select("id") if last else ranked.where((F.col("rank") == k) & (F.col("distance") <= cell)).select("id")
+        done.append(ranked.join(settled.distinct(), "id", "left_semi"))
+        if last:
+            break
+        old, rest = rest, written(rest.join(settled, "id", "left_anti"), "points")
+        discard(old)
+        cell *= 2
+    empty = left.select("id", F.lit(0).alias("rank"), F.col("id").alias("other"), F.lit(0.0).alias("distance")).limit(0)
+    return reduce(DataFrame.unionByName, done, empty).select("id", "rank", "other", "distance")
+
+
+def grabbed(pointers: DataFrame, handles: DataFrame, radius: float, last: bool) -> DataFrame:
+    """pointer, handle, px for pointers(pointer, px_x, px_y) and handles(handle, x, y): the nearest handle within the radius, itself included.
+
+    Of equally near ones the ``last`` or the first handle stands. Handles and pointers meet by bins
+    of the radius; a pointer without a handle in reach has no row.
+    """
+    place = lambda v: F.floor(v / F.lit(float(radius)))
+    around = F.explode(F.array(*[F.struct((place(F.col("px_x")) + a).alias("i"), (place(F.col("px_y")) + b).alias("j")) for a, b in product((-1, 0, 1), repeat=2)]))
+    pairs = pointers.withColumn("_bin", around).join(handles.withColumn("_bin", F.struct(place(F.col("x")).alias("i"), place(F.col("y")).alias("j"))), "_bin")
+    px = F.hypot(F.col("px_x") - F.col("x"), F.col("px_y") - F.col("y"))
+    reached = pairs.select("pointer", "handle", px.alias("px")).where(F.col("px") <= radius)
+    best = reached.groupBy("pointer").agg(F.min_by("handle", F.struct("px", (-F.col("handle") if last else F.col("handle")).alias("_h"))).alias("handle"), F.min("px").alias("px"))
+    return best

@@ -79,34 +79,44 @@ def fitted_grid(facets: DataFrame, side: int) -> DataFrame:
     return found.select(*[((F.col(f"lo{x}") + F.col(f"hi{x}")) / 2 - F.col("pitch") * side / 2).alias(f"o{x}") for x in "xyz"], "pitch")
 
 
-def crossings(facets: DataFrame, grid: DataFrame, side: int) -> DataFrame:
-    """structure, j, k, x: where lines along x through the cell centres (j, k) of the grid meet the facets.
-
-    A facet is dealt only to the lines of its bounding box. Whether a line meets it is told by the
-    parity of the edges beside the line, with each edge taken from its lower end, so that two facets
-    that share an edge never both take, or both miss, a line along it.
-    """
+def prepared(facets: DataFrame) -> DataFrame:
+    """``facets`` with what a line along x needs to know of one: det, by_y, by_z and its edges e0 to e2 with slopes s0 to s2; facets along x are left out."""
 
     def edge(p: str, q: str) -> Column:
         low = F.least(*[F.struct(F.col(f"{c}.y").alias("y"), F.col(f"{c}.z").alias("z")) for c in (p, q)])
         high = F.greatest(*[F.struct(F.col(f"{c}.y").alias("y"), F.col(f"{c}.z").alias("z")) for c in (p, q)])
         return F.struct(low.alias("low"), high.alias("high"))
 
-    # what depends on the facet alone is worked out before it is dealt
-    f = facets.join(F.broadcast(grid))  # one row
     u, v = ([F.col(f"{c}.{x}") - F.col(f"a.{x}") for x in "xyz"] for c in "bc")
-    f = f.withColumn("det", u[1] * v[2] - u[2] * v[1]).where("det != 0")
+    f = facets.withColumn("det", u[1] * v[2] - u[2] * v[1]).where("det != 0")
     f = f.withColumns({"by_y": (u[0] * v[2] - u[2] * v[0]) / F.col("det"), "by_z": (u[1] * v[0] - u[0] * v[1]) / F.col("det"), **{f"e{k}": edge(p, q) for k, (p, q) in enumerate(("ab", "bc", "ca"))}})
-    f = f.withColumns({f"s{k}": F.try_divide(F.col(f"e{k}.high.z") - F.col(f"e{k}.low.z"), F.col(f"e{k}.high.y") - F.col(f"e{k}.low.y")) for k in range(3)})
+    return f.withColumns({f"s{k}": F.try_divide(F.col(f"e{k}.high.z") - F.col(f"e{k}.low.z"), F.col(f"e{k}.high.y") - F.col(f"e{k}.low.y")) for k in range(3)})
+
+
+def line_meets(y: Column, z: Column) -> tuple[Column, Column]:
+    """Whether the line along x through (y, z) meets a prepared facet, and at which x.
+
+    It is told by the parity of the edges beside the line, with each edge taken from its lower
+    end, so that two facets that share an edge never both take, or both miss, a line along it.
+    """
+    beside = [F.when((F.col(f"e{k}.low.y") <= y) & (y < F.col(f"e{k}.high.y")) & (z < F.col(f"e{k}.low.z") + (y - F.col(f"e{k}.low.y")) * F.col(f"s{k}")), 1).otherwise(0) for k in range(3)]
+    return (beside[0] + beside[1] + beside[2]) % 2 == 1, F.col("a.x") + (y - F.col("a.y")) * F.col("by_y") + (z - F.col("a.z")) * F.col("by_z")
+
+
+def crossings(facets: DataFrame, grid: DataFrame, side: int) -> DataFrame:
+    """structure, j, k, x, way: where lines along x through the cell centres (j, k) of the grid meet the facets.
+
+    A facet is dealt only to the lines of its bounding box. ``way`` is 1 where a line leaves through
+    a facet that is wound outwards, -1 where it enters.
+    """
+    f = prepared(facets).join(F.broadcast(grid))  # one row; what depends on the facet alone is worked out before it is dealt
     for n, x in (("j", "y"), ("k", "z")):
         place = lambda v, x=x: (v - F.col(f"o{x}")) / F.col("pitch") - 0.5
         lo = F.greatest(F.ceil(place(F.least(*[F.col(f"{c}.{x}") for c in "abc"]))), F.lit(0))
         hi = F.least(F.floor(place(F.greatest(*[F.col(f"{c}.{x}") for c in "abc"]))), F.lit(side - 1))
         f = f.where(lo <= hi).withColumn(n, F.explode(F.sequence(lo, hi))).withColumn(x, (F.col(n) + 0.5) * F.col("pitch") + F.col(f"o{x}"))
-    y, z = F.col("y"), F.col("z")
-    beside = [F.when((F.col(f"e{k}.low.y") <= y) & (y < F.col(f"e{k}.high.y")) & (z < F.col(f"e{k}.low.z") + (y - F.col(f"e{k}.low.y")) * F.col(f"s{k}")), 1).otherwise(0) for k in range(3)]
-    x = F.col("a.x") + (y - F.col("a.y")) * F.col("by_y") + (z - F.col("a.z")) * F.col("by_z")
-    return f.where((beside[0] + beside[1] + beside[2]) % 2 == 1).select("structure", "j", "k", x.alias("x"))
+    met, x = line_meets(F.col("y"), F.col("z"))
+    return f.where(met).select("structure", "j", "k", x.alias("x"), F.signum("det").cast("int").alias("way"))
 
 
 def spans(met: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ordered
+from ..operators import graph, ordered
 
 
 def _t(spark, sf_dir, name):
@@ -28,13 +28,9 @@ def duplicate_ids(spark, sf_dir):
 
 def hierarchy_cycles(spark, sf_dir):
     """Nodes whose walk to the root never ends, in a parent table of nations; bounded by the node count."""
-    edges = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") % 5 != 0, (F.col("n_nationkey") * 7 + 3) % 25).alias("parent"))
-    rounds = max(1, edges.count()).bit_length()
-    jump = edges
-    for _ in range(rounds):  # pointer doubling: after r rounds a pointer spans 2^r parents
-        ahead = jump.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
-        jump = jump.join(ahead, "parent", "left").select("node", F.col("next").alias("parent"))
-    return jump.where("parent is not null").select("node")
+    parent = F.when(F.col("n_nationkey") % 5 != 0, (F.col("n_nationkey") * 7 + 3) % 25)
+    nodes = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), parent.alias("parent"), F.lit(None).cast("string").alias("name"))
+    return graph.climbed(nodes).where("endless").select("node")
 
 
 CYCLES = """WITH RECURSIVE e AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey % 5 <> 0 THEN (n_nationkey * 7 + 3) % 25 END AS parent FROM nation),

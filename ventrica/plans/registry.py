@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames, gates, meshes, packs, points, signals, surfaces, views
+from . import frames, gates, graphs, meshes, packs, points, probes, signals, surfaces, views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = points.QUERIES | meshes.QUERIES | gates.QUERIES | signals.QUERIES | packs.QUERIES | surfaces.QUERIES | views.QUERIES | frames.QUERIES
-ORACLES: dict[str, str] = points.ORACLES | meshes.ORACLES | gates.ORACLES | signals.ORACLES | packs.ORACLES | surfaces.ORACLES | views.ORACLES | frames.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+for _plans in (points, meshes, gates, signals, packs, surfaces, views, frames, graphs, probes):
+    QUERIES |= _plans.QUERIES
+    ORACLES |= _plans.ORACLES

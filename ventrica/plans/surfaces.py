@@ -21,12 +21,12 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda k: F.get(F.col("embedding"), F.col("t") * 9 + k).cast("double") * 100
     corner = lambda c: F.struct(*[e(c * 3 + k).alias(x) for k, x in enumerate("xyz")])
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("label").alias("structure"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(FACETS_A_ROW - 1))).alias("t"))
-    return rows.select("vec_id", "structure", *[corner(c).alias(n) for c, n in enumerate("abc")])
+    return rows.select("vec_id", "t", "structure", *[corner(c).alias(n) for c, n in enumerate("abc")])
 
 
 # axes are 1, 2, 3 here
 _CORNERS = ", ".join(f"embedding[t*9+{c * 3 + k}]::DOUBLE*100 AS {n}{k}" for c, n in enumerate("abc") for k in (1, 2, 3))
-FACETS = f"WITH f AS (SELECT vec_id, label AS structure, {_CORNERS} FROM embeddings, range({FACETS_A_ROW}) r(t))"
+FACETS = f"WITH f AS (SELECT vec_id, t, label AS structure, {_CORNERS} FROM embeddings, range({FACETS_A_ROW}) r(t))"
 _BOUNDS = ", ".join(f"min(least(a{k}, b{k}, c{k})) AS lo{k}, max(greatest(a{k}, b{k}, c{k})) AS hi{k}" for k in (1, 2, 3))
 GRID = f"{FACETS}, bo AS (SELECT {_BOUNDS} FROM f), gr AS (SELECT *, greatest(hi1-lo1, hi2-lo2, hi3-lo3) / {SIDE - 2}::DOUBLE AS pitch FROM bo), g AS (SELECT (lo1+hi1)/2-{SIDE // 2}*pitch AS o1, (lo2+hi2)/2-{SIDE // 2}*pitch AS o2, (lo3+hi3)/2-{SIDE // 2}*pitch AS o3, pitch FROM gr)"
 # barycentric weights of the line through a cell centre, in the plane across it

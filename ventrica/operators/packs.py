@@ -93,9 +93,9 @@ def _parallel(a: Column, b: Column) -> Column:
     return F.abs(_dot(a, b)) >= (1 - 1e-6) * F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
 
 
-def schema_version(body: Column) -> Column:
-    """The pack's version as text if it is text or a number, else null."""
-    value = F.try_variant_get(F.try_parse_json(body), "$.meta.schema_version", "variant")
+def schema_version(whole: Column) -> Column:
+    """The version of a parsed pack as text if it is text or a number, else null."""
+    value = F.try_variant_get(whole, "$.meta.schema_version", "variant")
     kind = F.schema_of_variant(value)
     return F.when(kind.rlike("^(STRING|BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(value, "$", "string"))
 
@@ -197,9 +197,8 @@ def _orientation(o: Column) -> Column:
     )
 
 
-def _wrong_types(body: Column) -> Column:
-    """Fields that are there but hold another kind of value than they must."""
-    whole = F.try_parse_json(body)
+def _wrong_types(whole: Column) -> Column:
+    """Fields of a parsed pack that are there but hold another kind of value than they must."""
     kind = lambda path: F.schema_of_variant(F.try_variant_get(whole, f"$.{path}", "variant"))
     texts = [_issue(p, "wrong type", ~kind(p).rlike("^(STRING|VOID)")) for p in TEXTS]
     return _all(*texts, *[_issue(p, "wrong type", ~kind(p).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|VOID)")) for p in NUMBERS])
@@ -245,7 +244,7 @@ def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
     bodies are no JSON. Repeated rows are reported once each; empty input gives no rows.
     """
     base = packs.select(F.col(key).alias("key"), F.col(body).cast("string").alias("body"))
-    base = base.withColumn("keys", F.json_object_keys("body")).withColumn("version", schema_version(F.col("body")))
+    base = base.withColumn("keys", F.json_object_keys("body")).withColumn("whole", F.try_parse_json("body")).withColumn("version", schema_version(F.col("whole")))
     base = base.withColumn("p", F.from_json("body", SCHEMA)).withColumn("raw", F.from_json("body", RAW)).withColumn("frame", F.from_json("body", FRAME)["meshes"]["anatomical_frame"])
     p, raw = F.col("p"), F.col("raw")
     structures, labels, views = p["meshes"]["structures"], p["echo_volume"]["labels"], p["views"]
@@ -260,7 +259,7 @@ def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
     shape = _all(
         _issue("<root>", "unknown key", _unknown_keys(F.col("body"), "")),
         *[_issue(place, "unknown key", _unknown_keys(F.get_json_object("body", f"$.{place}"), level)) for place, level in PLACES.items()],
-        _wrong_types(F.col("body")),
+        _wrong_types(F.col("whole")),
         odd(raw["meshes"]["structures"], "meshes.structures", "structure"),
         odd(raw["echo_volume"]["labels"], "echo_volume.labels", "label"),
         odd(raw["views"], "views", "view"),
@@ -270,7 +269,7 @@ def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
         _issue("meshes.gltf", "bad path", text.path_problem(F.coalesce(p["meshes"]["gltf"], F.lit(""))).isNotNull()),
         _issue("meshes.units", "not a unit", ~F.coalesce(p["meshes"]["units"].isin("mm", "cm", "m"), F.lit(False))),
         _issue("meshes.structures", "empty", F.coalesce(F.size(structures), F.lit(0)) <= 0),
-        _issue("meshes.canonical_pose.scale", "out of range", ~F.coalesce(p["meshes"]["canonical_pose"]["scale"] > 0, F.lit(False)) & ~F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json("body"), "$.meshes.canonical_pose.scale", "variant")) == "STRING", F.lit(False))),
+        _issue("meshes.canonical_pose.scale", "out of range", ~F.coalesce(p["meshes"]["canonical_pose"]["scale"] > 0, F.lit(False)) & ~F.coalesce(F.schema_of_variant(F.try_variant_get("whole", "$.meshes.canonical_pose.scale", "variant")) == "STRING", F.lit(False))),
         _orientation(p["meshes"]["orientation"]),
         _structures(structures, known),
         _repeats(structures, "meshes.structures", "id"),

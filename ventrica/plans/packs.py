@@ -65,7 +65,9 @@ BODY = _text(
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(BODY).alias("body"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    # a row of a few bytes becomes a document that takes milliseconds to check, so rows are spread before
+    return parts.repartition(spark.sparkContext.defaultParallelism).select("p_partkey", F.expr(BODY).alias("body"))
 
 
 def pack_validation(spark, sf_dir):
@@ -142,20 +144,20 @@ _VIEW_RULES = [
     (".sweep.structures_in_order.1", "unknown structure", f"NOT list_contains(ids, {_STR('v', 'sweep.structures_in_order[1]')})"), (".show_hide_preset", "shown and hidden", f"{_STR('v', 'show_hide_preset.hidden[0]')} = {_STR('v', 'show_hide_preset.visible[0]')}"),
     (".provenance.creator", "missing", f"{_STR('v', 'provenance.creator')} = ''"),
 ]
-_UNDER = lambda path: f"(SELECT p_partkey, ids, nodes, lids, vids, i, json_extract(j, '$.{path}[' || i || ']') AS v FROM (SELECT *, unnest(range(json_array_length(j, '$.{path}'))) AS i FROM known WHERE json_extract(j, '$.{path}') IS NOT NULL))"
+_UNDER = lambda path: f"(SELECT p_partkey, ids, nodes, lids, vids, i, json_extract(j, '$.{path}[' || i || ']') AS v FROM (SELECT *, unnest(range(json_array_length(j, '$.{path}')::BIGINT)) AS i FROM known WHERE json_extract(j, '$.{path}') IS NOT NULL))"
 _SELECTS = [f"SELECT p_partkey, {p} AS path, '{issue}' AS issue FROM known WHERE {test}" for p, issue, test in _PACK_RULES]
 for _path, _rules in (("meshes.structures", _STRUCTURE_RULES), ("echo_volume.labels", _LABEL_RULES), ("views", _VIEW_RULES)):
     _SELECTS += [f"SELECT p_partkey, {_AT(_path, tail)}, '{issue}' FROM {_UNDER(_path)} WHERE {test}" for tail, issue, test in _rules]
 VALIDATION = f"""{DOCS}, ver AS (SELECT *, json_extract_string(j, '$.meta.schema_version') AS version FROM ok),
-known AS (SELECT *, list_transform(range(json_array_length(j, '$.meshes.structures')), lambda n: json_extract_string(j, '$.meshes.structures[' || n || '].id')) AS ids, list_transform(range(json_array_length(j, '$.meshes.structures')), lambda n: json_extract_string(j, '$.meshes.structures[' || n || '].mesh_node')) AS nodes,
- list_transform(range(coalesce(json_array_length(j, '$.echo_volume.labels'), 0)), lambda n: json_extract_string(j, '$.echo_volume.labels[' || n || '].id')) AS lids, list_transform(range(json_array_length(j, '$.views')), lambda n: json_extract_string(j, '$.views[' || n || '].view_id')) AS vids FROM ver WHERE version = '0'),
+known AS (SELECT *, list_transform(range(json_array_length(j, '$.meshes.structures')::BIGINT), lambda n: json_extract_string(j, '$.meshes.structures[' || n || '].id')) AS ids, list_transform(range(json_array_length(j, '$.meshes.structures')::BIGINT), lambda n: json_extract_string(j, '$.meshes.structures[' || n || '].mesh_node')) AS nodes,
+ list_transform(range(coalesce(json_array_length(j, '$.echo_volume.labels'), 0)::BIGINT), lambda n: json_extract_string(j, '$.echo_volume.labels[' || n || '].id')) AS lids, list_transform(range(json_array_length(j, '$.views')::BIGINT), lambda n: json_extract_string(j, '$.views[' || n || '].view_id')) AS vids FROM ver WHERE version = '0'),
 st AS (SELECT p_partkey, i, v->>'id' AS id, v->>'parent' AS parent FROM {_UNDER("meshes.structures")}),
 first_of AS (SELECT p_partkey, id, arg_min(parent, i) AS parent FROM (SELECT p_partkey, id, i, coalesce(parent, '') AS parent FROM st) GROUP BY 1, 2),
-w0 AS (SELECT p_partkey, i, parent AS at FROM st), w1 AS (SELECT w.p_partkey, w.i, f.parent AS at FROM w0 w JOIN first_of f ON f.p_partkey = w.p_partkey AND f.id = w.at), w2 AS (SELECT w.p_partkey, w.i, f.parent AS at FROM w1 w JOIN first_of f ON f.p_partkey = w.p_partkey AND f.id = w.at), w3 AS (SELECT w.p_partkey, w.i, f.parent AS at FROM w2 w JOIN first_of f ON f.p_partkey = w.p_partkey AND f.id = w.at),
-found AS ({" UNION ALL ".join(_SELECTS)} UNION ALL SELECT p_partkey, 'meshes.structures.' || i || '.parent', 'cycle' FROM w3 WHERE at <> '' AND (p_partkey, at) IN (SELECT (p_partkey, id) FROM st)
+w0 AS (SELECT p_partkey, i, parent AS up FROM st), w1 AS (SELECT w.p_partkey, w.i, f.parent AS up FROM w0 w JOIN first_of f ON f.p_partkey = w.p_partkey AND f.id = w.up), w2 AS (SELECT w.p_partkey, w.i, f.parent AS up FROM w1 w JOIN first_of f ON f.p_partkey = w.p_partkey AND f.id = w.up), w3 AS (SELECT w.p_partkey, w.i, f.parent AS up FROM w2 w JOIN first_of f ON f.p_partkey = w.p_partkey AND f.id = w.up),
+found AS ({" UNION ALL ".join(_SELECTS)} UNION ALL SELECT p_partkey, 'meshes.structures.' || i || '.parent', 'cycle' FROM w3 WHERE up <> '' AND (p_partkey, up) IN (SELECT (p_partkey, id) FROM st)
  UNION ALL SELECT p_partkey, '<root>', 'not a JSON object' FROM docs WHERE NOT json_valid(body) UNION ALL SELECT p_partkey, 'meta.schema_version', 'not the known version' FROM ver WHERE version IS NULL OR version <> '0')
 SELECT p_partkey, path, issue, CASE WHEN issue = 'absent' THEN 'skipped' ELSE 'failure' END AS severity FROM found"""
-DRAFTS = f"{DOCS} SELECT p_partkey, json_array_length(j, '$.views')::INT AS n_views, len(list_filter(range(json_array_length(j, '$.views')), lambda n: json_extract_string(j, '$.views[' || n || '].provenance.vetted.status') = 'draft'))::INT AS n_draft FROM ok"
+DRAFTS = f"{DOCS} SELECT p_partkey, json_array_length(j, '$.views')::INT AS n_views, len(list_filter(range(json_array_length(j, '$.views')::BIGINT), lambda n: json_extract_string(j, '$.views[' || n || '].provenance.vetted.status') = 'draft'))::INT AS n_draft FROM ok"
 
 QUERIES = {f.__name__: f for f in (pack_validation, draft_views)}
 ORACLES = {"pack_validation": VALIDATION, "draft_views": DRAFTS}

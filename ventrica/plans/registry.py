@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames, gates, graphs, meshes, packs, points, probes, signals, surfaces, views
+from . import files, frames, gates, graphs, meshes, packs, points, probes, signals, surfaces, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _plans in (points, meshes, gates, signals, packs, surfaces, views, frames, graphs, probes):
+for _plans in (points, meshes, gates, signals, packs, surfaces, views, frames, graphs, probes, files):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES

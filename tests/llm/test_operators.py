@@ -373,6 +373,7 @@ def test_languages_on_pages_and_rejection(spark):
 def test_leaks_equal_brute_force(spark):
     rnd = random.Random(9)
     items = [(k, words(rnd.randint(8, 60), rnd)) for k in range(30)] + [(30, None), (31, "two words"), (None, "a b c d e f")]
+    items += [(77, words(150, rnd)), (78, "first of one id it is here"), (78, "second of one id it is there"), (None, "an item of no id at all is here")]
     docs = []
     for k in range(140):
         parts = words(rnd.randint(0, 300), rnd).split()
@@ -383,14 +384,17 @@ def test_leaks_equal_brute_force(spark):
             parts[at:at] = leak
         docs.append((k, " ".join(parts)))
     docs += [(200, None), (201, ""), (202, "Two Words")]
-    stride = decontaminate.build_index(spark.createDataFrame(items, "item_id long, text string"))[2]
+    docs += [(203, items[-1][1] + " and more"), (204, f"{items[-2][1]} x {items[-3][1]}")]
     want = set()
     for d, t in docs:
         w = WORD.findall(lower(t))
         for i, q in items:
             s = shingles(q)
-            if i is None or not s:
+            if not s:
                 continue
+            stride = 64
+            while stride < len(WORD.findall(lower(q))):
+                stride *= 2
             qw = WORD.findall(lower(q))
             order = [tuple(qw[k : k + 5]) for k in range(len(qw) - 4)] if len(qw) >= 5 else [tuple(qw)]
             cut = 2 * len(order) // 3
@@ -407,6 +411,17 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaked_items(frame([], "doc_id long, text string"), frame([], "item_id long, text string")).count() == 0
 
 
+def test_other_items_change_no_verdict(spark):
+    rnd = random.Random(15)
+    item = words(40, rnd).split()
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:20] + words(200, rnd).split() + item[20:])), (3, words(300, rnd))], "doc_id long, text string")
+    found = []
+    for more in ([], [(8, words(400, rnd))], [(8, words(5000, rnd)), (9, words(70, rnd)), (9, words(90, rnd))]):
+        items = spark.createDataFrame([(7, " ".join(item)), *more], "item_id long, text string")
+        found.append({(r.doc_id, r.item_id) for r in decontaminate.leaked_items(docs, items).collect()})
+    assert found == [{(1, 7)}] * 3
+
+
 def test_leaks_are_found_in_any_case(spark):
     items = [(1, "¿dónde está el niño que comió el último melón del jardín pequeño"), (2, "l'été der größte fuß der straße muß über die straße führen"), (3, "йод і σοφός ёлка λόγος жук δρόμος щит")]
     docs = [(10 * k + j, "x y " + f(t) + " z") for k, t in items for j, f in enumerate((str, str.upper, str.title))]

@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, by block-max WAND.
 
-Terms are 5-word shingles of words with the case of all letters folded. Each training text is cut into passages of twice STRIDE words
-that overlap by half, STRIDE being at least the longest item, so that a contiguous copy
-lies whole in one passage. Every passage with a term of the index is a query. A posting's
+Terms are 5-word shingles of words with the case of all letters folded. Each training text is cut into passages that
+overlap by half; how wide they are depends on the item alone: twice the least power of two
+that holds it, at least twice STRIDE words, so that a contiguous copy lies whole in one
+passage and other items change nothing. Items of one width share shards. Every passage with a term of the index is a query. A posting's
 weight is the item's BM25 weight of the term over the least score that the item can have
 when LEAST_PERCENT of its terms are in a passage, so "above threshold" is a score of 1 for
 every item and retrieval loses nothing that verification could accept. Retrieved items are
@@ -49,12 +50,12 @@ def folded(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
 class Index:
     """Postings of one shard of items, in blocks with their largest weight.
 
-    ``items`` has for each item its id, its shingles in order, and of each of them the number of
-    items that hold it.
+    ``items`` has for each item its number and id, its shingles in order, and of each of them the
+    number of items that hold it; all have passages of twice ``stride`` words.
     """
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], total: int, average: float):
-        self.ids = [i for i, _, _ in items]
+    def __init__(self, items: list[tuple[tuple[int, int | None], np.ndarray, np.ndarray]], total: int, average: float, stride: int):
+        self.ids, self.stride = [i for i, _, _ in items], stride
         self.sets = [np.unique(s) for _, s, _ in items]
         self.question = [np.unique(s[: max(1, (2 * len(s)) // 3)]) for _, s, _ in items]
         self.answer = [np.unique(s[(2 * len(s)) // 3 :]) for _, s, _ in items]
@@ -125,11 +126,11 @@ class Index:
             place = last + 1 if items[last] < target else place + 1
         cursor[:2] = [items[place], place] if place < len(items) else [1 << 62, -1]
 
-    def leaks(self, at: np.ndarray, shingles: np.ndarray, stride: int) -> dict[int, float]:
-        """Verified items by id with the largest share of their shingles in one passage, from shingles and their places in a text."""
+    def leaks(self, at: np.ndarray, shingles: np.ndarray) -> dict[tuple[int, int | None], float]:
+        """Verified items by number and id with the largest share of their shingles in one passage, from shingles and their places in a text."""
         which, terms = self.hits(shingles)
-        places = at[which]
-        out: dict[int, float] = {}
+        places, stride = at[which], self.stride
+        out: dict[tuple[int, int | None], float] = {}
         done = None
         for start in sorted({max(0, p // stride - back) for p in places.tolist() for back in (0, 1)}):
             a, b = np.searchsorted(places, [start * stride, start * stride + 2 * stride - 4])
@@ -146,40 +147,52 @@ class Index:
         return out
 
 
+def stride_of(shingles: int) -> int:
+    """Half the width of the passages that an item is looked for in: the least power of two of words that holds it, at least STRIDE."""
+    return max(STRIDE, 1 << (shingles + 4 - 1).bit_length())
+
+
 def _terms(batches):
     for batch in batches:
-        for i, s in zip(batch.column("doc_id").to_pylist(), ordered_shingles(batch.column("text")), strict=True):
-            if i is not None and len(s):
-                yield pa.RecordBatch.from_pydict({"item_id": pa.array([i], pa.int64()), "terms": pa.array([s.view(np.int64)], pa.list_(pa.int64()))})
+        for n, i, s in zip(batch.column("number").to_pylist(), batch.column("doc_id").to_pylist(), ordered_shingles(batch.column("text")), strict=True):
+            if len(s):
+                columns = {"number": pa.array([n], pa.int64()), "item_id": pa.array([i], pa.int64()), "stride": pa.array([stride_of(len(s))], pa.int64()), "terms": pa.array([s.view(np.int64)], pa.list_(pa.int64()))}
+                yield pa.RecordBatch.from_pydict(columns)
 
 
 def _built(total: int, average: float):
     def run(group):
-        items = [(int(r.item_id), np.asarray(r.terms, np.int64).view(np.uint64), np.asarray(r.held_by, np.int64)) for r in group.sort_values("item_id").itertuples()]
-        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "index": [pickle.dumps(Index(items, total, average))]})
+        ids = [None if pd.isna(i) else int(i) for i in group["item_id"]]
+        items = [((int(n), i), np.asarray(t, np.int64).view(np.uint64), np.asarray(h, np.int64)) for n, i, t, h in zip(group["number"], ids, group["terms"], group["held_by"], strict=True)]
+        items.sort(key=lambda item: item[0][0])
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "index": [pickle.dumps(Index(items, total, average, int(group["stride"].iloc[0])))]})
 
     return run
 
 
-def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, np.ndarray, int]:
-    """Index shards (shard, index), each built by a task of its own; a bitmap of all terms; the stride of passages.
+def build_index(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, np.ndarray]:
+    """Index shards (shard, index), each built by a task of its own, and a bitmap of all terms.
 
-    Counts of terms are taken over all items. Of repeated ids one row counts.
+    Counts of terms are taken over all items. Each row is an item of its own, whatever its id is.
     """
-    rows = materialize(folded(items, id_col, text_col).dropDuplicates(["doc_id"]).mapInArrow(_terms, "item_id long, terms array<long>"), "items")
-    total, average, longest, size = rows.agg(F.count("*"), F.avg(F.size("terms")), F.max(F.size("terms")), F.sum(F.size("terms"))).first()
-    terms = materialize(rows.select("item_id", F.posexplode("terms").alias("at", "term")), "terms")
-    held_by = terms.select("item_id", "term").distinct().groupBy("term").agg(F.count("*").alias("held_by"))
-    whole = terms.join(held_by, "term").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "term", "held_by"))).alias("all"))
-    shards = max(1, -(-(size or 0) // shard_terms))
-    dealt = whole.select(F.pmod(F.xxhash64("item_id"), F.lit(shards)).alias("shard"), "item_id", F.col("all.term").alias("terms"), F.col("all.held_by").alias("held_by"))
-    index = materialize(dealt.groupBy("shard").applyInPandas(_built(total, average), "shard long, index binary"), "index")
+    base = materialize(folded(items, id_col, text_col).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    rows = materialize(base.mapInArrow(_terms, "number long, item_id long, stride long, terms array<long>"), "items")
+    total, average = rows.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    terms = materialize(rows.select("number", F.posexplode("terms").alias("at", "term")), "terms")
+    held_by = terms.select("number", "term").distinct().groupBy("term").agg(F.count("*").alias("held_by"))
+    whole = terms.join(held_by, "term").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("at", "term", "held_by"))).alias("all"))
+    # a width holds as many shards as its terms need; there are as many widths as a length has bits
+    shards = rows.groupBy("stride").agg(F.ceil(F.sum(F.size("terms")) / shard_terms).alias("shards"))
+    known = rows.select("number", "item_id", "stride").join(F.broadcast(shards), "stride")
+    shard = F.concat_ws("-", "stride", F.pmod(F.xxhash64("number"), "shards"))
+    dealt = whole.join(known, "number").select(shard.alias("shard"), "stride", "number", "item_id", F.col("all.term").alias("terms"), F.col("all.held_by").alias("held_by"))
+    index = materialize(dealt.groupBy("shard").applyInPandas(_built(total, average), "shard string, index binary"), "index")
     slot = F.shiftrightunsigned("term", 64 - FILTER_BITS)
     words = terms.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(term, {64 - FILTER_BITS}) & 63 as int))").alias("bit"))
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most 2^(FILTER_BITS-6) rows
         bitmap[r.word] = np.array(r.bits, np.int64).view(np.uint64)
-    return index, bitmap, max(STRIDE, (longest or 0) + 4)
+    return index, bitmap
 
 
 def _hits(shared):
@@ -203,34 +216,38 @@ def _hits(shared):
     return run
 
 
-def _leaks(shared, stride: int):
+def _leaks(shared):
     def run(batches):
         index = pickle.loads(shared.value)
         for batch in batches:
-            rows, items, shares = [], [], []
+            rows, items, ids, shares = [], [], [], []
             for row, places, terms in zip(*(batch.column(c).to_pylist() for c in ("row", "places", "terms")), strict=True):
-                for item, share in sorted(index.leaks(np.array(places, np.int64), np.array(terms, np.int64).view(np.uint64), stride).items()):
+                for (item, item_id), share in index.leaks(np.array(places, np.int64), np.array(terms, np.int64).view(np.uint64)).items():
                     rows.append(row)
                     items.append(item)
+                    ids.append(item_id)
                     shares.append(share)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], ["row", "item_id", "overlap"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(items, pa.int64()), pa.array(ids, pa.int64()), pa.array(shares, pa.float64())], ["row", "item", "item_id", "overlap"])
 
     return run
 
 
+LEAKS = "row long, item long, item_id long, overlap double"
+
+
 def _leaked_rows(rows: DataFrame, items: DataFrame, shard_terms: int = SHARD_TERMS) -> DataFrame:
-    """row, item_id, overlap for ``rows(row, text)``. The texts are read once; their hits meet one shard after another."""
+    """row, item (its number), item_id, overlap for ``rows(row, text)``. The texts are read once; their hits meet one shard after another."""
     spark = rows.sparkSession
-    index, bitmap, stride = build_index(items, shard_terms=shard_terms)
+    index, bitmap = build_index(items, shard_terms=shard_terms)
     hits = materialize(rows.select("row", "text").mapInArrow(_hits(spark.sparkContext.broadcast(bitmap)), "row long, places array<long>, terms array<long>"), "hits")
     parts = []
     for (shard,) in index.select("shard").orderBy("shard").collect():
         one = spark.sparkContext.broadcast(bytes(index.where(F.col("shard") == shard).first()["index"]))
-        parts.append(materialize(hits.mapInArrow(_leaks(one, stride), "row long, item_id long, overlap double"), "leaks"))
+        parts.append(materialize(hits.mapInArrow(_leaks(one), LEAKS), "leaks"))
         one.destroy()
     discard(hits)
     discard(index)
-    empty = spark.createDataFrame([], "row long, item_id long, overlap double")
+    empty = spark.createDataFrame([], LEAKS)
     return reduce(DataFrame.unionByName, parts, empty)
 
 
@@ -239,8 +256,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Null or empty texts and items leak nothing; an item of under five words is one shingle,
     found only in a text that is equal to it. Case does not count, in any script. Texts of any
-    length are searched whole. Null document ids are reported with a null id; items with a null
-    id are left out. Repeated rows are reported once each, ties in any order. Other columns are
+    length are searched whole. Null ids of documents and of items are reported as such, and items that
+    share an id each have their rows. Repeated rows are reported once each, ties in any order. Other columns are
     not read. Empty input gives no rows.
     """
     rows = numbered(folded(docs, id_col, text_col))

@@ -247,7 +247,8 @@ def _leaked_rows(rows: DataFrame, items: DataFrame, shard_terms: int = SHARD_TER
         one.destroy()
     discard(hits)
     discard(index)
-    empty = spark.createDataFrame([], LEAKS)
+    # made of a range: rows of the driver would start other Python workers in every executor
+    empty = spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (field.split() for field in LEAKS.split(", "))])
     return reduce(DataFrame.unionByName, parts, empty)
 
 

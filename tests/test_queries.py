@@ -63,7 +63,8 @@ def test_packs_are_discovered_and_checked(spark, tmp_path):
     from ventrica.plans.packs import BODY
     from ventrica.sources.packs import discover_packs
 
-    for name, body in (("good", BODY), ("broken", "{"), ("empty", " "), ("list", "[1]")):
+    sound = spark.sql(f"SELECT {BODY} AS body FROM VALUES (55L, 'ring', 'Brand#1', 'SMALL', 4) AS part(p_partkey, p_name, p_brand, p_type, p_size)").first().body
+    for name, body in (("good", sound), ("broken", "{"), ("empty", " "), ("list", "[1]")):
         (tmp_path / name).mkdir()
         (tmp_path / name / "pack.json").write_text(body)
     found = discover_packs(spark, str(tmp_path))

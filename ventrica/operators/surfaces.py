@@ -89,7 +89,7 @@ def prepared(facets: DataFrame) -> DataFrame:
 
     u, v = ([F.col(f"{c}.{x}") - F.col(f"a.{x}") for x in "xyz"] for c in "bc")
     f = facets.withColumn("det", u[1] * v[2] - u[2] * v[1]).where("det != 0")
-    f = f.withColumns({"by_y": (u[0] * v[2] - u[2] * v[0]) / F.col("det"), "by_z": (u[1] * v[0] - u[0] * v[1]) / F.col("det"), **{f"e{k}": edge(p, q) for k, (p, q) in enumerate(("ab", "bc", "ca"))}})
+    f = f.withColumns({"by_y": F.try_divide(u[0] * v[2] - u[2] * v[0], F.col("det")), "by_z": F.try_divide(u[1] * v[0] - u[0] * v[1], F.col("det")), **{f"e{k}": edge(p, q) for k, (p, q) in enumerate(("ab", "bc", "ca"))}})
     return f.withColumns({f"s{k}": F.try_divide(F.col(f"e{k}.high.z") - F.col(f"e{k}.low.z"), F.col(f"e{k}.high.y") - F.col(f"e{k}.low.y")) for k in range(3)})
 
 

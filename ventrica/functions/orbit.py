@@ -15,8 +15,8 @@ from . import geometry as g
 from . import views as v
 
 Quat = tuple[Column, Column, Column, Column]
-#: Radians that a pixel of a drag turns.
-DRAG_SPEED = 0.006
+#: Fixed value: radians that a pixel of a drag turns.
+DRAG_SPEED = 0.008
 SLERP_FLAT = 1 - 2.0**-52
 
 

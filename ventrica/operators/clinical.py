@@ -17,9 +17,10 @@ from . import frames
 ROLES = ("lv", "rv", "la", "ra", "mitral", "tricuspid", "aortic", "pulmonary", "svc", "ivc")
 RINGS = ("mitral", "tricuspid", "aortic", "pulmonary")
 LANDMARKS = ("apex", "base", *ROLES)
+#: Half slabs of the image and of the depth and the stand-off in mm, room below the deepest point, share of the way to the apex, steps of a sweep.
 SLAB, DEPTH_SLAB, STAND_OFF, DEPTH_ROOM, TRAVEL = 6.0, 12.0, 8.0, 1.08, 0.88
 SAMPLES = 61
-#: Views that no landmark of such a mesh can place, and why; they are rows as well.
+#: Fixed names: views that no landmark of such a mesh can place, and why; they are rows as well.
 NOT_BUILT = {"a3-subcostal-coronal": "no landmark below the heart", "a4-subcostal-sagittal": "no landmark below the heart"}
 
 

@@ -26,7 +26,7 @@ _P = lambda angle: [f"sin(({angle})/2)", "0", "0", f"cos(({angle})/2)"]  # noqa:
 # the camera's axes from a rotation matrix: its third column times the radius is where it stands, the middle of the second tells whether it is upright
 ORBITS = f"""WITH c AS (SELECT c_custkey, (c_custkey % 63) / 10.0::DOUBLE - 3.1::DOUBLE AS yaw, (c_custkey % 29) / 10.0::DOUBLE - 1.4::DOUBLE AS pitch, (c_custkey % 200 - 100)::DOUBLE AS dx, (c_custkey % 90 - 45)::DOUBLE AS dy FROM customer),
 q AS (SELECT *, {_AS("q", _MUL(_Y("yaw"), _P("-pitch")))} FROM c), u AS (SELECT *, CASE WHEN 1 - 2*(q_x*q_x + q_z*q_z) >= 0 THEN 1 ELSE -1 END AS up FROM q),
-e AS (SELECT *, {_AS("r", _MUL(_Q("q"), _P("-dy*0.006::DOUBLE")))} FROM u), d AS (SELECT *, {_AS("d", _MUL(_Y("-dx*0.006::DOUBLE*up"), _Q("r")))} FROM e),
+e AS (SELECT *, {_AS("r", _MUL(_Q("q"), _P("-dy*0.008::DOUBLE")))} FROM u), d AS (SELECT *, {_AS("d", _MUL(_Y("-dx*0.008::DOUBLE*up"), _Q("r")))} FROM e),
 s AS (SELECT *, CASE WHEN d_x*q_x + d_y*q_y + d_z*q_z + d_w*q_w < 0 THEN -1 ELSE 1 END AS near FROM d),
 m AS (SELECT *, {_AS("m", [f"(d_{x} + near*q_{x})" for x in "xyzw"])} FROM s), h AS (SELECT *, {_AS("h", [f"(m_{x} / sqrt(m_x*m_x + m_y*m_y + m_z*m_z + m_w*m_w))" for x in "xyzw"])} FROM m)
 SELECT c_custkey, round(200*(h_x*h_z + h_w*h_y), 5) + 0.0 AS at_x, round(200*(h_y*h_z - h_w*h_x), 5) + 0.0 AS at_y, round(100*(1 - 2*(h_x*h_x + h_y*h_y)), 5) + 0.0 AS at_z, round(yaw*3 - 2*pi()*floor((yaw*3 + pi()) / (2*pi())), 6) AS turn FROM h"""

@@ -197,6 +197,42 @@ def test_archive_round_trip(spark):
         assert r.html == (body.decode() if refers == k else None)
 
 
+def test_archive_by_its_footers(spark):
+    """Null ids, repeated rows, clashing columns, a subset of the index, and frames found from nothing but a bundle's bytes."""
+    import io
+
+    import zstandard
+
+    rows = [(None, None, "null id"), (3, "http://a/3", "twin"), (3, "http://a/3", "twin"), (9, "http://a/9", "twin"), (None, None, "twin"), (4, None, "z" * 600_000), *((k, None, f"{k} " * 20_000) for k in range(20, 40))]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, frame int, bundle string").coalesce(1)
+    index = warc.write_archive(pages)
+    assert index.columns == ["record_id", "page_id", "bundle", "frame", "record_offset", "record_length"] and index.count() == len(rows)
+    got = sorted((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archive(index).collect())
+    want = sorted((k or -1, "revisit" if h == "twin" and k != 3 else "response", 3 if h == "twin" and k != 3 else None, len(h)) for k, _, h in rows)
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    some = warc.read_archive(index.where("page_id in (9, 31)")).collect()
+    assert sorted((r.page_id, r.html) for r in some) == [(9, None), (31, "31 " * 20_000)]
+
+    (bundle,) = {r.bundle for r in index.select("bundle").distinct().collect()}
+    data = open(bundle.removeprefix("file://").removeprefix("file:"), "rb").read()
+
+    class Sized(io.BytesIO):
+        def size(self):
+            return len(self.getbuffer())
+
+    frames = warc.read_seek_table(Sized(data))
+    plain = [zstandard.ZstdDecompressor().decompress(data[a : a + n]) for a, n, _ in frames]
+    assert len(frames) > 3 and [len(p) for p in plain] == [m for _, _, m in frames]
+    for r in index.collect():
+        headers, _ = warc.parse_record(plain[r.frame][r.record_offset : r.record_offset + r.record_length])
+        assert headers["WARC-Record-ID"] == f"<{r.record_id}>"
+    assert warc.read_seek_table(Sized(warc.seek_table([]))) == []
+    for broken in (b"", data[:-1], data[1:], data[:-9] + b"\0" * 9):
+        with pytest.raises(ValueError):
+            warc.read_seek_table(Sized(broken))
+    assert warc.read_archive(warc.write_archive(pages.limit(0))).collect() == []
+
+
 def test_license_scan_equals_plain_search(spark):
     cases = ["MIT License and the Apache License. mit license", "GNU General Public License", "été MIT-license", None, "", "limit license", "Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: BSD-3-Clause", words(20000, random.Random(4)) + " MIT license"]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}

@@ -2,8 +2,9 @@
 
 A task writes one bundle: records grouped into independent frames, then a footer frame
 with the seek table (compressed and plain size of every frame). The index maps a record's
-id to bundle, frame and place in the frame, so one record costs one ranged read and one
-frame to decompress. Bundles are written through a file-system URI under a name that is
+id to bundle, frame and place in the plain frame, and says nothing of where frames lie: a
+reader takes that from the bundle's own footer. So one record costs one read of the footer a
+bundle and task, one ranged read and one frame to decompress. Bundles are written through a file-system URI under a name that is
 unique to the attempt; only bundles that the index names count, so retried or doubled
 tasks leave nothing wrong.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 
@@ -27,7 +29,7 @@ LEAST_REVISIT_BYTES = 0
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
-_INDEX = "record_id string, page_id long, bundle string, frame int, frame_offset long, frame_size long, record_offset long, record_length long"
+_INDEX = "record_id string, page_id long, bundle string, frame int, record_offset long, record_length long"
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -66,12 +68,26 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(entries)) + entries
 
 
-def read_seek_table(data: bytes) -> list[tuple[int, int]]:
-    count, _, magic = struct.unpack("<IBI", data[-9:])
-    if magic != SEEKABLE_MAGIC:
+def read_seek_table(file) -> list[tuple[int, int, int]]:
+    """(offset, compressed size, plain size) of every frame, from the footer of an open bundle.
+
+    An error if the footer is none, or if its frames do not end where it begins.
+    """
+    end = file.size()
+    if end < 17:
+        raise ValueError("not a seekable bundle")
+    file.seek(end - 9)
+    count, flags, magic = struct.unpack("<IBI", file.read(9))
+    start = end - 17 - 8 * count
+    if magic != SEEKABLE_MAGIC or flags or start < 0:
         raise ValueError("not a seekable bundle")
-    body = data[-9 - 8 * count : -9]
-    return [struct.unpack_from("<II", body, 8 * k) for k in range(count)]
+    file.seek(start)
+    head = struct.unpack("<II", file.read(8))
+    sizes = list(struct.iter_unpack("<II", file.read(8 * count)))
+    offsets = list(itertools.accumulate((packed for packed, _ in sizes), initial=0))
+    if head != (SKIPPABLE_MAGIC, 8 * count + 9) or offsets[-1] != start:
+        raise ValueError("a seek table that does not fit its bundle")
+    return [(at, packed, plain) for at, (packed, plain) in zip(offsets, sizes, strict=False)]
 
 
 def _open(uri: str):
@@ -85,22 +101,21 @@ def _writer(folder: str):
         import zstandard
 
         store = bundle = None
-        at, frames, open_, size = 0, [], [], 0
+        frames, open_, size = [], [], 0
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
 
         def flush():
-            nonlocal at, open_, size
+            nonlocal open_, size
             plain = b"".join(x[2] for x in open_)
             data = pack.compress(plain)
             out.write(data)
             rows, place = [], 0
             for record_id, page_id, record in open_:
-                rows.append((record_id, page_id, bundle, len(frames), at, len(data), place, len(record)))
+                rows.append((record_id, page_id, bundle, len(frames), place, len(record)))
                 place += len(record)
             frames.append((len(data), len(plain)))
-            at += len(data)
             open_, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 4), strict=True)], [x.split()[0] for x in _INDEX.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in _INDEX.split(", ")])
 
         out = None
         for batch in batches:
@@ -149,7 +164,7 @@ def _reader(batches):
     import zstandard
 
     unpack, held = zstandard.ZstdDecompressor(), (None, b"")
-    file, name = None, None
+    file, name, frames = None, None, []
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
@@ -158,9 +173,13 @@ def _reader(batches):
                     file.close()
                 store, path = _open(row["bundle"])
                 file, name = store.open_input_file(path), row["bundle"]
-            if held[0] != (name, row["frame_offset"]):
-                file.seek(row["frame_offset"])
-                held = ((name, row["frame_offset"]), unpack.decompress(file.read(row["frame_size"])))
+                frames = read_seek_table(file)
+            if held[0] != (name, row["frame"]):
+                at, packed, plain = frames[row["frame"]]
+                file.seek(at)
+                held = ((name, row["frame"]), unpack.decompress(file.read(packed)))
+                if len(held[1]) != plain:
+                    raise ValueError(f"{name}: frame {row['frame']} and the seek table differ")
             headers, body = parse_record(held[1][row["record_offset"] : row["record_offset"] + row["record_length"]])
             digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
             if kind == "response" and sha1_base32(body) != digest:
@@ -179,5 +198,5 @@ def read_archive(index: DataFrame) -> DataFrame:
     html is null for revisits. Any subset of an index reads only the frames it needs; rows of
     one frame are read together. A digest that does not fit its payload fails the task.
     """
-    near = index.select(*[x.split()[0] for x in _INDEX.split(", ")]).repartition("bundle", "frame").sortWithinPartitions("bundle", "frame_offset", "record_offset")
+    near = index.select(*[x.split()[0] for x in _INDEX.split(", ")]).repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "record_offset")
     return near.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")

@@ -28,4 +28,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        spark.sparkContext._jvm.System.gc()  # what a stage broadcast and the classes made for its plans go only when the driver collects garbage
     return docs

@@ -204,3 +204,76 @@ def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     want = {1: ("2024-01-01 00:00:00", 2), 2: ("2024-01-09 00:00:00", 1), None: ("2024-01-05 00:00:00", 1)}
     assert read() == want and read() == want
     assert list(itertools.islice(want, 1)) == [1]
+
+
+def test_cut_gestures_by_hand(spark):
+    """An edge-on drag follows the pointer, a face-on one tips the frame, a handle along the normal and a face-on depth drag do nothing."""
+    from math import cos, sin
+
+    from ventrica.functions import cutter as c
+    from ventrica.functions import geometry as g
+    from ventrica.functions import views as v
+
+    one = spark.range(1)
+    right, up = g.vec(1, 0, 0), g.vec(0, 1, 0)  # a camera that looks along -z
+
+    def tilt(normal, handle, dx, dy):
+        r = c.tilted(one, g.vec(*normal), g.vec(*handle), right, up, F.lit(float(dx)), F.lit(float(dy)), 0.01).first()
+        return (r.tilt_x, r.tilt_y, r.tilt_z)
+
+    assert tilt((2, 0, 0), (0, 3, 0), -10, 0) == pytest.approx((cos(0.1), sin(0.1), 0))
+    assert tilt((2, 0, 0), (0, -3, 0), -10, 0) == pytest.approx((cos(0.1), -sin(0.1), 0))  # the other end of the pair
+    assert tilt((2, 0, 0), (0, 3, 0), 0, 10) == pytest.approx((1, 0, 0))  # across the way it can go
+    assert tilt((0, 1, 0), (1, 0, 0), 0, 10) == pytest.approx((sin(0.1), cos(0.1), 0))  # down is away from up
+    assert tilt((0, 0, 1), (1, 0, 0), 10, 0) == pytest.approx((-sin(0.1), 0, cos(0.1)))  # face-on: pushed outward, tips away
+    assert tilt((0, 0, 1), (0, 0, 5), 10, 7) == pytest.approx((0, 0, 1))
+    assert tilt((0, 0, 0), (1, 0, 0), 10, 0) is not None
+
+    moved = lambda n, dx, dy, units: one.select(c.dragged_offset(F.lit(1.5), g.vec(*n), right, up, F.lit(float(dx)), F.lit(float(dy)), units).alias("s")).first().s
+    assert [moved((1, 0, 0), 8, 5, F.lit(0.5)), moved((0, 1, 0), 8, 5, F.lit(0.5)), moved((0, 0, 1), 8, 5, F.lit(0.5)), moved((1, 0, 0), 8, 5, F.lit(float("inf"))), moved((1, 0, 0), 8, 5, F.lit(None).cast("double"))] == pytest.approx([5.5, -1.0, 1.5, 1.5, 1.5])
+
+    cases = [(1.0, 1), (3000.0, 1), (40.0, -1), (100.0, 0), (100.0, -1)]
+    rows = spark.createDataFrame(cases, "r double, n int")
+    assert [x.z for x in rows.select(c.zoomed(F.col("r"), F.col("n")).alias("z")).collect()] == [40.0, 3000.0, 40.0, 100.0, 96.0]
+    depth = [x.d for x in rows.select(c.deepened(F.lit(0.99) * F.col("n"), F.col("n"), F.lit(1.0)).alias("d")).collect()]
+    assert depth == pytest.approx([0.97, 0.97, -0.97, 0.0, -0.97])
+    modes = one.select(*[c.mode_change(F.lit(a), F.lit(b), F.lit(2.0), F.lit(7.0)).alias(a + b) for a, b in (("echo", "echo"), ("echo", "free"), ("free", "echo"))]).first()
+    assert tuple(modes) == (2.0, 7.0, 0.0)
+    cut = one.select(c.kept(g.vec(1, 0, 0), g.vec(0, 0, 0), g.vec(1, 0, 0), F.lit(1.0), F.lit(False)).alias("a"), c.kept(g.vec(1, 0, 0), g.vec(0, 0, 0), g.vec(1, 0, 0), F.lit(1.0), F.lit(True)).alias("b"), c.kept(g.vec(2, 0, 0), g.vec(0, 0, 0), g.vec(1, 0, 0), F.lit(1.0), F.lit(False)).alias("c"), c.faces_away(g.vec(0, 0, -1), g.vec(0, 0, 9), g.vec(0, 0, 0)).alias("d")).first()
+    assert tuple(cut) == (True, True, False, True)
+
+    # a press and its opposite lead back; a null pose is on track; a shift along the beam leaves it
+    frame = v.imaging_frame(one, g.vec(0, 0, 2), g.vec(1, 0, 1))
+    there = c.nudged(frame, F.lit("aim"), F.lit(30.0))
+    back = c.nudged(v.imaging_frame(there, v.of("nudged_beam"), v.of("nudged_lateral")), F.lit("aim"), F.lit(-30.0), "again")
+    r = back.first()
+    assert (r.again_beam_x, r.again_beam_z, r.again_lateral_x) == pytest.approx((0, 1, 1))
+    assert (r.nudged_beam_x, r.nudged_beam_z) == pytest.approx((0.5, cos(0.5235987755982988)))
+    o, z, x = g.vec(0, 0, 0), g.vec(0, 0, 1), g.vec(1, 0, 0)
+    none = tuple(F.lit(None).cast("double") for _ in range(3))
+    off = one.select(c.left_track((g.vec(0, 0, 0.04), z, x), (o, z, x)).alias("a"), c.left_track((g.vec(0, 0, 0.06), z, x), (o, z, x)).alias("b"), c.left_track((o, g.vec(0, 0.01, 1), x), (o, z, x)).alias("c"), c.left_track((none, none, none), (o, z, x)).alias("d")).first()
+    assert tuple(off) == (False, True, True, False)
+    far = one.select(c.framing_distance(F.lit(10.0), F.lit(12.0), 60.0, 2.0).alias("a"), c.framing_distance(F.lit(10.0), F.lit(99.0), 60.0, 2.0).alias("b"), c.framing_distance(F.lit(0.0), F.lit(9.0), 60.0, 2.0).alias("c")).first()
+    assert tuple(far[:2]) == pytest.approx((25.2, 31.5)) and far.c is None
+
+
+def test_valves_fail_in_three_ways(spark):
+    """Each mesh ends in another way; grazes, chambers, nulls and repeated rows do not count as borders of their own."""
+    from ventrica.operators import valves
+
+    right = [(7, 1, 40), (7, 3, 60), (8, 2, 9), (8, 4, 9), (9, 1, 5), (9, 5, 5), (10, 2, 5), (10, 6, 5)]
+    meshes = {
+        "fine": [*right, (7, 2, 1), (1, 3, 700), (12, 1, 50), (None, 1, 4), (13, None, 4), (7, 3, 0)],
+        "several": [*right, (20, 1, 8), (20, 3, 8), (9, 1, 5)],
+        "lacking": [r for r in right if r[0] != 10] + [(10, 2, 5)],
+        "swapped": [({7: 8, 8: 7}.get(t, t), c, n) for t, c, n in right],
+        "bare": [(1, 2, 3)],
+    }
+    rows = [(m, *r, "x") for m, found in meshes.items() for r in found] + [(None, *r, "x") for r in right]
+    got = valves.identify(spark.createDataFrame(rows, "mesh string, tag int, chamber int, n_faces long, valve string")).collect()
+    assert len(got) == 4 * 6
+    assert {r.mesh: r.verdict for r in got} == {"fine": "agrees", "several": "ambiguous", "lacking": "missing", "swapped": "disagrees", "bare": "missing", None: "agrees"}
+    assert {r.mesh: r.measured for r in got}["swapped"] == "aortic=9,mitral=8,pulmonary=10,tricuspid=7" and {r.mesh: r.measured for r in got}["bare"] == ""
+    assert {(r.valve, r.tags, r.outcome) for r in got if r.mesh == "several"} == {("aortic", "9", "agrees"), ("mitral", "7,20", "ambiguous"), ("pulmonary", "10", "agrees"), ("tricuspid", "8", "agrees")}
+    assert {(r.valve, r.tags, r.outcome) for r in got if r.mesh == "lacking" and r.outcome != "agrees"} == {("pulmonary", "", "missing")}
+    assert valves.identify(spark.createDataFrame([], "mesh string, tag int, chamber int, n_faces long")).collect() == []

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clinical, files, frames, gates, graphs, meshes, orbits, packs, points, probes, signals, surfaces, views
+from . import clinical, cutter, files, frames, gates, graphs, meshes, orbits, packs, points, probes, signals, surfaces, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _plans in (points, meshes, gates, signals, packs, surfaces, views, frames, graphs, probes, files, clinical, orbits):
+for _plans in (points, meshes, gates, signals, packs, surfaces, views, frames, graphs, probes, files, clinical, orbits, cutter):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES

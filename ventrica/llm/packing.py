@@ -11,13 +11,14 @@ sequences, is the first incumbent. If it is above the lower bound, bin completio
 fewer: around the largest piece left, all undominated fillings (Martello and Toth) are tried in
 order of least waste, each for as many sequences as it can and then for fewer; a branch ends when
 its waste, or the bound of what is left, can't beat the incumbent, or when its counts were seen
-with no more sequences. NODES fillings bound the search; when they run out the incumbent
+with no more sequences (told by a digest of 128 bits). NODES fillings bound the search; when they run out the incumbent
 stands, which may then be above the least number, but never above best fit. Pieces are numbered
 within their length by counts of blocks, and get the places of their numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import os
 import re
@@ -232,7 +233,7 @@ def bin_completion(count: list[int], capacity: int = CAPACITY, nodes: int = NODE
     incumbent = best_fit_decreasing(count, capacity)
     fewest, least = sum(m for _, m in incumbent), lower_bound(count, capacity)
     total, count = sum(n * c for n, c in enumerate(count)), list(count)
-    seen: dict[tuple[int, ...], int] = {}
+    seen: dict[bytes, int] = {}  # by digests, as the counts themselves take 16 KB a node
     done: Solution = []
 
     def put(pattern: tuple[int, ...], times: int) -> None:
@@ -262,7 +263,7 @@ def bin_completion(count: list[int], capacity: int = CAPACITY, nodes: int = NODE
                 if fewest <= least:
                     break
             else:
-                key = tuple(count)
+                key = hashlib.blake2b(np.array(count, np.int64).tobytes(), digest_size=16).digest()
                 if seen.get(key, fewest) > used and used + lower_bound(count, capacity) < fewest:
                     seen[key] = used
                     stack.append([children(), None])

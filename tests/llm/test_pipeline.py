@@ -55,3 +55,16 @@ def test_text_languages_without_the_own_label(spark):
         out = language.identify_languages(docs.where(fold == k), "doc_id", F.col("text"), table)
         right += sum(r.text_language == said[r.doc_id] for r in out.collect())
     assert right / len(said) > 0.9
+
+
+def test_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    rows, size = corpus_pipeline.BATCHES
+    before = {name: spark.conf.get(name, None) for name in (rows, size)}
+    try:
+        spark.conf.unset(rows)
+        spark.conf.set(size, "123456")
+        stage = corpus_pipeline.in_small_batches(lambda spark, docs, sf_dir: (spark.conf.get(rows), spark.conf.get(size), docs, sf_dir))
+        assert stage(spark, None, "x") == (corpus_pipeline.BATCHES[rows], "123456", None, "x")
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .mesh import with_corners
+from .mesh import Points, dealt, with_corners
 
 #: Shares of rays with more than two crossings from which a solid has inner surfaces, or has them in places.
 MOSTLY, PARTLY = 0.5, 0.1
 MIN_CHORD = 1e-6
 
 
-def wound_boundary(tets: DataFrame, points: DataFrame) -> DataFrame:
+def wound_boundary(tets: DataFrame, points: Points, tasks: int | None = None) -> DataFrame:
     """tag, a, b, c: the surface of each tag, its faces wound so that normals point outwards.
 
     A tetrahedron of negative volume has two corners swapped first, so its order doesn't matter.
@@ -25,15 +25,19 @@ def wound_boundary(tets: DataFrame, points: DataFrame) -> DataFrame:
     p, q = F.when(volume < 0, F.col("b")).otherwise(F.col("a")), F.when(volume < 0, F.col("a")).otherwise(F.col("b"))
     r, s = F.col("c"), F.col("d")
     faces = t.select("tag", F.explode(F.array(*[F.array(*f) for f in ((p, r, q), (p, q, s), (p, s, r), (q, r, s))])).alias("f"))
-    alone = faces.groupBy("tag", F.array_sort("f").alias("key")).agg(F.count("*").alias("n"), F.min("f").alias("f")).where("n = 1")
-    return alone.select("tag", *[F.col("f")[k].alias(n) for k, n in enumerate("abc")])
+    key = F.array_sort("f")
+    # plain numbers, as groups of arrays are sorted in place of hashed
+    rows = faces.select("tag", *[key[k].alias(n) for k, n in enumerate("pqr")], *[F.col("f")[k].alias(n) for k, n in enumerate("abc")])
+    # a face that is alone is the least of its group corner by corner
+    alone = dealt(rows, tasks, *"pqr").groupBy("tag", *"pqr").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in "abc"]).where("n = 1")
+    return alone.select("tag", *"abc")
 
 
-def winding_census(surface: DataFrame) -> DataFrame:
+def winding_census(surface: DataFrame, tasks: int | None = None) -> DataFrame:
     """tag, n_edges, n_boundary, n_nonmanifold, n_miswound: an edge of two faces is miswound if both run along it the same way."""
     ends = [("a", "b"), ("b", "c"), ("c", "a")]
     way = F.array(*[F.struct(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), F.when(F.col(u) < F.col(v), 1).otherwise(-1).alias("way")) for u, v in ends])
-    edges = surface.select("tag", F.explode(way).alias("e")).groupBy("tag", "e.u", "e.v").agg(F.count("*").alias("n"), F.sum("e.way").alias("way"))
+    edges = dealt(surface.select("tag", F.explode(way).alias("e")).select("tag", "e.*"), tasks, *"uv").groupBy("tag", "u", "v").agg(F.count("*").alias("n"), F.sum("way").alias("way"))
     tell = {"n_boundary": F.col("n") == 1, "n_nonmanifold": F.col("n") > 2, "n_miswound": (F.col("n") == 2) & (F.col("way") != 0)}
     return edges.groupBy("tag").agg(F.count("*").alias("n_edges"), *[F.count_if(c).alias(n) for n, c in tell.items()])
 
@@ -42,32 +46,33 @@ def _corners() -> list[g.Vec]:
     return [tuple(F.col(f"{c}{x}") for x in "xyz") for c in "abc"]
 
 
-def enclosed_volume(surface: DataFrame, points: DataFrame) -> DataFrame:
+def enclosed_volume(surface: DataFrame, points: Points) -> DataFrame:
     """tag, volume: signed volume within the surface by the divergence theorem; an inverted one is negative."""
     a, b, c = _corners()
     return with_corners(surface, points, "abc").groupBy("tag").agg((F.sum(g.dot(a, g.cross(b, c))) / 6).alias("volume"))
 
 
-def vertex_normals(surface: DataFrame, points: DataFrame) -> DataFrame:
+def vertex_normals(surface: DataFrame, points: Points, tasks: int | None = None) -> DataFrame:
     """tag, pid, nx, ny, nz: unit sums of the area-weighted normals of the faces at each vertex; zero where they cancel."""
     a, b, c = _corners()
     n = g.cross(g.sub(b, a), g.sub(c, a))
     each = with_corners(surface, points, "abc").select("tag", F.explode(F.array(*"abc")).alias("pid"), *[v.alias(k) for k, v in zip("xyz", n, strict=True)])
-    total = each.groupBy("tag", "pid").agg(*[F.sum(k).alias(k) for k in "xyz"])
+    total = dealt(each, tasks, "pid").groupBy("tag", "pid").agg(*[F.sum(k).alias(k) for k in "xyz"])
     length = g.norm(tuple(map(F.col, "xyz")))
     return total.select("tag", "pid", *[(F.col(k) / F.when(length > 0, length).otherwise(1.0)).alias(f"n{k}") for k in "xyz"])
 
 
-def reindexed(surface: DataFrame) -> DataFrame:
+def reindexed(surface: DataFrame, tasks: int | None = None) -> DataFrame:
     """tag, pid, n: the used vertices of each tag, numbered from 0 by pid.
 
     The number is the count of smaller used vertices, over blocks of 4096 ids, so no tag is sorted in one task.
     """
-    used = surface.select("tag", F.explode(F.array(*"abc")).alias("pid")).distinct().withColumn("block", F.floor(F.col("pid") / 4096))
+    used = surface.select("tag", F.explode(F.array(*"abc")).alias("pid")).withColumn("block", F.floor(F.col("pid") / 4096))
+    used = dealt(used, tasks, "tag", "block").distinct()
     sizes = used.groupBy("tag", "block").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("tag").orderBy("block")) - F.col("size")).drop("size")
     within = F.row_number().over(Window.partitionBy("tag", "block").orderBy("pid")) - 1
-    return used.withColumn("k", within).join(before, ["tag", "block"]).select("tag", "pid", (F.col("before") + F.col("k")).alias("n"))
+    return used.withColumn("k", within).join(before.hint("merge"), ["tag", "block"]).select("tag", "pid", (F.col("before") + F.col("k")).alias("n"))
 
 
 def fitted_grid(facets: DataFrame, side: int) -> DataFrame:

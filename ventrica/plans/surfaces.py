@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import surfaces
 from ..sources import meshes
-from .meshes import TETS, tets_and_points
+from .meshes import TETS, tets_and_places
 
 SIDE = 48
 FACETS_A_ROW = 7
@@ -80,9 +80,10 @@ def bounds_grid(spark, sf_dir):
     return surfaces.fitted_grid(facets(spark, sf_dir), SIDE).select(*[F.round(c, 6).alias(c) for c in ("ox", "oy", "oz", "pitch")])
 
 
-def _part_surface(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    tets, points = tets_and_points(spark, sf_dir)
-    return surfaces.wound_boundary(tets, points), points
+def _part_surface(spark, sf_dir):
+    """The surface of each tag, where its points lie, and into how many tasks it is dealt."""
+    tets, places, tasks = tets_and_places(spark, sf_dir)
+    return surfaces.wound_boundary(tets, places, tasks), places, tasks
 
 
 def vertex_normals(spark, sf_dir):
@@ -99,12 +100,13 @@ SELECT tag, pid, round(x/greatest(n, 1e-300), 6) + 0.0 AS nx, round(y/greatest(n
 
 
 def enclosed_volume(spark, sf_dir):
-    surface, points = _part_surface(spark, sf_dir)
-    return surfaces.enclosed_volume(surface, points).select("tag", F.round("volume", 6).alias("volume")).join(surfaces.winding_census(surface), "tag")
+    surface, places, tasks = _part_surface(spark, sf_dir)
+    return surfaces.enclosed_volume(surface, places).select("tag", F.round("volume", 6).alias("volume")).join(surfaces.winding_census(surface, tasks), "tag")
 
 
 def vertex_reindex(spark, sf_dir):
-    return surfaces.reindexed(_part_surface(spark, sf_dir)[0])
+    surface, _, tasks = _part_surface(spark, sf_dir)
+    return surfaces.reindexed(surface, tasks)
 
 
 REINDEX = f"{TETS} SELECT tag, pid, (row_number() OVER (PARTITION BY tag ORDER BY pid) - 1)::BIGINT AS n FROM (SELECT DISTINCT tag, unnest([p, q, r]) AS pid FROM surf)"

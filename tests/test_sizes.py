@@ -27,3 +27,23 @@ def test_tasks_of_a_mesh_follow_its_size(spark, monkeypatch):
         df = registry.QUERIES[q](spark, DATA)
         assert f", {tasks})" in plan_of(df) or f", {tasks}), REPARTITION_BY_NUM" in plan_of(df)
         assert sorted(df.collect()) == rows
+
+
+def test_texts_of_packs_are_never_broadcast(spark):
+    from ventrica.plans import files
+
+    plan = plan_of(files.pack_assets(spark, DATA))
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_handles_and_pointers_at_one_place_meet_once(spark, monkeypatch):
+    from ventrica.operators import points
+
+    pointers = spark.range(300).selectExpr("id AS pointer", "cast(id % 2 * 100 AS double) AS px_x", "0.0D AS px_y")
+    handles = spark.range(400).selectExpr("id AS handle", "cast(id % 2 * 100 + 3 AS double) AS x", "4.0D AS y")
+    pairs, where = [], type(pointers).where
+    monkeypatch.setattr(type(pointers), "where", lambda df, c: pairs.append(df) or where(df, c) if "handle" in df.columns and "px" in df.columns else where(df, c))
+    for last, want in ((False, (0, 1)), (True, (398, 399))):
+        got = points.grabbed(pointers, handles, 26.0, last).collect()
+        assert sorted((r.pointer, r.handle, r.px) for r in got) == [(k, want[k % 2], 5.0) for k in range(300)]
+    assert pairs and all(p.count() == 2 for p in pairs)

@@ -97,13 +97,18 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, cell: float) -> DataFra
 def grabbed(pointers: DataFrame, handles: DataFrame, radius: float, last: bool) -> DataFrame:
     """pointer, handle, px for pointers(pointer, px_x, px_y) and handles(handle, x, y): the nearest handle within the radius, itself included.
 
-    Of equally near ones the ``last`` or the first handle stands. Handles and pointers meet by bins
-    of the radius; a pointer without a handle in reach has no row.
+    Of equally near ones the ``last`` or the first handle stands. Places of handles and of pointers
+    meet by bins of the radius, each place once with the one handle that it can yield, however many
+    lie there; a pointer without a handle in reach has no row.
     """
     place = lambda v: F.floor(v / F.lit(float(radius)))
-    around = F.explode(F.array(*[F.struct((place(F.col("px_x")) + a).alias("i"), (place(F.col("px_y")) + b).alias("j")) for a, b in product((-1, 0, 1), repeat=2)]))
-    pairs = pointers.withColumn("_bin", around).join(handles.withColumn("_bin", F.struct(place(F.col("x")).alias("i"), place(F.col("y")).alias("j"))), "_bin")
-    px = F.hypot(F.col("px_x") - F.col("x"), F.col("px_y") - F.col("y"))
-    reached = pairs.select("pointer", "handle", px.alias("px")).where(F.col("px") <= radius)
-    best = reached.groupBy("pointer").agg(F.min_by("handle", F.struct("px", (-F.col("handle") if last else F.col("handle")).alias("_h"))).alias("handle"), F.min("px").alias("px"))
-    return best
+    stand = handles.groupBy("x", "y").agg((F.max if last else F.min)("handle").alias("handle"))
+    asked = pointers.select(F.col("px_x").alias("_x"), F.col("px_y").alias("_y")).distinct()
+    around = F.explode(F.array(*[F.struct((place(F.col("_x")) + a).alias("i"), (place(F.col("_y")) + b).alias("j")) for a, b in product((-1, 0, 1), repeat=2)]))
+    pairs = asked.withColumn("_bin", around).join(stand.withColumn("_bin", F.struct(place(F.col("x")).alias("i"), place(F.col("y")).alias("j"))).hint("merge"), "_bin")
+    px = F.hypot(F.col("_x") - F.col("x"), F.col("_y") - F.col("y"))
+    reached = pairs.select("_x", "_y", "handle", px.alias("px")).where(F.col("px") <= radius)
+    order = F.struct("px", (-F.col("handle") if last else F.col("handle")).alias("_h"))
+    nearest_of = lambda df, *keys: df.groupBy(*keys).agg(F.min_by("handle", order).alias("handle"), F.min("px").alias("px"))
+    best = nearest_of(reached, "_x", "_y").hint("merge")
+    return nearest_of(pointers.join(best, (F.col("px_x") == F.col("_x")) & (F.col("px_y") == F.col("_y"))), "pointer")

@@ -105,7 +105,7 @@ def handle_hits(spark, sf_dir):
     pointers = t("customer").select(F.col("c_custkey").alias("pointer"), (F.col("c_custkey") * 37 % 192 * 10).cast("double").alias("px_x"), (F.col("c_custkey") * 53 % 108 * 10).cast("double").alias("px_y"))
     handles = t("supplier").select(F.col("s_suppkey").alias("handle"), (F.col("s_suppkey") * 101 % 96 * 20).cast("double").alias("x"), (F.col("s_suppkey") * 67 % 54 * 20).cast("double").alias("y"))
     first, last = (op.grabbed(pointers, handles, 26.0, last=w) for w in (False, True))
-    return first.join(last.select("pointer", F.col("handle").alias("last_handle")), "pointer").withColumn("px", F.round("px", 6))
+    return first.join(last.select("pointer", F.col("handle").alias("last_handle")).hint("merge"), "pointer").withColumn("px", F.round("px", 6))
 
 
 HITS = """WITH p AS (SELECT c_custkey AS pointer, (c_custkey*37%192*10)::DOUBLE AS x, (c_custkey*53%108*10)::DOUBLE AS y FROM customer), h AS (SELECT s_suppkey AS handle, (s_suppkey*101%96*20)::DOUBLE AS x, (s_suppkey*67%54*20)::DOUBLE AS y FROM supplier),

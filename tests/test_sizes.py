@@ -47,3 +47,22 @@ def test_handles_and_pointers_at_one_place_meet_once(spark, monkeypatch):
         got = points.grabbed(pointers, handles, 26.0, last).collect()
         assert sorted((r.pointer, r.handle, r.px) for r in got) == [(k, want[k % 2], 5.0) for k in range(300)]
     assert pairs and all(p.count() == 2 for p in pairs)
+
+
+def test_neighbours_of_dense_places_and_copies(spark, monkeypatch):
+    from ventrica.operators import points
+
+    # 400 copies of one place, 20 of another, a dense row of places, one far away
+    rows = [(k, 0.0, 0.0, 0.0) for k in range(400)] + [(400 + k, 0.5, -0.0, 0.0) for k in range(20)] + [(500 + k, 5 + k / 64, 1.0, 0.0) for k in range(200)] + [(900, 40.0, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "id long, x double, y double, z double")
+    met, written = [], points.written
+    monkeypatch.setattr(points, "written", lambda df, tag: met.append((tag, df.count())) or written(df, tag))
+    found = {}
+    for r in points.nearest_k(frame, frame, 7, 16.0).collect():
+        found.setdefault(r.id, {})[r["rank"]] = (r.other, r.distance)
+    for i, *p in rows[::7] + rows[-1:]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p, q)) ** 0.5, j) for j, *q in rows if j != i)[:7]
+        assert [found[i][n + 1] for n in range(7)] == [(j, d) for d, j in near]
+    assert len(found) == len(rows) and dict(met)["right"] == 203
+    right = spark.createDataFrame(rows, "id long, _x double, _y double, _z double").dropDuplicates(["_x", "_y", "_z"])
+    assert points._fitting(right, 16.0) < 1 and points._fitting(right.limit(0), 16.0) == 16.0

@@ -59,39 +59,69 @@ def nearest(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return reduce(DataFrame.unionByName, out).drop("_row")
 
 
+#: Places that a cell of nearest_k holds on average where the densest cells are; a task's share of pairs follows from it.
+IN_A_CELL = 16
+#: How often the first width is halved at most.
+HALVINGS = 40
+
+
+def _fitting(places: DataFrame, cell: float) -> float:
+    """``cell``, halved until its cells hold IN_A_CELL places or less, as a place in them sees it."""
+    for _ in range(HALVINGS):
+        sizes = places.groupBy(*[F.floor(F.col(f"_{c}") / F.lit(cell)).alias(c) for c in "xyz"]).agg(F.count("*").alias("n"))
+        seen = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).first()[0]
+        if seen is None or seen <= IN_A_CELL:
+            break
+        cell /= 2
+    return cell
+
+
 def nearest_k(left: DataFrame, right: DataFrame, k: int, cell: float) -> DataFrame:
     """id, rank, other, distance: the k nearest rows of right(id, x, y, z) for each row of left(id, x, y, z), itself left out.
 
     Ranks begin at 1; equal distances go by the smaller id. Fewer rows than k give fewer ranks;
     rows with a null or non-finite coordinate have no neighbours and are none. Ids must be unique.
-    As in nearest, a point meets the cells around it and is settled if k neighbours lie within a
-    cell's width; the rest goes on with twice the width, until cells hold all of right. The
-    ranking is limited before its rows are shuffled, so a point moves k rows from a task.
+    As in nearest, a place meets the cells around it and is settled if k neighbours lie within a
+    cell's width; the rest goes on with twice the width, until cells hold all of right. The first
+    width is ``cell``, or less where that holds many rows, so pairs grow with the rows and not with
+    their square. Rows at one place are one: it has its k + 1 smallest ids, as no row can have more
+    of them for neighbours.
     """
     sound = F.coalesce(F.forall(F.array(*"xyz"), lambda v: ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))), F.lit(False))
-    right = written(right.where(sound).select(F.col("id").alias("other"), *[F.col(c).alias(f"_{c}") for c in "xyz"]), "right")
-    rest, done = written(left.where(sound).select("id", *"xyz"), "points"), []
+    plain = [(F.col(c) + 0.0).alias(c) for c in "xyz"]
+    within = Window.partitionBy(*"xyz").orderBy("id")
+    firsts = right.where(sound).select("id", *plain).withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= k + 1)
+    right = written(firsts.groupBy(*[F.col(c).alias(f"_{c}") for c in "xyz"]).agg(F.collect_list("id").alias("ids")), "right")
+    asked = written(left.where(sound).select("id", *plain), "left")
+    rest, done = written(asked.select(*"xyz").distinct(), "points"), []
     farthest = lambda df, names: df.agg(F.max(F.greatest(*[F.abs(n) for n in names]))).first()[0]
     of_right, of_left = farthest(right, ("_x", "_y", "_z")), farthest(rest, "xyz")
-    order = Window.partitionBy("id").orderBy("distance", "other")
+    cell = _fitting(right, cell)
+    order = Window.partitionBy(*"xyz").orderBy("distance", "other")
     while of_right is not None and not rest.isEmpty():
         index = [F.floor(F.col(c) / F.lit(cell)).cast("long") for c in "xyz"]
         key = F.struct(*[F.floor(F.col(f"_{c}") / F.lit(cell)).cast("long").alias(n) for c, n in zip("xyz", "ijk", strict=True)])
         near = F.struct(*[(i + F.col(f"_o.{n}")).alias(n) for i, n in zip(index, "ijk", strict=True)])
         steps = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "ijk", strict=True)]) for o in product((-1, 0, 1), repeat=3)])
-        pairs = rest.withColumn("_o", F.explode(steps)).withColumn("_cell", near).join(right.withColumn("_cell", key), "_cell").where("other <> id")
+        pairs = rest.withColumn("_o", F.explode(steps)).withColumn("_cell", near).join(right.withColumn("_cell", key).hint("merge"), "_cell")
         gap = F.sqrt(sum((F.col(c) - F.col(f"_{c}")) ** 2 for c in "xyz"))
-        ranked = written(pairs.select("id", "other", gap.alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ranked")
-        last = cell > max(of_right, of_left)  # two cells an axis hold all points, so every point has met all
-        settled = ranked.select("id") if last else ranked.where((F.col("rank") == k) & (F.col("distance") <= cell)).select("id")
-        done.append(ranked.join(settled.distinct(), "id", "left_semi"))
+        last = cell > max(of_right, of_left)  # two cells an axis hold all points, so every place has met all
+        # what lies beyond a cell's width settles nothing; k + 1, as one of them may be the row itself
+        pairs = pairs.select(*"xyz", gap.alias("distance"), "ids").where(F.lit(last) | (F.col("distance") <= cell))
+        ranked = written(pairs.select(*"xyz", "distance", F.explode("ids").alias("other")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1), "ranked")
+        # without the row itself, k others lie within a cell's width
+        settled = ranked.select(*"xyz").distinct() if last else ranked.where(F.col("rank") == k + 1).select(*"xyz")
+        done.append(ranked.join(settled.hint("merge"), [*"xyz"], "left_semi"))
         if last:
             break
-        old, rest = rest, written(rest.join(settled, "id", "left_anti"), "points")
+        old, rest = rest, written(rest.join(settled.hint("merge"), [*"xyz"], "left_anti"), "points")
         discard(old)
         cell *= 2
-    empty = left.select("id", F.lit(0).alias("rank"), F.col("id").alias("other"), F.lit(0.0).alias("distance")).limit(0)
-    return reduce(DataFrame.unionByName, done, empty).select("id", "rank", "other", "distance")
+    none = rest.select(*"xyz", F.lit(0.0).alias("distance"), F.lit(0).cast(asked.schema["id"].dataType).alias("other"), F.lit(0).alias("rank")).limit(0)
+    found = reduce(DataFrame.unionByName, done, none).drop("rank")
+    others = asked.join(found.hint("merge"), [*"xyz"]).where("other <> id")
+    of_row = Window.partitionBy("id").orderBy("distance", "other")
+    return others.withColumn("rank", F.row_number().over(of_row)).where(F.col("rank") <= k).select("id", "rank", "other", "distance")
 
 
 def grabbed(pointers: DataFrame, handles: DataFrame, radius: float, last: bool) -> DataFrame:

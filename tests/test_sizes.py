@@ -79,3 +79,33 @@ def test_folders_of_packs_are_not_listed(spark, tmp_path):
     read = packs.read_packs(spark, str(tmp_path))
     assert sorted((r.pack_dir, r.body) for r in read.where("problem is null").collect()) == sorted([tuple(r) for r in rows.collect()] * 2)
     assert len(read.inputFiles()) == 6  # the lists of six tasks
+
+
+def test_wide_facets_and_rays_meet_in_tiles(spark, monkeypatch):
+    import random
+
+    from ventrica.operators import rays
+
+    draw = random.Random(5)
+    place = lambda: tuple(round(draw.uniform(-9, 9), 2) for _ in "xyz")
+    # wide ones, narrow ones, one along x, one without structure, one with a corner that is no place
+    rows = [(k % 3, place(), place(), place()) for k in range(60)] + [(1, (0.0, k / 4, 0.0), (1.0, k / 4 + 0.3, 0.2), (0.0, k / 4, 0.5)) for k in range(30)]
+    rows += [(2, (0.0, 0.0, 0.0), (5.0, 0.0, 0.0), (9.0, 0.0, 0.0)), (None, (0.0, -8.0, -8.0), (0.0, 8.0, -8.0), (0.0, 0.0, 9.0)), (2, (0.0, float("nan"), 0.0), (1.0, 3.0, 3.0), (2.0, 4.0, -4.0))]
+    f = spark.createDataFrame(rows, "structure int, a struct<x:double,y:double,z:double>, b struct<x:double,y:double,z:double>, c struct<x:double,y:double,z:double>")
+    places = [(k % 40, *place()) for k in range(120)] + [(90, 0.0, None, 1.0), (91, 0.0, float("inf"), 1.0), (92, None, 0.0, 0.0), (93, float("nan"), 0.0, 0.0)]
+    at = spark.createDataFrame(places, "ray long, x double, y double, z double")
+    want = {}
+    for beyond in (False, True):
+        pairs = rays.ray_crossings(f.where("not isnan(a.y)"), at, 1.0)
+        found = (pairs.where("cross_x > x") if beyond else pairs).groupBy("structure", "ray").count().collect()
+        want[beyond] = sorted(map(tuple, found), key=str)
+    assert any(r[0] is None for r in want[False]) and len(want[True]) > 50
+    for tile, few in ((40, 1000), (40, 0)):
+        monkeypatch.setattr(rays, "FACETS_A_TILE", tile)
+        monkeypatch.setattr(rays, "RAYS_A_TILE", 2 * tile)
+        monkeypatch.setattr(rays, "RAYS_A_BIN", few)
+        for beyond in (False, True):
+            df = rays.hits(f, at, ["ray"], 1.0, beyond)
+            assert sorted(map(tuple, df.collect()), key=str) == want[beyond]
+            assert "FlatMapCoGroupsInArrow" in plan_of(df) and ("_bj" in plan_of(df)) == (few > 0)
+    assert rays.hits(f.limit(0), at, ["ray"], 1.0).count() == rays.hits(f, at.limit(0), ["ray"], 1.0).count() == 0

@@ -31,11 +31,13 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        # written, as the small stars read it three times, and a plan that holds it so often weighs on the driver in every round
+        large = materialize(large.where("u <> v").distinct(), tag)
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small_least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
         old, e = e, materialize(small.distinct(), tag)
-        discard(old)
+        for done in (old, large):
+            discard(done)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

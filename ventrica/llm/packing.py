@@ -22,6 +22,7 @@ import hashlib
 import itertools
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -63,40 +64,42 @@ def _load(path: str) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _state.update(path=path, tokenizer=tokenizer, runs={"": b""}, cores={})
+        _state.update(path=path, tokenizer=tokenizer, model=tokenizer.model, runs={"": b""}, cores={})
         plain = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         _state["cut"] = all(plain(t) == [i for run in t.split() for i in plain(run)] for t in _PROBES)
-        _state["parts"] = _state["cut"] and all(_parts(run) == _packed_ids(plain(run)) for t in _PROBES for run in t.split() if _PLAIN.match(run))
+        _state["parts"] = _state["cut"] and all(_parts(parts) == _packed_ids(plain(run)) for t in _PROBES for run in t.split() if (parts := _PLAIN.match(run)))
         _state["cores"].clear()
 
 
 def _packed_ids(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _parts(run: str) -> bytes:
-    """Ids of a run of plain letters and a tail of plain marks: exactly two pre-tokens, which go straight to the model."""
-    cores, model, parts = _state["cores"], _state["tokenizer"].model, _PLAIN.match(run)
+def _parts(parts: re.Match[str]) -> bytes:
+    """Ids of a match of _PLAIN, a run of plain letters and a tail of plain marks: exactly two pre-tokens, which go straight to the model."""
+    cores = _state["cores"]
     core, tail = parts[1].lower(), parts[2]
     ids = cores.get(core)
     if ids is None:
-        ids = cores[core] = _packed_ids([t.id for t in model.tokenize(core.encode().decode("latin-1").translate(_BYTE_SIGNS))])
+        # an ASCII letter is its own sign
+        signs = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        ids = cores[core] = _packed_ids([t.id for t in _state["model"].tokenize(signs)])
     if tail:
         end = cores.get(tail)
         if end is None:
-            end = cores[tail] = _packed_ids([t.id for t in model.tokenize(tail)])
+            end = cores[tail] = _packed_ids([t.id for t in _state["model"].tokenize(tail)])
         ids += end
     return ids
 
 
 def _learn(fresh: list[str]) -> None:
     """Put the ids of new runs into the table."""
-    runs, other = _state["runs"], []
+    runs, other, plain = _state["runs"], [], _state["parts"]
     if len(_state["cores"]) > KNOWN_CORES:
         _state["cores"].clear()
     for run in fresh:
-        if _state["parts"] and len(run) <= LONG_RUN and _PLAIN.match(run):
-            runs[run] = _parts(run)
+        if plain and len(run) <= LONG_RUN and (parts := _PLAIN.match(run)):
+            runs[run] = _parts(parts)
         else:
             other.append(run)
     for a in range(0, len(other), 4096):

@@ -36,6 +36,37 @@ def test_texts_of_packs_are_never_broadcast(spark):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_packs_are_parsed_a_few_times_and_keys_seen_everywhere(spark):
+    import json
+    from functools import reduce
+
+    from ventrica.operators import packs as checks
+    from ventrica.plans import packs
+
+    plan = packs.pack_validation(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("from_json(") == 2 and "explode(found" in plan
+    whole = next(json.loads(r.body) for r in packs.documents(spark, DATA).where("p_partkey % 2 = 0").sort("p_partkey").collect() if '"schema_version":"0"' in r.body and '"echo_volume"' in r.body and r.body.startswith("{"))
+    issues = lambda doc: {(r.path, r.issue) for r in checks.pack_issues(spark.createDataFrame([(1, json.dumps(doc))], "k long, body string"), "k").collect()}
+    before, want = issues(whole), {"<root>"}
+    at = lambda doc, path: reduce(lambda x, n: x[int(n)] if isinstance(x, list) else x[n], path.split("."), doc)
+    want |= {*checks.PLACES, "meshes.structures.1", "echo_volume.labels.1", "views.1", *[f"views.1.{p}" for p in checks.VIEW_PLACES]}
+    for path in want:
+        (whole if path == "<root>" else at(whole, path))["unheard of"] = {"x": 1}
+    # a text that holds an object is looked into as well
+    whole["views"][0]["probe"]["fan"] = '{"wide":1}'
+    found = issues(whole)
+    assert {p for p, issue in found if issue == "unknown key"} == want | {"views.0.probe.fan"} | {p for p, issue in before if issue == "unknown key"}
+    assert before <= found
+    # vectors that are too short are findings, not the end of the job
+    whole["views"][0]["probe"]["beam_axis"], whole["interaction"]["camera"]["up"], whole["meshes"]["anatomical_frame"]["basis_source_to_pack"]["basal"] = [1, 0], [0], [1]
+    assert {("views.0.probe.beam_axis", "not a unit vector"), ("meshes.anatomical_frame.basis_source_to_pack.basal", "not a unit vector")} <= issues(whole)
+    # a ring of structures, one that leads into it and one below the root
+    whole["meshes"]["structures"] = [{"id": i, "parent": p} for i, p in (("w0", "w1"), ("w1", "w0"), ("w2", "w1"), ("top", None), ("low", "top"), ("top", "low"))]
+    found = issues(whole)
+    assert {p for p, issue in found if issue == "cycle"} == {f"meshes.structures.{k}.parent" for k in range(3)}
+    assert {p for p, issue in found if issue == "repeated"} >= {"meshes.structures.5.id"}
+
+
 def test_handles_and_pointers_at_one_place_meet_once(spark, monkeypatch):
     from ventrica.operators import points
 

@@ -20,8 +20,6 @@ meshes struct<gltf:string,structures:array<struct<id:string,mesh_node:string,dis
 interaction struct<camera:struct<position:array<double>,target:array<double>,up:array<double>,fov_deg:double>,free_cut:struct<normal:array<double>,offset:double>>,
 echo_volume struct<asset:string,format:string,resolution:array<int>,mesh_to_volume:array<double>,labels:array<struct<id:int,structure:string,echogenicity:double,attenuation:double>>>,
 views array<struct<family:string,view_id:string,name:string,indicator_clock:string,probe:struct<beam_axis:array<double>,lateral_axis:array<double>,fan:struct<angle_deg:double,depth_cm:double,focus_cm:double>>,sweep:struct<mode:string,axis:struct<direction:array<double>>,range:struct<unit:string,`from`:double,`to`:double>,structures_in_order:array<string>>,structures:array<string>,show_hide_preset:struct<visible:array<string>,hidden:array<string>>,provenance:{_PROVENANCE}>>"""
-#: The same lists with their elements as JSON text, to see keys that the typed columns don't have.
-RAW = "meshes struct<structures:array<string>>, echo_volume struct<labels:array<string>>, views array<string>"
 #: The keys of each level.
 KEYS = {
     "": "meta provenance meshes interaction echo_volume views display_flags volumetric_data".split(),
@@ -82,7 +80,8 @@ def _missing(value: Column) -> Column:
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return sum((a[k] * b[k] for k in range(3)), F.lit(0.0))
+    # a part that is not there makes the product null, where an index fails the job
+    return sum((F.get(a, F.lit(k)) * F.get(b, F.lit(k)) for k in range(3)), F.lit(0.0))
 
 
 def _not_unit(v: Column) -> Column:
@@ -100,8 +99,14 @@ def schema_version(whole: Column) -> Column:
     return F.when(kind.rlike("^(STRING|BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(value, "$", "string"))
 
 
-def _unknown_keys(json: Column, level: str) -> Column:
-    return F.size(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, KEYS[level])))) > 0
+def _unknown(keys: Column, level: str) -> Column:
+    return F.size(F.array_except(keys, F.array(*map(F.lit, KEYS[level])))) > 0
+
+
+def _keys(parsed: Column, place: str = "") -> Column:
+    """Keys of the object at a place of a parsed value, which is not parsed again; those of a text that holds an object, else null."""
+    path = f"$.{place}" if place else "$"
+    return F.coalesce(F.map_keys(F.try_variant_get(parsed, path, "map<string,variant>")), F.json_object_keys(F.try_variant_get(parsed, path, "string")))
 
 
 def _provenance(p: Column, path) -> Column:
@@ -121,19 +126,18 @@ def _provenance(p: Column, path) -> Column:
     )
 
 
-def _repeats(items: Column, path: str, key: str) -> Column:
-    """Second and later elements with the same key."""
-    values = F.transform(items, lambda x: x[key].cast("string"))
-    return _each(items, path, lambda x, at, i: _issue(F.concat(at, F.lit(f".{key}")), "repeated", x[key].isNotNull() & (F.array_position(values, x[key].cast("string")) < i + 1)))
+def _repeats(values: Column, path: str, key: str) -> Column:
+    """Second and later elements with the same key, of which ``values`` are the texts."""
+    return _each(values, path, lambda x, at, i: _issue(F.concat(at, F.lit(f".{key}")), "repeated", F.array_position(values, x) < i + 1))
 
 
 def _unresolved(names: Column, known: Column, path: Column) -> Column:
     return F.coalesce(F.flatten(F.transform(names, lambda n, i: _issue(F.concat(path, F.lit("."), i.cast("string")), "unknown structure", ~F.array_contains(known, n)))), F.array().cast("array<struct<path:string,issue:string,severity:string>>"))
 
 
-def _structures(structures: Column, known: Column) -> Column:
+def _structures(structures: Column, known: Column, parents: Column) -> Column:
     # after as many steps as there are structures a walk to the root has ended, unless it is in a cycle
-    walked = lambda s: F.aggregate(F.sequence(F.lit(1), F.size(structures)), s["parent"], lambda node, _: F.try_element_at(F.transform(F.filter(structures, lambda x: x["id"] == node), lambda x: x["parent"]), F.lit(1)))
+    walked = lambda s: F.aggregate(parents, s["parent"], lambda node, _: F.get(parents, (F.array_position(known, node) - 1).cast("int")))
     return _each(
         structures,
         "meshes.structures",
@@ -141,7 +145,7 @@ def _structures(structures: Column, known: Column) -> Column:
             *[_issue(F.concat(at, F.lit(f".{f}")), "missing", _missing(s[f])) for f in ("id", "mesh_node", "display_label")],
             _issue(F.concat(at, F.lit(".id")), "not a slug", ~s["id"].rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$")),
             _issue(F.concat(at, F.lit(".parent")), "unknown structure", s["parent"].isNotNull() & ~F.array_contains(known, s["parent"])),
-            _issue(F.concat(at, F.lit(".parent")), "cycle", walked(s).isNotNull() & F.array_contains(known, walked(s))),
+            _issue(F.concat(at, F.lit(".parent")), "cycle", F.array_contains(known, walked(s))),
         ),
     )
 
@@ -214,7 +218,7 @@ def _frame(f: Column) -> Column:
     at = "meshes.anatomical_frame"
     basis, valves = f["basis_source_to_pack"], f["valve_identification"]
     left, basal, front = (basis[n] for n in ("patient_left", "basal", "anterior"))
-    cross = F.array(*[left[(k + 1) % 3] * basal[(k + 2) % 3] - left[(k + 2) % 3] * basal[(k + 1) % 3] for k in range(3)])
+    cross = F.array(*[F.get(left, F.lit((k + 1) % 3)) * F.get(basal, F.lit((k + 2) % 3)) - F.get(left, F.lit((k + 2) % 3)) * F.get(basal, F.lit((k + 1) % 3)) for k in range(3)])
     tags = F.map_from_entries(F.transform(F.map_entries(valves["valves"]), lambda e: F.struct(e["key"].alias("key"), e["value"]["tag"].alias("value"))))
     agrees = fingerprint(tags) == fingerprint(valves["published_tags"])
     values, passed = F.map_values(valves["valves"]), F.size(F.filter(F.map_values(f["checks"]), lambda c: c))
@@ -244,12 +248,15 @@ def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
     bodies are no JSON. Repeated rows are reported once each; empty input gives no rows.
     """
     base = packs.select(F.col(key).alias("key"), F.col(body).cast("string").alias("body"))
-    base = base.withColumn("keys", F.json_object_keys("body")).withColumn("whole", F.try_parse_json("body")).withColumn("version", schema_version(F.col("whole")))
-    base = base.withColumn("p", F.from_json("body", SCHEMA)).withColumn("raw", F.from_json("body", RAW)).withColumn("frame", F.from_json("body", FRAME)["meshes"]["anatomical_frame"])
-    p, raw = F.col("p"), F.col("raw")
+    # what many checks read is a column, as an expression is worked out anew wherever it stands in another
+    base = base.withColumn("keys", F.json_object_keys("body")).withColumn("whole", F.try_parse_json("body"))
+    base = base.select("key", "keys", "whole", schema_version(F.col("whole")).alias("version"), F.from_json("body", SCHEMA).alias("p"), F.from_json("body", FRAME)["meshes"]["anatomical_frame"].alias("frame"))
+    p, whole = F.col("p"), F.col("whole")
     structures, labels, views = p["meshes"]["structures"], p["echo_volume"]["labels"], p["views"]
-    known = F.coalesce(F.transform(structures, lambda s: s["id"]), F.array().cast("array<string>"))
-    odd = lambda items, path, level: _each(items, path, lambda x, at, i: _issue(at, "unknown key", _unknown_keys(x, level)))
+    lists = {"known": (structures, "id"), "parents": (structures, "parent"), "nodes": (structures, "mesh_node"), "label_ids": (labels, "id"), "view_ids": (views, "view_id")}
+    base = base.select("*", *[F.coalesce(F.transform(items, lambda x: x[field].cast("string")), F.array().cast("array<string>")).alias(name) for name, (items, field) in lists.items()])
+    known = F.col("known")
+    listed = lambda place, level, check=None: _each(F.try_variant_get(whole, f"$.{place}", "array<variant>"), place, lambda x, at, i: _all(_issue(at, "unknown key", _unknown(_keys(x), level)), *(check(x, at) if check else [])))
     label = lambda x, at, i: _all(
         _issue(F.concat(at, F.lit(".id")), "out of range", ~F.coalesce(x["id"].between(0, 255), F.lit(False))),
         _issue(F.concat(at, F.lit(".echogenicity")), "out of range", ~F.coalesce(x["echogenicity"].between(0, 1), F.lit(False))),
@@ -257,13 +264,12 @@ def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
         _issue(F.concat(at, F.lit(".structure")), "unknown structure", ~F.array_contains(known, x["structure"])),
     )
     shape = _all(
-        _issue("<root>", "unknown key", _unknown_keys(F.col("body"), "")),
-        *[_issue(place, "unknown key", _unknown_keys(F.get_json_object("body", f"$.{place}"), level)) for place, level in PLACES.items()],
-        _wrong_types(F.col("whole")),
-        odd(raw["meshes"]["structures"], "meshes.structures", "structure"),
-        odd(raw["echo_volume"]["labels"], "echo_volume.labels", "label"),
-        odd(raw["views"], "views", "view"),
-        _each(raw["views"], "views", lambda v, at, i: _all(*[_issue(F.concat(at, F.lit(f".{place}")), "unknown key", _unknown_keys(F.get_json_object(v, f"$.{place}"), level)) for place, level in VIEW_PLACES.items()])),
+        _issue("<root>", "unknown key", _unknown(F.col("keys"), "")),
+        *[_issue(place, "unknown key", _unknown(_keys(whole, place), level)) for place, level in PLACES.items()],
+        _wrong_types(whole),
+        listed("meshes.structures", "structure"),
+        listed("echo_volume.labels", "label"),
+        listed("views", "view", lambda v, at: [_issue(F.concat(at, F.lit(f".{place}")), "unknown key", _unknown(_keys(v, place), level)) for place, level in VIEW_PLACES.items()]),
         _frame(F.col("frame")),
         *[_issue(f"meta.{f}", "missing", _missing(p["meta"][f])) for f in ("id", "display_name", "anatomy", "canonical_variant", "pack_version")],
         _issue("meshes.gltf", "bad path", text.path_problem(F.coalesce(p["meshes"]["gltf"], F.lit(""))).isNotNull()),
@@ -271,21 +277,22 @@ def pack_issues(packs: DataFrame, key: str, body: str = "body") -> DataFrame:
         _issue("meshes.structures", "empty", F.coalesce(F.size(structures), F.lit(0)) <= 0),
         _issue("meshes.canonical_pose.scale", "out of range", ~F.coalesce(p["meshes"]["canonical_pose"]["scale"] > 0, F.lit(False)) & ~F.coalesce(F.schema_of_variant(F.try_variant_get("whole", "$.meshes.canonical_pose.scale", "variant")) == "STRING", F.lit(False))),
         _orientation(p["meshes"]["orientation"]),
-        _structures(structures, known),
-        _repeats(structures, "meshes.structures", "id"),
-        _repeats(structures, "meshes.structures", "mesh_node"),
+        _structures(structures, known, F.col("parents")),
+        _repeats(known, "meshes.structures", "id"),
+        _repeats(F.col("nodes"), "meshes.structures", "mesh_node"),
         _camera(p["interaction"]["camera"]),
         _issue("interaction.free_cut.normal", "not a unit vector", p["interaction"]["free_cut"].isNotNull() & _not_unit(p["interaction"]["free_cut"]["normal"])),
         _issue("echo_volume", "absent", p["echo_volume"].isNull(), "skipped"),
         _issue("echo_volume.asset", "bad path", p["echo_volume"].isNotNull() & text.path_problem(F.coalesce(p["echo_volume"]["asset"], F.lit(""))).isNotNull()),
         _each(labels, "echo_volume.labels", label),
-        _repeats(labels, "echo_volume.labels", "id"),
+        _repeats(F.col("label_ids"), "echo_volume.labels", "id"),
         _issue("views", "empty", F.coalesce(F.size(views), F.lit(0)) <= 0),
         _views(views, known),
-        _repeats(views, "views", "view_id"),
+        _repeats(F.col("view_ids"), "views", "view_id"),
         _provenance(p["provenance"], "provenance"),
     )
     not_json = F.col("keys").isNull()
     other = ~F.coalesce(F.col("version") == VERSION, F.lit(False))
     found = F.when(not_json, _issue("<root>", "not a JSON object", F.lit(True))).when(other, _issue("meta.schema_version", "not the known version", F.lit(True))).otherwise(shape)
-    return base.select("key", F.explode(found).alias("f")).select(F.col("key").alias(key), "f.path", "f.issue", "f.severity")
+    # found is a column of its own, as what stands inside explode() is interpreted; an inner explode() of it would be filtered before, which works it out twice
+    return base.select("key", found.alias("found")).select("key", F.explode_outer("found").alias("f")).where("f is not null").select(F.col("key").alias(key), "f.path", "f.issue", "f.severity")
